@@ -1,4 +1,4 @@
-"""Budget arithmetic of a split, as array expressions.
+"""Budget arithmetic of a split, as SQL array expressions.
 
 ``m(b)``, the least objective reachable in a subproblem under budget ``b``, is a
 non-increasing step function.  It is stored as ``array<struct<b, m>>`` sorted by
@@ -7,22 +7,19 @@ non-increasing step function.  It is stored as ``array<struct<b, m>>`` sorted by
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 STEPS = "array<struct<b:bigint,m:bigint>>"
 
 
-def single_step(value: Column) -> Column:
-    return F.array(F.struct(value.alias("b"), value.alias("m"))).cast(STEPS)
+def single_step(value: str) -> str:
+    return f"array(struct({value} AS b, {value} AS m))"
 
 
-def reach(steps: Column, budget: Column) -> Column:
+def reach(steps: str, budget: str) -> str:
     """``m(budget)``; NULL where the budget reaches nothing."""
-    return F.array_min(F.transform(F.filter(steps, lambda s: s["b"] <= budget), lambda s: s["m"]))
+    return f"array_min(transform(filter({steps}, s -> s.b <= {budget}), s -> s.m))"
 
 
-def settle(budget: Column, v_r: Column, left: Column, right: Column) -> Column:
+def settle(budget: str, v_r: str, left: str, right: str) -> str:
     """Alternate the two sides until neither can hand budget to the other.
 
     The left side starts with what the right side's estimate leaves over; then
@@ -30,51 +27,41 @@ def settle(budget: Column, v_r: Column, left: Column, right: Column) -> Column:
     ``struct<bl, ml, br, mr>``; ``ml``/``mr`` are NULL where a side is empty.
     """
 
-    def state(bl: Column, ml: Column, br: Column) -> Column:
-        return F.struct(
-            bl.cast("bigint").alias("bl"), ml.alias("ml"), br.cast("bigint").alias("br"), reach(right, br).alias("mr")
+    def state(bl: str, ml: str, br: str) -> str:
+        return (
+            f"struct(cast({bl} AS bigint) AS bl, {ml} AS ml, cast({br} AS bigint) AS br, {reach(right, br)} AS mr)"
         )
 
-    def advance(acc: Column, _: Column) -> Column:
-        bl = F.greatest(acc["bl"], budget - acc["mr"])
-        ml = reach(left, bl)
-        return state(bl, ml, F.greatest(acc["br"], budget - ml))
-
-    bl = budget - v_r
-    ml = reach(left, bl)
+    start = f"({budget} - {v_r})"
+    ml = reach(left, start)
+    bl_next = f"greatest(acc.bl, {budget} - acc.mr)"
+    ml_next = reach(left, bl_next)
+    advance = state(bl_next, ml_next, f"greatest(acc.br, {budget} - {ml_next})")
     # every useful round crosses at least one step of either side
-    rounds = F.sequence(F.lit(0), F.size(left) + F.size(right))
-    return F.aggregate(rounds, state(bl, ml, budget - ml), advance)
+    rounds = f"sequence(0, size({left}) + size({right}))"
+    return f"aggregate({rounds}, {state(start, ml, f'({budget} - {ml})')}, (acc, i) -> {advance})"
 
 
-def turning_points(v_l: Column, v_r: Column, left: Column, right: Column) -> Column:
+def turning_points(v_l: str, v_r: str, left: str, right: str) -> str:
     """Budgets of the parent at which the settled minimum of a split can change."""
-    points = F.flatten(
-        F.array(
-            F.array(v_l + v_r),
-            F.transform(left, lambda x: x["b"] + v_r),
-            F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: x["b"] + y["m"]))),
-            F.flatten(F.transform(right, lambda y: F.transform(left, lambda x: y["b"] + x["m"]))),
-        )
-    )
-    return F.filter(F.array_distinct(points), lambda b: b >= v_l + v_r)
+    points = f"""flatten(array(
+        array({v_l} + {v_r}),
+        transform({left}, x -> x.b + {v_r}),
+        flatten(transform({left}, x -> transform({right}, y -> x.b + y.m))),
+        flatten(transform({right}, y -> transform({left}, x -> y.b + x.m)))))"""
+    return f"filter(array_distinct({points}), q -> q >= {v_l} + {v_r})"
 
 
-def split_steps(v_l: Column, v_r: Column, left: Column, right: Column) -> Column:
+def split_steps(v_l: str, v_r: str, left: str, right: str) -> str:
     """Unmerged ``(b, m)`` points of one split."""
+    end = settle("t", v_r, left, right)
+    points = f"""transform(
+        transform({turning_points(v_l, v_r, left, right)}, t -> struct(t AS b, {end} AS e)),
+        z -> struct(z.b AS b, z.e.ml + z.e.mr AS m))"""
+    return f"filter({points}, w -> w.m IS NOT NULL)"
 
-    def point(b: Column) -> Column:
-        end = settle(b, v_r, left, right)
-        return F.struct(b.alias("b"), (end["ml"] + end["mr"]).alias("m"))
-
-    points = F.transform(turning_points(v_l, v_r, left, right), point)
-    return F.filter(points, lambda x: x["m"].isNotNull()).cast(STEPS)
 
-
-def lower_envelope(points: Column) -> Column:
+def lower_envelope(points: str) -> str:
     """Sort points by budget and keep those that lower the minimum."""
-
-    def push(acc: Column, x: Column) -> Column:
-        return F.when((F.size(acc) == 0) | (x["m"] < F.try_element_at(acc, F.lit(-1))["m"]), F.array_append(acc, x)).otherwise(acc)
-
-    return F.aggregate(F.array_sort(points), F.array().cast(STEPS), push)
+    return f"""aggregate(array_sort({points}), cast(array() AS {STEPS}), (acc, x) ->
+        if(size(acc) = 0 OR x.m < try_element_at(acc, -1).m, array_append(acc, x), acc))"""

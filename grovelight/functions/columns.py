@@ -1,88 +1,89 @@
-"""Column expressions shared by the operators.
+"""SQL expressions shared by the operators.
 
 A *literal* is the integer ``2 * feature + value`` (value 1 = feature is true =
 left branch).  An *itemset* is a sorted array of literals: the conjunction of
 conditions on the way from the root to a subproblem.
+
+Expressions are SQL text: an operator is one statement, built and parsed once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 
 # Fixed values that decide results: entropy clamp, and the number of decimals
 # at which two information gains count as tied (JVM and libm log2 differ by a
 # few ulp, so exact comparison would break ties of twin features at random).
-ENTROPY_EPS = 1e-12
-GAIN_SCALE = 1e12
+ENTROPY_EPS = "1e-12D"
+GAIN_SCALE = "1e12D"
 
-ITEMSET = "array<int>"
 COUNT = "decimal(38,0)"
+NO_LITERALS = "cast(array() AS array<int>)"
 
 
-def literal(feature: Column | int, value: int) -> Column:
-    feature = F.lit(feature) if isinstance(feature, int) else feature
-    return (feature * 2 + value).cast("int")
-
-
-def child_itemset(itemset: Column, feature: Column, value: int) -> Column:
-    """Canonical key of one side of a split."""
-    return F.array_sort(F.array_append(itemset, literal(feature, value)))
+def sql(statement: str, **tables: DataFrame) -> DataFrame:
+    """Run a statement over DataFrames named in it as ``{name}``."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.sql(statement, **tables)
 
 
-def empty_itemset() -> Column:
-    return F.array().cast(ITEMSET)
+def names(keys: Sequence[str], *columns: str, prefix: str = "") -> str:
+    """Comma-separated column list."""
+    return ", ".join(f"{prefix}{c}" for c in (*keys, *columns))
 
 
-def leaf_penalty(lam: float, rows: Column) -> Column:
-    """Objective of one leaf in rows: lambda * N, halves rounded away from zero."""
-    return F.round(F.lit(float(lam)) * rows.cast("double")).cast("bigint")
+def child_itemset(itemset: str, feature: str, value: int) -> str:
+    """Canonical key of one side of a split."""
+    return f"array_sort(array_append({itemset}, cast({feature} * 2 + {value} AS int)))"
 
 
-def leaf_objective(n: Column, p: Column, lam_n: int) -> Column:
-    return F.when(n == 0, F.lit(0).cast("bigint")).otherwise(F.lit(lam_n).cast("bigint") + F.least(p, n - p))
+def leaf_objective(n: str, p: str, lam_n: int) -> str:
+    return f"if({n} = 0, 0L, {lam_n}L + least({p}, {n} - {p}))"
 
 
-def is_cheap(leaf: Column, lam_n: int) -> Column:
+def is_cheap(leaf: str, lam_n: int) -> str:
     """No split can beat this leaf: two leaves alone already cost as much."""
-    return leaf <= F.lit(2 * lam_n)
+    return f"{leaf} <= {2 * lam_n}L"
 
 
-def entropy(p: Column) -> Column:
-    q = F.greatest(F.lit(ENTROPY_EPS), F.least(F.lit(1.0 - ENTROPY_EPS), p))
-    return -(q * F.log2(q) + (1.0 - q) * F.log2(1.0 - q))
+def entropy(p: str) -> str:
+    q = f"greatest({ENTROPY_EPS}, least(1D - {ENTROPY_EPS}, {p}))"
+    return f"-({q} * log2({q}) + (1D - {q}) * log2(1D - {q}))"
 
 
-def entropy_gain(n_l: Column, p_l: Column, n_r: Column, p_r: Column) -> Column:
-    n = n_l + n_r
-    return entropy((p_l + p_r) / n) - ((n_l / n) * entropy(p_l / n_l) + (n_r / n) * entropy(p_r / n_r))
+def entropy_gain(n_l: str, p_l: str, n_r: str, p_r: str) -> str:
+    n = f"({n_l} + {n_r})"
+    return (
+        f"({entropy(f'({p_l} + {p_r}) / {n}')} - (({n_l} / {n}) * {entropy(f'{p_l} / {n_l}')}"
+        f" + ({n_r} / {n}) * {entropy(f'{p_r} / {n_r}')}))"
+    )
 
 
-def gain_rank(gain: Column, feature: Column, n_features: int) -> Column:
+def gain_rank(gain: str, feature: str, n_features: int) -> str:
     """One BIGINT that sorts by gain descending, then feature ascending."""
-    return F.round(-gain * GAIN_SCALE).cast("bigint") * n_features + feature
+    return f"(cast(round(-({gain}) * {GAIN_SCALE}) AS bigint) * {n_features}L + {feature})"
 
 
-def loss_rank(loss: Column, feature: Column, n_features: int) -> Column:
+def loss_rank(loss: str, feature: str, n_features: int) -> str:
     """One BIGINT that sorts by loss ascending, then feature ascending."""
-    return loss * n_features + feature
+    return f"({loss} * {n_features}L + {feature})"
 
 
-def objective_bound(best: Column, mult: float, slack: float = 0.0) -> Column:
-    return F.round(best * F.lit(1.0 + mult) * F.lit(1.0 + slack)).cast("bigint")
+def objective_bound(best: str, mult: float, slack: float = 0.0) -> str:
+    return f"cast(round({best} * {float(1.0 + mult)!r}D * {float(1.0 + slack)!r}D) AS bigint)"
 
 
-def leaf_options(n: Column, p: Column, budget: Column, lam_n: int, majority_only: bool) -> Column:
+def leaf_options(n: str, p: str, budget: str, lam_n: int, majority_only: bool) -> str:
     """Array of ``(prediction, loss)`` leaves that fit into the budget."""
-    zero = F.struct(F.lit(0).alias("prediction"), (p + lam_n).alias("loss"))
-    one = F.struct(F.lit(1).alias("prediction"), (n - p + lam_n).alias("loss"))
-    if majority_only:
-        options = F.array(F.when(n - p <= p, one).otherwise(zero))
-    else:
-        options = F.array(zero, one)
-    return F.filter(options, lambda leaf: leaf["loss"] <= budget)
+    zero = f"struct(0 AS prediction, {p} + {lam_n}L AS loss)"
+    one = f"struct(1 AS prediction, {n} - {p} + {lam_n}L AS loss)"
+    options = f"array(if({n} - {p} <= {p}, {one}, {zero}))" if majority_only else f"array({zero}, {one})"
+    return f"filter({options}, x -> x.loss <= {budget})"
 
 
-def hash_draw(*parts: Column) -> Column:
+def hash_draw(*parts: str) -> str:
     """Uniform 32-bit draw from text parts; equal in every SQL engine with md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
+    text = ", ".join(f"cast({p} AS string)" for p in parts)
+    return f"cast(conv(substr(md5(concat_ws('|', {text})), 1, 8), 16, 10) AS bigint)"

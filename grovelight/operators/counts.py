@@ -10,24 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.columns import ITEMSET, empty_itemset
+from ..functions.columns import NO_LITERALS, names, sql
 from .patterns import held_literals
 
 
-def _grow(df: DataFrame, chosen: str, rest: str, may_pick: Column, may_stop: Column) -> DataFrame:
-    """One step of subset growth: pick a later element of ``rest``, or stop."""
-    stop = F.when(may_stop, F.array(F.lit(None).cast("int"))).otherwise(F.array().cast(ITEMSET))
-    options = F.concat(F.when(may_pick, F.col(rest)).otherwise(F.array().cast(ITEMSET)), stop)
-    kept = [c for c in df.columns if c not in (chosen, rest)]
-    picked = F.col("option").isNotNull()
-    return df.select("*", F.posexplode(options).alias("at", "option")).select(
-        *kept,
-        F.when(picked, F.array_append(chosen, F.col("option"))).otherwise(F.col(chosen)).alias(chosen),
-        F.when(picked, F.slice(rest, F.col("at") + 2, F.size(rest))).otherwise(F.array().cast(ITEMSET)).alias(rest),
-    )
+def _grow(source: str, kept: str, chosen: str, may_pick: str, may_stop: str) -> str:
+    """One step of subset growth: add a later element of ``rest``, or stop."""
+    stop = f"if({may_stop}, array(cast(NULL AS int)), {NO_LITERALS})"
+    return f"""SELECT {kept}, if(pick IS NULL, {chosen}, array_append({chosen}, pick)) {chosen},
+        if(pick IS NULL, {NO_LITERALS}, slice(rest, at + 2, size(rest))) rest
+        FROM (SELECT *, posexplode(concat(if({may_pick}, rest, {NO_LITERALS}), {stop})) AS (at, pick) FROM ({source}))"""
 
 
 def rare_cube(patterns: DataFrame, rare: Sequence[int], depth: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -36,10 +30,12 @@ def rare_cube(patterns: DataFrame, rare: Sequence[int], depth: int, keys: Sequen
     Subsets are generated per pattern and summed map-side, so the shuffle carries
     at most one row per set and task, whatever the number of patterns.
     """
-    df = patterns.select(*keys, "n", "p", empty_itemset().alias("rare_set"), held_literals(rare).alias("rest"))
+    kept = names(keys, "n", "p")
+    rows = f"SELECT {kept}, {NO_LITERALS} rare_set, {held_literals(rare)} rest FROM {{patterns}}"
     for _ in range(depth):
-        df = _grow(df, "rare_set", "rest", F.lit(True), F.lit(True))
-    return df.groupBy(*keys, "rare_set").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        rows = _grow(rows, kept, "rare_set", "true", "true")
+    group = names(keys, "rare_set")
+    return sql(f"SELECT {group}, sum(n) n, sum(p) p FROM ({rows}) GROUP BY {group}", patterns=patterns)
 
 
 def signed_counts(
@@ -52,37 +48,20 @@ def signed_counts(
     rare literals and the rare forms of all its literals, with the sign of the
     number of literals it turns around.
     """
-    universe = F.array(*[F.lit(x) for x in rare]).cast(ITEMSET)
-    df = cube.select(
-        *keys,
-        "n",
-        "p",
-        "rare_set",
-        empty_itemset().alias("extra"),
-        F.array_except(universe, F.col("rare_set")).alias("rest"),
-    )
+    universe = f"array({names((), *map(str, rare))})"
+    kept = names(keys, "n", "p", "rare_set")
+    rows = f"SELECT {kept}, {NO_LITERALS} extra, array_except({universe}, rare_set) rest FROM {{cube}}"
+    room = f"size(rare_set) + size(extra) < {depth}"
     for _ in range(depth):
-        room = F.size("rare_set") + F.size("extra") < depth
-        df = _grow(df, "extra", "rest", room, ~room if exact_size else F.lit(True))
-    df = df.select(
-        *keys,
-        "n",
-        "p",
-        "rare_set",
-        "extra",
-        F.explode(F.expr("sequence(0, shiftleft(1, size(rare_set)) - 1)")).alias("flips"),
-    )
-    if exact_size:
-        df = df.filter(F.size("rare_set") + F.size("extra") == depth)
-    sign = (1 - 2 * (F.bit_count("flips") % 2)).cast("bigint")
-    itemset = F.expr(
-        "array_sort(concat(transform(rare_set, (x, i) -> x ^ (shiftright(flips, i) & 1)), transform(extra, x -> x ^ 1)))"
-    ).cast(ITEMSET)
-    return (
-        df.select(*keys, itemset.alias("itemset"), (sign * F.col("n")).alias("n"), (sign * F.col("p")).alias("p"))
-        .groupBy(*keys, "itemset")
-        .agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-        .filter("n > 0")
+        rows = _grow(rows, kept, "extra", room, f"NOT ({room})" if exact_size else "true")
+    group = names(keys, "itemset")
+    return sql(
+        f"""SELECT {group}, sum(sign * n) n, sum(sign * p) p FROM (
+            SELECT {names(keys, "n", "p")}, 1L - 2 * (bit_count(flips) % 2) sign, array_sort(concat(
+                transform(rare_set, (x, i) -> x ^ (shiftright(flips, i) & 1)), transform(extra, x -> x ^ 1))) itemset
+            FROM (SELECT *, explode(sequence(0, shiftleft(1, size(rare_set)) - 1)) flips FROM ({rows}))
+        ) GROUP BY {group} HAVING n > 0""",
+        cube=cube,
     )
 
 
@@ -92,40 +71,31 @@ def itemset_counts(
     return signed_counts(rare_cube(patterns, rare, depth, keys), rare, depth, keys, exact_size)
 
 
-def to_parents(children: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per (child, literal): the parent conjunction and the split that
-    leads from it to the child."""
-    rows = children.select("*", F.explode("itemset").alias("literal"))
-    rest = [c for c in children.columns if c not in (*keys, "itemset")]
-    return rows.select(
-        *keys,
-        F.array_remove("itemset", F.col("literal")).alias("itemset"),
-        F.expr("shiftright(literal, 1)").alias("feature"),
-        (F.col("literal") % 2).alias("value"),
-        *rest,
+def to_parents(children: str, keys: Sequence[str], *carried: str) -> str:
+    """Query text: one row per (child, literal), giving the parent conjunction
+    and the split that leads from it to the child."""
+    return f"""SELECT {names(keys)}{", " if keys else ""}array_remove(itemset, literal) itemset,
+        shiftright(literal, 1) feature, literal & 1 value, {names((), *carried)}
+        FROM (SELECT *, explode(itemset) literal FROM {children})"""
+
+
+def side_sums(**columns: str) -> str:
+    """``<name>_l`` and ``<name>_r``: sums over the true and the false side."""
+    return ", ".join(
+        f"sum(if(value = {v}, {source}, 0L)) {name}_{s}" for s, v in (("l", 1), ("r", 0)) for name, source in columns.items()
     )
 
 
 def split_contingency(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``(n_l, p_l, n_r, p_r)`` per parent conjunction and feature."""
-    left, right = F.col("value") == 1, F.col("value") == 0
-    zero = F.lit(0).cast("bigint")
-
-    def side(name: str, cond: Column) -> Column:
-        return F.sum(F.when(cond, F.col(name)).otherwise(zero))
-
-    return (
-        to_parents(counts.select(*keys, "itemset", "n", "p"), keys)
-        .groupBy(*keys, "itemset", "feature")
-        .agg(
-            side("n", left).alias("n_l"),
-            side("p", left).alias("p_l"),
-            side("n", right).alias("n_r"),
-            side("p", right).alias("p_r"),
-        )
+    group = names(keys, "itemset", "feature")
+    return sql(
+        f"""SELECT {group}, {side_sums(n="n", p="p")} FROM ({to_parents("{counts}", keys, "n", "p")})
+        GROUP BY {group}""",
+        counts=counts,
     )
 
 
 def valid_splits(contingency: DataFrame) -> DataFrame:
     """Drop splits that leave a side empty."""
-    return contingency.filter("n_l > 0 AND n_r > 0")
+    return contingency.where("n_l > 0 AND n_r > 0")

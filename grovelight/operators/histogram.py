@@ -9,32 +9,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.columns import COUNT
+from ..functions.columns import COUNT, names, sql
 
 
-def pair_children(splits: DataFrame, hist: DataFrame, keys: Sequence[str] = (), measures: Sequence[str] = ()) -> DataFrame:
-    """All affordable combinations of a left and a right objective per split."""
-    sides = {}
-    for s in ("left", "right"):
-        sides[s] = hist.select(
-            *keys,
-            F.col("itemset").alias(f"{s}_itemset"),
-            F.col("budget").alias(f"{s}_budget"),
-            F.col("obj").alias(f"obj_{s[0]}"),
-            F.col("cnt").alias(f"cnt_{s[0]}"),
-            *(F.col(m).alias(f"{m}_{s[0]}") for m in measures),
-        )
-    return (
-        splits.select(
-            *keys, "itemset", "budget", "feature", "left_itemset", "left_budget", "right_itemset", "right_budget"
-        )
-        .join(sides["left"], [*keys, "left_itemset", "left_budget"])
-        .filter("obj_l <= budget")
-        .join(sides["right"], [*keys, "right_itemset", "right_budget"])
-        .filter("obj_l + obj_r <= budget")
-    )
+def pair_children(keys: Sequence[str] = (), measures: Sequence[str] = ()) -> str:
+    """Query text over ``{splits}`` and ``{hist}``: all affordable combinations of
+    a left and a right objective per split."""
+
+    def side(s: str) -> str:
+        carried = [f"obj AS obj_{s[0]}", f"cnt AS cnt_{s[0]}", *(f"{m} AS {m}_{s[0]}" for m in measures)]
+        return f"(SELECT {names(keys, f'itemset AS {s}_itemset', f'budget AS {s}_budget', *carried)} FROM {{hist}})"
+
+    carried = names(keys, "left_itemset", "left_budget", "right_itemset", "right_budget")
+    return f"""SELECT * FROM (SELECT itemset, budget, feature, {carried} FROM {{splits}})
+        JOIN {side("left")} USING ({names(keys, "left_itemset", "left_budget")})
+        JOIN {side("right")} USING ({names(keys, "right_itemset", "right_budget")})
+        WHERE obj_l + obj_r <= budget"""
 
 
 def fold_level(
@@ -48,30 +39,26 @@ def fold_level(
 
     ``leaves`` carries ``loss`` and one column per measure.
     """
-    one = F.lit(1).cast(COUNT)
-    rows = leaves.select(*keys, "itemset", "budget", F.col("loss").alias("obj"), *measures, one.alias("cnt"))
+    node = names(keys, "itemset", "budget")
+    group = names(keys, "itemset", "budget", "obj", *measures)
+    rows = f"SELECT {names(keys, 'itemset', 'budget', 'loss AS obj', *measures)}, cast(1 AS {COUNT}) cnt FROM {{leaves}}"
+    tables = {"leaves": leaves}
     if splits is not None:
-        pairs = pair_children(splits, child_hist, keys, measures).select(
-            *keys,
-            "itemset",
-            "budget",
-            (F.col("obj_l") + F.col("obj_r")).alias("obj"),
-            *((F.col(f"{m}_l") + F.col(f"{m}_r")).alias(m) for m in measures),
-            (F.col("cnt_l") * F.col("cnt_r")).cast(COUNT).alias("cnt"),
-        )
-        rows = rows.unionByName(pairs)
-    return rows.groupBy(*keys, "itemset", "budget", "obj", *measures).agg(F.sum("cnt").cast(COUNT).alias("cnt"))
+        tables |= {"splits": splits, "hist": child_hist}
+        sums = ["obj_l + obj_r AS obj", *(f"{m}_l + {m}_r AS {m}" for m in measures)]
+        rows += f""" UNION ALL SELECT {node}, {names((), *sums)}, cast(cnt_l * cnt_r AS {COUNT}) cnt
+            FROM ({pair_children(keys, measures)})"""
+    return sql(f"SELECT {group}, cast(sum(cnt) AS {COUNT}) cnt FROM ({rows}) GROUP BY {group}", **tables)
 
 
 def split_counts(splits: DataFrame, child_hist: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Number of trees under every split (0 where no pair is affordable)."""
-    pairs = (
-        pair_children(splits, child_hist, keys)
-        .groupBy(*keys, "itemset", "budget", "feature")
-        .agg(F.sum(F.col("cnt_l") * F.col("cnt_r")).cast(COUNT).alias("cnt"))
-    )
-    return (
-        splits.select(*keys, "itemset", "budget", "feature")
-        .join(pairs, [*keys, "itemset", "budget", "feature"], "left")
-        .withColumn("cnt", F.coalesce("cnt", F.lit(0).cast(COUNT)))
+    split = names(keys, "itemset", "budget", "feature")
+    return sql(
+        f"""SELECT {split}, cast(coalesce(cnt, 0) AS {COUNT}) cnt
+        FROM (SELECT {split} FROM {{splits}}) LEFT JOIN (
+            SELECT {split}, sum(cnt_l * cnt_r) cnt FROM ({pair_children(keys)}) GROUP BY {split})
+        USING ({split})""",
+        splits=splits,
+        hist=child_hist,
     )

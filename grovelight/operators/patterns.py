@@ -7,11 +7,10 @@ into BIGINT words first: the shuffle key is 8 bytes per 62 features.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from ..functions.columns import names, sql
 from ..sources.tables import truth
 
 WORD_BITS = 62
@@ -21,49 +20,49 @@ def words(n_features: int) -> list[str]:
     return [f"w{i}" for i in range((n_features + WORD_BITS - 1) // WORD_BITS)]
 
 
-def pack(bits: Sequence[Column]) -> list[Column]:
-    """0/1 columns, in feature order, as BIGINT word columns."""
+def pack(bits: Sequence[str]) -> list[str]:
+    """0/1 expressions, in feature order, as BIGINT word columns."""
     packed = []
     for i, name in enumerate(words(len(bits))):
         chunk = bits[i * WORD_BITS : (i + 1) * WORD_BITS]
-        shifted = [F.shiftleft(bit.cast("bigint"), j) for j, bit in enumerate(chunk)]
-        packed.append(reduce(lambda a, b: a.bitwiseOR(b), shifted).alias(name))
+        packed.append(" | ".join(f"shiftleft(cast({b} AS bigint), {j})" for j, b in enumerate(chunk)) + f" AS {name}")
     return packed
 
 
-def bit(feature: int) -> Column:
+def bit(feature: int, prefix: str = "") -> str:
     """Value of one feature of a packed row."""
-    return F.shiftright(F.col(f"w{feature // WORD_BITS}"), feature % WORD_BITS).bitwiseAND(F.lit(1).cast("bigint"))
+    return f"(shiftright({prefix}w{feature // WORD_BITS}, {feature % WORD_BITS}) & 1L)"
 
 
-def held_literals(literals: Sequence[int]) -> Column:
+def held_literals(literals: Sequence[int]) -> str:
     """Those of the given literals that a packed row satisfies, in given order."""
-    options = F.array(*[F.when(bit(lit // 2) == lit % 2, F.lit(lit)) for lit in literals])
-    return F.filter(options, lambda x: x.isNotNull())
+    options = ", ".join(f"if({bit(lit // 2)} = {lit % 2}, {lit}, NULL)" for lit in literals)
+    return f"array_compact(array({options}))"
 
 
 def packed_rows(df: DataFrame, features: Sequence[str], label: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    columns = [F.col(c) for c in keep] + pack([truth(df, c) for c in features])
+    columns = [*(f"`{c}`" for c in keep), *pack([truth(df, c) for c in features])]
     if label is not None:
-        columns.append(truth(df, label).cast("bigint").alias("y"))
-    return df.select(*columns)
+        columns.append(f"cast({truth(df, label)} AS bigint) AS y")
+    return df.selectExpr(*columns)
 
 
-def compact(rows: DataFrame, n_features: int, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+def compact(rows: DataFrame, n_features: int, keys: Sequence[str] = (), weight: str = "1L") -> DataFrame:
     """``(keys, words) -> (n, p)``; one shuffle with map-side combine."""
-    weight = F.lit(1).cast("bigint") if weight is None else weight
-    return rows.groupBy(*keys, *words(n_features)).agg(
-        F.sum(weight).alias("n"), F.sum(weight * F.col("y")).alias("p")
-    )
+    group = names(keys, *words(n_features))
+    return sql(f"SELECT {group}, sum({weight}) n, sum({weight} * y) p FROM {{rows}} GROUP BY {group}", rows=rows)
 
 
 def literal_totals(patterns: DataFrame, n_features: int) -> tuple[int, list[int]]:
     """Row count and per-feature count of true values (1 + features numbers)."""
-    slots = F.array_append(F.transform(held_literals([2 * f + 1 for f in range(n_features)]), lambda x: x), F.lit(-1))
-    totals = dict(
-        patterns.select("n", F.explode(slots).alias("slot")).groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    )
-    return int(totals.get(-1, 0)), [int(totals.get(2 * f + 1, 0)) for f in range(n_features)]
+    held = held_literals([2 * f + 1 for f in range(n_features)])
+    rows = sql(
+        f"""SELECT slot, sum(n) n FROM (SELECT n, explode(array_append({held}, -1)) slot FROM {{patterns}})
+        GROUP BY slot""",
+        patterns=patterns,
+    ).collect()
+    totals = {row["slot"]: int(row["n"]) for row in rows}
+    return totals.get(-1, 0), [totals.get(2 * f + 1, 0) for f in range(n_features)]
 
 
 def rare_literals(rows: int, true_counts: Sequence[int]) -> list[int]:

@@ -19,8 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions.columns import (
     entropy_gain,
@@ -28,8 +27,10 @@ from ..functions.columns import (
     is_cheap,
     leaf_objective,
     loss_rank,
+    names,
+    sql,
 )
-from .counts import to_parents
+from .counts import side_sums, to_parents
 
 ALWAYS_LOSS, ENTROPY_THEN_EXACT, ALWAYS_ENTROPY = 2, 1, 0
 
@@ -104,13 +105,8 @@ class ProxyRule:
 
 def base_level(counts: DataFrame, rule: ProxyRule, keys: Sequence[str] = ()) -> DataFrame:
     """Itemsets that are not split any more: every estimate is the leaf."""
-    leaf = leaf_objective(F.col("n"), F.col("p"), rule.lam_n)
-    return counts.select(*keys, "itemset", "n", "p", *(leaf.alias(e) for e in rule.estimates))
-
-
-def _pick(rank: Column, outcome: Column, ok: Column) -> Column:
-    """Outcome of the split with the least rank."""
-    return F.min_by(F.when(ok, outcome), F.when(ok, rank))
+    leaf = leaf_objective("n", "p", rule.lam_n)
+    return counts.selectExpr(*keys, "itemset", "n", "p", *(f"{leaf} AS {e}" for e in rule.estimates))
 
 
 def parent_level(children: DataFrame, depth_left: int, rule: ProxyRule, keys: Sequence[str] = ()) -> DataFrame:
@@ -119,62 +115,54 @@ def parent_level(children: DataFrame, depth_left: int, rule: ProxyRule, keys: Se
     Output: ``keys, itemset, n, p, <estimates>, splits`` where ``splits`` holds
     ``(feature, n_l, p_l, v_l, n_r, p_r, v_r)``, one entry per valid split.
     """
-    f = F.col("feature")
-    estimates = rule.estimates
-    admit = rule.admission(depth_left)
-    left, right = F.col("value") == 1, F.col("value") == 0
-    zero = F.lit(0).cast("bigint")
-
-    sides = [
-        F.sum(F.when(cond, F.col(src)).otherwise(zero)).alias(f"{dst}_{s}")
-        for s, cond in (("l", left), ("r", right))
-        for src, dst in (("n", "n"), ("p", "p"), (admit, "v"))
-    ]
-    both = [F.sum(e).alias(f"{e}_sum") for e in estimates]
-    splits = (
-        to_parents(children.select(*keys, "itemset", "n", "p", *estimates), keys)
-        .repartition(*keys, "itemset")
-        .groupBy(*keys, "itemset", "feature")
-        .agg(*sides, *both)
-    )
-
-    n_l, p_l, n_r, p_r = (F.col(c) for c in ("n_l", "p_l", "n_r", "p_r"))
-    valid = (n_l > 0) & (n_r > 0)
-    ok = valid & (f < rule.searched)
-    by_loss = loss_rank(F.col("leaf_sum"), f, rule.n_features)
-    by_gain = gain_rank(entropy_gain(n_l, p_l, n_r, p_r), f, rule.n_features)
-    by_rule = by_loss if rule.greedy_mode == ALWAYS_LOSS else F.when(valid, by_gain)
-
-    outcomes = {"x": F.min(F.when(ok, F.col("x_sum"))), "g": _pick(by_rule, F.col("g_sum"), ok)}
+    valid = "n_l > 0 AND n_r > 0"
+    ok = f"{valid} AND feature < {rule.searched}"
+
+    def pick(rank: str, outcome: str) -> str:
+        """Outcome of the split with the least rank."""
+        return f"min_by(if({ok}, {outcome}, NULL), if({ok}, {rank}, NULL))"
+
+    by_loss = loss_rank("leaf_sum", "feature", rule.n_features)
+    by_gain = gain_rank(entropy_gain("n_l", "p_l", "n_r", "p_r"), "feature", rule.n_features)
+    best = {
+        "x": f"min(if({ok}, x_sum, NULL))",
+        "g": pick(by_loss if rule.greedy_mode == ALWAYS_LOSS else by_gain, "g_sum"),
+    }
     for k in rule.lookaheads:
         chooser = "g_sum" if k <= 1 else f"v{k - 1}_sum"
         after = rule.next_lookahead(k)
-        outcome = "g_sum" if after is None else f"v{after}_sum"
-        outcomes[f"v{k}"] = _pick(loss_rank(F.col(chooser), f, rule.n_features), F.col(outcome), ok)
-
-    entry = F.struct("feature", "n_l", "p_l", "v_l", "n_r", "p_r", "v_r")
-    grouped = splits.groupBy(*keys, "itemset").agg(
-        F.max(n_l + n_r).alias("n"),
-        F.max(p_l + p_r).alias("p"),
-        *(col.alias(f"{name}_best") for name, col in outcomes.items()),
-        F.array_sort(F.collect_list(F.when(valid, entry))).alias("splits"),
-    )
-    leaf = leaf_objective(F.col("n"), F.col("p"), rule.lam_n)
-    grouped = grouped.withColumn("leaf", leaf)
-
-    def settled(name: str) -> Column:
-        # LEAST skips NULL: no valid split leaves the leaf
-        best = F.least(F.col("leaf"), F.col(f"{name}_best"))
-        return F.when(is_cheap(F.col("leaf"), rule.lam_n), F.col("leaf")).otherwise(best)
+        best[f"v{k}"] = pick(
+            loss_rank(chooser, "feature", rule.n_features), "g_sum" if after is None else f"v{after}_sum"
+        )
 
     def source(name: str) -> str:
         """Shallow subproblems are solved exactly whatever the estimate."""
         if name == "g":
-            return "x" if depth_left == 1 and rule.greedy_mode != ALWAYS_ENTROPY else "g"
-        if name.startswith("v"):
-            k = int(name[1:])
-            return "x" if depth_left == 1 or (k >= 1 and k >= depth_left - 1) else name
-        return name
-
-    values = [F.col("leaf")] + [settled(source(e)).alias(e) for e in estimates if e != "leaf"]
-    return grouped.select(*keys, "itemset", "n", "p", *values, "splits")
+            exact = depth_left == 1 and rule.greedy_mode != ALWAYS_ENTROPY
+        else:
+            exact = name == "x" or depth_left == 1 or int(name[1:]) >= max(depth_left - 1, 1)
+        return "x" if exact else name
+
+    # LEAST skips NULL: without a valid split the leaf remains
+    values = ", ".join(
+        f"if({is_cheap('leaf', rule.lam_n)}, leaf, least(leaf, {source(e)}_best)) {e}"
+        for e in rule.estimates
+        if e != "leaf"
+    )
+    parent, both = names(keys, "itemset"), [f"sum({e}) {e}_sum" for e in rule.estimates]
+    return sql(
+        f"""WITH sides AS (
+            SELECT /*+ REPARTITION({parent}) */ *
+            FROM ({to_parents("{children}", keys, "n", "p", *rule.estimates)})),
+        split AS (
+            SELECT {parent}, feature, {side_sums(n="n", p="p", v=rule.admission(depth_left))}, {names((), *both)}
+            FROM sides GROUP BY {parent}, feature),
+        chosen AS (
+            SELECT {parent}, max(n_l + n_r) n, max(p_l + p_r) p,
+                {names((), *(f"{expr} {name}_best" for name, expr in best.items()))},
+                array_sort(collect_list(if({valid}, struct(feature, n_l, p_l, v_l, n_r, p_r, v_r), NULL))) splits
+            FROM split GROUP BY {parent}),
+        with_leaf AS (SELECT *, {leaf_objective("n", "p", rule.lam_n)} leaf FROM chosen)
+        SELECT {parent}, n, p, leaf, {values}, splits FROM with_leaf""",
+        children=children,
+    )

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.columns import COUNT, child_itemset
+from ..functions.columns import COUNT, NO_LITERALS, child_itemset, sql
 from .histogram import pair_children
 
 CHUNK = 1 << 16
@@ -24,101 +23,86 @@ def objective_ranges(root_hist: DataFrame) -> DataFrame:
     The window runs over distinct objectives, of which there are at most as many
     as the bound has integers, not over trees.
     """
-    before = Window.orderBy("obj").rowsBetween(Window.unboundedPreceding, -1)
-    return root_hist.select("obj", "cnt").withColumn(
-        "first", F.coalesce(F.sum("cnt").over(before), F.lit(0)).cast(COUNT)
+    return sql(
+        f"""SELECT budget, obj, cnt, cast(coalesce(sum(cnt) OVER (
+                PARTITION BY budget ORDER BY obj ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {COUNT}) first
+        FROM {{hist}}""",
+        hist=root_hist,
     )
 
 
 def ranks(ranges: DataFrame, start: int = 0, stop: int | None = None, max_obj: int | None = None) -> DataFrame:
-    """``(tree_id, obj, k)`` for tree ids in ``[start, stop)``.
+    """``(tree_id, budget, obj, k)`` for tree ids in ``[start, stop)``.
 
     Ids are generated in chunks that are spread over the cluster before they are
     unrolled, so one objective with very many trees is not one task's work.
     """
-    if max_obj is not None:
-        ranges = ranges.filter(F.col("obj") <= max_obj)
-    end = F.col("first") + F.col("cnt")
-    lo = F.greatest(F.col("first"), F.lit(start)).cast("bigint")
-    hi = (end if stop is None else F.least(end, F.lit(stop))).cast("bigint")
-    chunks = (
-        ranges.select("obj", "first", lo.alias("lo"), hi.alias("hi"))
-        .filter("lo < hi")
-        .select("obj", "first", "hi", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(CHUNK))).alias("lo"))
-        .repartition("lo")
-    )
-    ids = F.sequence("lo", F.least(F.col("hi"), F.col("lo") + CHUNK) - 1)
-    return chunks.select("obj", "first", F.explode(ids).alias("tree_id")).select(
-        "tree_id", "obj", (F.col("tree_id") - F.col("first")).cast(COUNT).alias("k")
+    wanted = "true" if max_obj is None else f"obj <= {int(max_obj)}"
+    hi = "first + cnt" if stop is None else f"least(first + cnt, {int(stop)})"
+    return sql(
+        f"""WITH bounds AS (
+            SELECT budget, obj, first, cast(greatest(first, {int(start)}) AS bigint) lo, cast({hi} AS bigint) hi
+            FROM {{ranges}} WHERE {wanted}),
+        chunks AS (
+            SELECT /*+ REPARTITION(lo) */ * FROM (
+                SELECT budget, obj, first, hi, explode(sequence(lo, hi - 1, {CHUNK}L)) lo FROM bounds WHERE lo < hi)),
+        ids AS (
+            SELECT budget, obj, first, explode(sequence(lo, least(hi, lo + {CHUNK}L) - 1)) tree_id FROM chunks)
+        SELECT tree_id, budget, obj, cast(tree_id - first AS {COUNT}) k FROM ids""",
+        ranges=ranges,
     )
 
 
+def first_requests(ids: DataFrame) -> DataFrame:
+    return ids.selectExpr("tree_id", f"{NO_LITERALS} AS path", f"{NO_LITERALS} AS itemset", "budget", "obj", "k")
+
+
 def node_entries(leaves: DataFrame, splits: DataFrame | None, child_hist: DataFrame | None) -> DataFrame:
     """Per node and objective, the ordered choices with their rank offsets."""
-    no_obj = F.lit(None).cast("bigint")
-    one = F.lit(1).cast(COUNT)
-    rows = leaves.select(
-        "itemset",
-        "budget",
-        F.col("loss").alias("obj"),
-        "prediction",
-        F.lit(-1).alias("feature"),
-        no_obj.alias("obj_l"),
-        no_obj.alias("left_budget"),
-        no_obj.alias("right_budget"),
-        one.alias("cnt_r"),
-        one.alias("cnt"),
-    )
+    rows = f"""SELECT itemset, budget, loss obj, prediction, -1 feature, cast(NULL AS bigint) obj_l,
+            cast(NULL AS bigint) left_budget, cast(NULL AS bigint) right_budget,
+            cast(1 AS {COUNT}) cnt_r, cast(1 AS {COUNT}) cnt
+        FROM {{leaves}}"""
+    tables = {"leaves": leaves}
     if splits is not None:
-        pairs = pair_children(splits, child_hist).select(
-            "itemset",
-            "budget",
-            (F.col("obj_l") + F.col("obj_r")).alias("obj"),
-            F.lit(None).cast("int").alias("prediction"),
-            "feature",
-            "obj_l",
-            "left_budget",
-            "right_budget",
-            "cnt_r",
-            (F.col("cnt_l") * F.col("cnt_r")).cast(COUNT).alias("cnt"),
-        )
-        rows = rows.unionByName(pairs)
-    choices = Window.partitionBy("itemset", "budget", "obj").orderBy("feature", "prediction", "obj_l")
-    before = choices.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("first", F.coalesce(F.sum("cnt").over(before), F.lit(0)).cast(COUNT))
+        tables |= {"splits": splits, "hist": child_hist}
+        rows += f""" UNION ALL SELECT itemset, budget, obj_l + obj_r obj, cast(NULL AS int) prediction, feature, obj_l,
+            left_budget, right_budget, cnt_r, cast(cnt_l * cnt_r AS {COUNT}) cnt FROM ({pair_children()})"""
+    return sql(
+        f"""SELECT *, cast(coalesce(sum(cnt) OVER (
+                PARTITION BY itemset, budget, obj ORDER BY feature, prediction, obj_l
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {COUNT}) first
+        FROM ({rows})""",
+        **tables,
+    )
 
 
 def descend(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Choose the entry of each request ``(tree_id, path, itemset, budget, obj, k)``."""
-    node = ["itemset", "budget", "obj"]
-    inside = (F.col("k") >= F.col("first")) & (F.col("k") < F.col("first") + F.col("cnt"))
-    chosen = requests.join(entries, node).filter(inside)
-    return chosen.withColumn("k", (F.col("k") - F.col("first")).cast(COUNT))
+    return sql(
+        f"""SELECT tree_id, path, itemset, obj, cast(k - first AS {COUNT}) k,
+            prediction, feature, obj_l, left_budget, right_budget, cnt_r
+        FROM {{requests}} JOIN {{entries}} USING (itemset, budget, obj)
+        WHERE k >= first AND k < first + cnt""",
+        requests=requests,
+        entries=entries,
+    )
 
 
 def chosen_leaves(chosen: DataFrame) -> DataFrame:
-    return chosen.filter("feature < 0").select("tree_id", "path", "itemset", "prediction", F.col("obj").alias("loss"))
+    return chosen.where("feature < 0").selectExpr("tree_id", "path", "itemset", "prediction", "obj AS loss")
 
 
 def chosen_children(chosen: DataFrame) -> DataFrame:
     """Requests of the next level: one per side of every chosen split."""
-    f, k, cnt_r = F.col("feature"), F.col("k"), F.col("cnt_r")
-    right_rank = k % cnt_r
-
-    def request(sign: int, value: int, budget: str, obj: Column, rank: Column) -> Column:
-        return F.struct(
-            F.array_append("path", (sign * (f + 1)).cast("int")).alias("path"),
-            child_itemset(F.col("itemset"), f, value).alias("itemset"),
-            F.col(budget).alias("budget"),
-            obj.alias("obj"),
-            rank.cast(COUNT).alias("k"),
-        )
-
-    sides = F.array(
-        request(1, 1, "left_budget", F.col("obj_l"), (k - right_rank) / cnt_r),
-        request(-1, 0, "right_budget", F.col("obj") - F.col("obj_l"), right_rank),
-    )
-    return chosen.filter("feature >= 0").select("tree_id", F.inline(sides))
+
+    def request(step: str, value: int, budget: str, obj: str, rank: str) -> str:
+        return f"""struct(array_append(path, {step}) AS path, {child_itemset("itemset", "feature", value)} AS itemset,
+            {budget} AS budget, {obj} AS obj, cast({rank} AS {COUNT}) AS k)"""
+
+    left = request("feature + 1", 1, "left_budget", "obj_l", "(k - k % cnt_r) / cnt_r")
+    right = request("-(feature + 1)", 0, "right_budget", "obj - obj_l", "k % cnt_r")
+    return chosen.where("feature >= 0").selectExpr("tree_id", f"inline(array({left}, {right}))")
 
 
 def number_leaves(leaves: DataFrame) -> DataFrame:
@@ -126,41 +110,38 @@ def number_leaves(leaves: DataFrame) -> DataFrame:
 
     A tree has at most 2^depth leaves, which bounds the window partition.
     """
-    turns = F.transform("path", lambda step: F.when(step > 0, 0).otherwise(1))
-    order = Window.partitionBy("tree_id").orderBy("turns")
-    return (
-        leaves.withColumn("turns", turns)
-        .withColumn("leaf_no", (F.row_number().over(order) - 1).cast("int"))
-        .select("tree_id", "leaf_no", "path", "itemset", "prediction", "loss")
+    return leaves.selectExpr(
+        "tree_id",
+        """cast(row_number() OVER (PARTITION BY tree_id ORDER BY transform(path, x -> if(x > 0, 0, 1))) - 1 AS int)
+        AS leaf_no""",
+        "path",
+        "itemset",
+        "prediction",
+        "loss",
     )
 
 
-def path_text(path: Column) -> Column:
+def path_text(path: str) -> str:
     """``[+0, -1]``: 0-based features, the sign kept for feature 0."""
-    steps = F.transform(path, lambda s: F.concat(F.when(s > 0, "+").otherwise("-"), (F.abs(s) - 1).cast("string")))
-    return F.concat(F.lit("["), F.array_join(steps, ", "), F.lit("]"))
+    step = f"transform({path}, x -> concat(if(x > 0, '+', '-'), cast(abs(x) - 1 AS string)))"
+    return f"concat('[', array_join({step}, ', '), ']')"
 
 
-def tree_nodes(leaves: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+def tree_nodes(leaves: DataFrame, feature_names: Sequence[str] | None = None) -> DataFrame:
     """Explicit nodes of trees given by their leaves.
 
     ``prefix`` is the path to the node; ``feature`` is NULL at leaves.
     """
-    size = F.size("path")
-    steps = leaves.select("tree_id", "path", "prediction", F.explode(F.sequence(F.lit(0), size)).alias("depth"))
-    nodes = steps.select(
-        "tree_id",
-        F.slice("path", 1, F.col("depth")).alias("prefix"),
-        "depth",
-        (F.abs(F.try_element_at("path", F.col("depth") + 1)) - 1).cast("int").alias("feature"),
-        F.when(F.col("depth") == size, F.col("prediction")).alias("prediction"),
-    ).groupBy("tree_id", "prefix").agg(
-        F.max("depth").alias("depth"),
-        F.max("feature").alias("feature"),
-        F.max("prediction").alias("prediction"),
-        F.count(F.lit(1)).alias("leaves"),
+    nodes = sql(
+        """SELECT tree_id, prefix, max(depth) depth, max(feature) feature, max(prediction) prediction, count(*) leaves
+        FROM (
+            SELECT tree_id, slice(path, 1, depth) prefix, depth, abs(try_element_at(path, depth + 1)) - 1 feature,
+                if(depth = size(path), prediction, NULL) prediction
+            FROM (SELECT *, explode(sequence(0, size(path))) depth FROM {leaves}))
+        GROUP BY tree_id, prefix""",
+        leaves=leaves,
     )
-    if names is not None:
-        labels = F.array(*[F.lit(n) for n in names])
-        nodes = nodes.withColumn("name", F.try_element_at(labels, F.col("feature") + 1))
-    return nodes
+    if feature_names is None:
+        return nodes
+    labels = ", ".join("'" + str(n).replace("'", "\\'") + "'" for n in feature_names)
+    return nodes.selectExpr("*", f"try_element_at(array({labels}), feature + 1) AS name")

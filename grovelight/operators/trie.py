@@ -9,41 +9,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.budgets import lower_envelope, settle, single_step, split_steps
-from ..functions.columns import child_itemset, leaf_options
+from ..functions.columns import child_itemset, leaf_options, names, sql
 
 MULTIPASS, SINGLEPASS, RULE_LIST = "multipass", "singlepass", "rule_list"
 
+SIDES = f"""{child_itemset("itemset", "feature", 1)} left_itemset,
+    {child_itemset("itemset", "feature", 0)} right_itemset"""
 
-def split_rows(level: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Candidate splits of a level, one row each, with both child itemsets."""
-    rows = level.select(*keys, "itemset", F.inline("splits"))
-    return rows.withColumns(
-        {
-            "left_itemset": child_itemset(F.col("itemset"), F.col("feature"), 1),
-            "right_itemset": child_itemset(F.col("itemset"), F.col("feature"), 0),
-        }
-    )
 
+def _with_child_steps(splits: str, has_steps: bool, keys: Sequence[str]) -> str:
+    """Query text: attach the step function of both sides.  Most sides have the
+    single step given by their estimate and are not stored."""
+    left, right = single_step("v_l"), single_step("v_r")
+    if not has_steps:
+        return f"SELECT *, {left} left_steps, {right} right_steps FROM ({splits})"
+
+    def stored(side: str, alias: str) -> str:
+        same = [f"c.{k} = {alias}.{k}" for k in keys]
+        return f"LEFT JOIN {{steps}} AS {alias} ON " + " AND ".join([*same, f"c.{side}_itemset = {alias}.itemset"])
 
-def _with_child_steps(splits: DataFrame, steps: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """Attach the step function of both sides; most sides have the single step
-    given by their estimate and are not stored."""
-    out = splits
-    for side in ("left", "right"):
-        default = single_step(F.col(f"v_{side[0]}"))
-        if steps is None:
-            out = out.withColumn(f"{side}_steps", default)
-        else:
-            stored = steps.select(*keys, F.col("itemset").alias(f"{side}_itemset"), F.col("steps").alias("stored"))
-            out = (
-                out.join(stored, [*keys, f"{side}_itemset"], "left")
-                .withColumn(f"{side}_steps", F.coalesce("stored", default))
-                .drop("stored")
-            )
-    return out
+    return f"""SELECT c.*, coalesce(ls.steps, {left}) left_steps, coalesce(rs.steps, {right}) right_steps
+        FROM ({splits}) c {stored("left", "ls")} {stored("right", "rs")}"""
 
 
 def min_steps(level: DataFrame, child_steps: DataFrame | None, own_value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -51,21 +39,21 @@ def min_steps(level: DataFrame, child_steps: DataFrame | None, own_value: str, k
 
     ``own_value`` is the estimate a parent holds for these itemsets.
     """
-    splits = _with_child_steps(split_rows(level, keys), child_steps, keys)
-    points = splits.select(
-        *keys,
-        "itemset",
-        split_steps(F.col("v_l"), F.col("v_r"), F.col("left_steps"), F.col("right_steps")).alias("points"),
-    )
-    gathered = points.groupBy(*keys, "itemset").agg(F.flatten(F.collect_list("points")).alias("points"))
-    leaf = F.struct(F.col("leaf").alias("b"), F.col("leaf").alias("m"))
-    own = level.select(*keys, "itemset", "leaf", F.col(own_value).alias("own"))
-    steps = lower_envelope(F.array_append(F.col("points"), leaf))
-    return (
-        own.join(gathered, [*keys, "itemset"])
-        .select(*keys, "itemset", "own", steps.alias("steps"))
-        .filter(F.col("steps") != single_step(F.col("own")))
-        .drop("own")
+    node = names(keys, "itemset")
+    splits = f"SELECT *, {SIDES} FROM (SELECT {node}, inline(splits) FROM {{level}})"
+    joined = _with_child_steps(splits, child_steps is not None, keys)
+    tables = {"level": level} if child_steps is None else {"level": level, "steps": child_steps}
+    leaf = "struct(leaf AS b, leaf AS m)"
+    return sql(
+        f"""WITH points AS (
+            SELECT {node}, flatten(collect_list({split_steps("v_l", "v_r", "left_steps", "right_steps")})) points
+            FROM ({joined}) GROUP BY {node})
+        SELECT {node}, steps FROM (
+            SELECT {node}, {single_step(own_value)} own,
+                {lower_envelope(f"array_append(points, {leaf})")} steps
+            FROM {{level}} JOIN points USING ({node}))
+        WHERE steps <> own""",
+        **tables,
     )
 
 
@@ -78,60 +66,46 @@ def expand(
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """Admitted splits of a frontier with the budgets of both sides."""
-    # two leaves must be affordable; nodes that can only be leaves never join
-    open_nodes = frontier.select(*keys, "itemset", "budget").filter(
-        (F.col("budget") >= 2 * lam_n) & (F.col("budget") >= 0)
-    )
-    b, v_l, v_r = F.col("budget"), F.col("v_l"), F.col("v_r")
+    node = names(keys, "itemset")
     if allocation == RULE_LIST:
-        admitted = (v_l <= b - lam_n) | (v_r <= b - lam_n)
+        admitted = f"v_l <= budget - {lam_n}L OR v_r <= budget - {lam_n}L"
     else:
-        admitted = v_l + v_r <= b
-    rows = (
-        open_nodes.join(level.select(*keys, "itemset", "splits"), [*keys, "itemset"])
-        .select(*keys, "itemset", "budget", F.inline("splits"))
-        .filter(admitted)
-        .withColumns(
-            {
-                "left_itemset": child_itemset(F.col("itemset"), F.col("feature"), 1),
-                "right_itemset": child_itemset(F.col("itemset"), F.col("feature"), 0),
-            }
-        )
-    )
+        admitted = "v_l + v_r <= budget"
+    # two leaves must be affordable; nodes that can only be leaves never join
+    rows = f"""SELECT *, {SIDES} FROM (
+            SELECT {node}, budget, inline(splits)
+            FROM (SELECT {node}, budget FROM {{frontier}} WHERE budget >= {max(2 * lam_n, 0)}L)
+            JOIN (SELECT {node}, splits FROM {{level}}) USING ({node}))
+        WHERE {admitted}"""
+    tables = {"frontier": frontier, "level": level}
     if allocation == MULTIPASS and child_steps is not None:
-        rows = _with_child_steps(rows, child_steps, keys)
-        end = settle(b, v_r, F.col("left_steps"), F.col("right_steps"))
-        rows = rows.withColumn("end", end).withColumns(
-            {"left_budget": F.col("end")["bl"], "right_budget": F.col("end")["br"]}
-        )
+        tables["steps"] = child_steps
+        rows = _with_child_steps(rows, True, keys)
+        end = settle("budget", "v_r", "left_steps", "right_steps")
+        rows = f"SELECT *, end.bl left_budget, end.br right_budget FROM (SELECT *, {end} end FROM ({rows}))"
     else:
-        rows = rows.withColumns({"left_budget": b - v_r, "right_budget": b - v_l})
-    return rows.filter("left_budget >= 0 AND right_budget >= 0").select(
-        *keys,
-        "itemset",
-        "budget",
-        "feature",
-        *(c for s in ("left", "right") for c in (f"{s}_itemset", f"{s}_budget", f"n_{s[0]}", f"p_{s[0]}")),
+        rows = f"SELECT *, budget - v_r left_budget, budget - v_l right_budget FROM ({rows})"
+    return sql(
+        f"""SELECT {node}, budget, feature, left_itemset, left_budget, n_l, p_l, right_itemset, right_budget, n_r, p_r
+        FROM ({rows}) WHERE left_budget >= 0 AND right_budget >= 0""",
+        **tables,
     )
 
 
 def next_frontier(splits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct child nodes of admitted splits."""
-    sides = F.array(
-        *(
-            F.struct(
-                F.col(f"{s}_itemset").alias("itemset"),
-                F.col(f"{s}_budget").alias("budget"),
-                F.col(f"n_{s[0]}").alias("n"),
-                F.col(f"p_{s[0]}").alias("p"),
-            )
-            for s in ("left", "right")
-        )
+    node = names(keys, "itemset", "budget")
+    return sql(
+        f"""SELECT {node}, max(n) n, max(p) p FROM (
+            SELECT {names(keys)}{", " if keys else ""}inline(array(
+                struct(left_itemset AS itemset, left_budget AS budget, n_l AS n, p_l AS p),
+                struct(right_itemset AS itemset, right_budget AS budget, n_r AS n, p_r AS p)))
+            FROM {{splits}})
+        GROUP BY {node}""",
+        splits=splits,
     )
-    nodes = splits.select(*keys, F.inline(sides))
-    return nodes.groupBy(*keys, "itemset", "budget").agg(F.first("n").alias("n"), F.first("p").alias("p"))
 
 
 def admitted_leaves(frontier: DataFrame, lam_n: int, majority_only: bool, keys: Sequence[str] = ()) -> DataFrame:
-    options = leaf_options(F.col("n"), F.col("p"), F.col("budget"), lam_n, majority_only)
-    return frontier.select(*keys, "itemset", "budget", F.inline(options))
+    options = leaf_options("n", "p", "budget", lam_n, majority_only)
+    return frontier.selectExpr(*keys, "itemset", "budget", f"inline({options})")

@@ -10,7 +10,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import COUNT, empty_itemset, objective_bound
+from ..functions.columns import COUNT, objective_bound, sql
 from ..operators import histogram, trees, trie
 from ..operators.counts import itemset_counts
 from ..operators.patterns import compact, literal_totals, packed_rows, rare_literals
@@ -104,10 +104,10 @@ class NearOptimalSet:
         """The whole problem with its objective bound."""
         o = self.options
         if o.root_budget is not None and o.root_budget >= 0:
-            bound = F.lit(o.root_budget).cast("bigint")
+            bound = f"{int(o.root_budget)}L"
         else:
-            bound = objective_bound(F.col(self.rule.reference()), o.rashomon_mult, o.multiplicative_slack)
-        return self.levels[0].select(*self.keys, "itemset", bound.alias("budget"), "n", "p")
+            bound = objective_bound(self.rule.reference(), o.rashomon_mult, o.multiplicative_slack)
+        return self.levels[0].selectExpr(*self.keys, "itemset", f"{bound} AS budget", "n", "p")
 
     def child_steps(self) -> dict[int, DataFrame | None]:
         """Non-trivial step functions per level, for levels that can have any."""
@@ -181,23 +181,23 @@ class RashomonModel:
 
     def bound(self) -> DataFrame:
         """``(reference, bound)``: estimate of the whole problem and the budget."""
-        reference = F.col(self.rule.reference()).alias("reference")
-        best = self.levels[0].select("itemset", reference)
-        return self.set.roots().join(best, "itemset").select("reference", F.col("budget").alias("bound"))
+        return sql(
+            f"SELECT {self.rule.reference()} reference, budget bound FROM {{top}} JOIN {{roots}} USING (itemset)",
+            top=self.levels[0],
+            roots=self.set.roots(),
+        )
 
     def root_histogram(self) -> DataFrame:
         """``(obj, cnt)`` in ascending order of objective."""
         return self.set.hists[0].select("obj", "cnt").orderBy("obj")
 
     def count_trees(self, max_obj: int | None = None) -> DataFrame:
-        hist = self.set.hists[0]
-        if max_obj is not None:
-            hist = hist.filter(F.col("obj") <= max_obj)
-        return hist.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast(COUNT).alias("cnt"))
+        wanted = "true" if max_obj is None else f"obj <= {int(max_obj)}"
+        return self.set.hists[0].where(wanted).groupBy().agg(F.expr(f"cast(coalesce(sum(cnt), 0) AS {COUNT}) cnt"))
 
     def min_objective(self) -> DataFrame:
         """One row; NULL when the set is empty."""
-        return self.set.hists[0].agg(F.min("obj").alias("obj"))
+        return self.set.hists[0].groupBy().agg(F.expr("min(obj) obj"))
 
     def trees_per_split(self) -> DataFrame:
         """Number of trees under every admitted split of every node."""
@@ -214,7 +214,7 @@ class RashomonModel:
     def tree_objectives(self, start: int = 0, stop: int | None = None, max_obj: int | None = None) -> DataFrame:
         """``(tree_id, obj, obj_norm)`` by rank."""
         ids = trees.ranks(self.ranges(), start, stop, max_obj)
-        return ids.select("tree_id", "obj", (F.col("obj") / F.lit(self.n_rows)).alias("obj_norm"))
+        return ids.selectExpr("tree_id", "obj", f"obj / {self.n_rows} AS obj_norm")
 
     def tree_objective(self, tree_id: int) -> tuple[int, float]:
         row = self.tree_objectives(tree_id, tree_id + 1).first() if tree_id >= 0 else None
@@ -228,9 +228,7 @@ class RashomonModel:
         Paths are signed and 1-based: ``+f`` is feature ``f-1`` true.  Requests
         walk down level by level, all trees at once.
         """
-        root = self.set.roots().select("itemset", "budget")
-        requests = trees.ranks(self.ranges(), start, stop, max_obj).join(F.broadcast(root))
-        requests = requests.select("tree_id", empty_itemset().alias("path"), "itemset", "budget", "obj", "k")
+        requests = trees.first_requests(trees.ranks(self.ranges(), start, stop, max_obj))
         found = []
         for size in range(self.set.deepest + 1):
             entries = trees.node_entries(

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -46,12 +45,11 @@ def check_columns(df: DataFrame, features: Sequence[str], label: str | None = No
             raise ValueError(f"column {name!r} is {types[name].simpleString()}, expected a number or boolean")
 
 
-def truth(df: DataFrame, name: str) -> Column:
+def truth(df: DataFrame, name: str) -> str:
     """Any nonzero value is true; NULL is not a value a binary table may hold."""
-    column = F.col(name)
     is_bool = isinstance(df.schema[name].dataType, T.BooleanType)
-    bit = column.cast("int") if is_bool else (column != 0).cast("int")
-    return F.when(column.isNull(), F.raise_error(F.lit(f"NULL in column {name}")).cast("int")).otherwise(bit)
+    bit = f"cast(`{name}` AS int)" if is_bool else f"cast(`{name}` <> 0 AS int)"
+    return f"coalesce({bit}, cast(raise_error('NULL in column {name}') AS int))"
 
 
 def binary_table(
@@ -59,7 +57,5 @@ def binary_table(
 ) -> DataFrame:
     """Project to 0/1 INT features (and label); other columns only if kept."""
     check_columns(df, features, label)
-    columns = [F.col(c) for c in keep] + [truth(df, c).alias(c) for c in features]
-    if label is not None:
-        columns.append(truth(df, label).alias(label))
-    return df.select(*columns)
+    columns = [*features, *([label] if label is not None else [])]
+    return df.selectExpr(*(f"`{c}`" for c in keep), *(f"{truth(df, c)} AS `{c}`" for c in columns))
