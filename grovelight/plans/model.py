@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import COUNT, objective_bound, sql
-from ..operators import histogram, trees, trie
+from ..operators import frontier, histogram, predict, trees, trie
 from ..operators.counts import itemset_counts
-from ..operators.patterns import compact, literal_totals, packed_rows, rare_literals
+from ..operators.patterns import compact, literal_totals, packed_rows, rare_literals, words
 from ..operators.proxies import ProxyRule, base_level, parent_level
 from ..sources.tables import check_columns
 from .storage import cut
@@ -245,6 +245,172 @@ class RashomonModel:
         return cut(self.tree_leaves(), "leaves")
 
 
+    def tree_paths(self, start: int = 0, stop: int | None = None, max_obj: int | None = None) -> DataFrame:
+        """``(tree_id, leaf_no, path, path_text, prediction)``."""
+        leaves = self.tree_leaves(start, stop, max_obj)
+        return leaves.selectExpr("tree_id", "leaf_no", "path", f"{trees.path_text('path')} AS path_text", "prediction")
+
+    def tree_nodes(
+        self, start: int = 0, stop: int | None = None, feature_names: Sequence[str] | None = None
+    ) -> DataFrame:
+        """Explicit nodes ``(tree_id, prefix, depth, feature, prediction, leaves, name)``."""
+        names = self.features if feature_names is None else feature_names
+        return trees.tree_nodes(self.tree_leaves(start, stop), names)
+
+    # -- predictions ----------------------------------------------------------
+
+    def check_eval(self, df: DataFrame) -> None:
+        missing = [c for c in self.features if c not in df.columns]
+        if missing:
+            raise ValueError(f"evaluation data lacks the features {missing}")
+        check_columns(df, self.features)
+
+    def predict(self, df: DataFrame, tree_id: int, output: str = "prediction") -> DataFrame:
+        """Add one tree's prediction to ``df``: a projection, so no shuffle, and
+        the same for batch and streaming DataFrames."""
+        self.check_eval(df)
+        if tree_id < 0:
+            raise IndexError(f"tree {tree_id} is not in the set")
+        leaves = self.tree_leaves(tree_id, tree_id + 1).orderBy("leaf_no").collect()
+        if not leaves:
+            raise IndexError(f"tree {tree_id} is not in the set")
+        return df.selectExpr("*", f"{predict.case_expression(df, self.features, leaves)} AS `{output}`")
+
+    def coverage(self, rows: DataFrame, itemsets: DataFrame) -> DataFrame:
+        """``(words, itemset)`` for the distinct patterns of packed rows."""
+        n = len(self.features)
+        patterns = rows.select(*words(n)).distinct()
+        return predict.match_itemsets(patterns, itemsets, self.set.deepest, n)
+
+    def predict_all(
+        self,
+        df: DataFrame,
+        row_id: str,
+        start: int = 0,
+        stop: int | None = None,
+        max_obj: int | None = None,
+        stack: bool = False,
+        block_rows: int = 1 << 16,
+    ) -> DataFrame:
+        """``(tree_id, obj, row_id, prediction)`` for every tree of a rank range.
+
+        Trees come in rank order of ``tree_id``; ``max_obj`` keeps those up to an
+        objective.  With ``stack`` rows are gathered into arrays per tree and block
+        of rows, so no group grows with the table.
+        """
+        self.check_eval(df)
+        n = len(self.features)
+        rows = packed_rows(df, self.features, keep=[row_id])
+        leaves = cut(self.tree_leaves(start, stop, max_obj), "leaves")
+        objs = trees.ranks(self.ranges(), start, stop, max_obj)
+        covered = cut(self.coverage(rows, leaves.select("itemset").distinct()), "coverage")
+        out = sql(
+            f"""SELECT tree_id, obj, {row_id}, prediction
+            FROM {{rows}} JOIN {{covered}} USING ({", ".join(words(n))})
+            JOIN (SELECT tree_id, itemset, prediction FROM {{leaves}}) USING (itemset)
+            JOIN (SELECT tree_id, obj FROM {{objs}}) USING (tree_id)""",
+            rows=rows,
+            covered=covered,
+            leaves=leaves,
+            objs=objs,
+        )
+        if not stack:
+            return out
+        blocks = max(1, -(-df.count() // block_rows))
+        return sql(
+            f"""SELECT tree_id, obj, block, transform(cells, c -> c.{row_id}) row_ids,
+                transform(cells, c -> c.prediction) predictions
+            FROM (
+                SELECT tree_id, obj, pmod(xxhash64({row_id}), {blocks}) block,
+                    array_sort(collect_list(struct({row_id}, prediction))) cells
+                FROM {{out}} GROUP BY tree_id, obj, block)""",
+            out=out,
+        )
+
+    def leaf_usage(self, max_obj: int | None = None) -> DataFrame:
+        """``(itemset, prediction) -> cnt``: in how many trees each leaf occurs.
+
+        Counted top-down from the histograms; trees are not enumerated.
+        """
+        wanted = "true" if max_obj is None else f"obj <= {int(max_obj)}"
+        one = f"cast(1 AS {COUNT}) AS ways"
+        context = self.set.hists[0].where(wanted).selectExpr("itemset", "budget", "obj", one)
+        found = []
+        for size in range(self.set.deepest + 1):
+            found.append(predict.used_leaves(context, self.set.leaves(size)))
+            if size < self.set.deepest:
+                down = predict.pass_down(context, self.set.splits[size], self.set.hists[size + 1])
+                context = cut(down, f"context{size + 1}")
+        usage = reduce(DataFrame.unionByName, found)
+        return sql(
+            f"SELECT itemset, prediction, cast(sum(ways) AS {COUNT}) cnt FROM {{usage}} GROUP BY itemset, prediction",
+            usage=usage,
+        )
+
+    def majority_vote(self, df: DataFrame, row_id: str, max_obj: int | None = None) -> DataFrame:
+        """``(row_id, share, prediction)``: share of trees voting 1; a tie is 1.
+
+        Votes are summed per pattern over leaf usage, so the cost does not depend
+        on the number of trees.
+        """
+        self.check_eval(df)
+        n = len(self.features)
+        key = ", ".join(words(n))
+        rows = packed_rows(df, self.features, keep=[row_id])
+        usage = cut(self.leaf_usage(max_obj), "usage")
+        covered = self.coverage(rows, usage.select("itemset").distinct())
+        share = cut(
+            sql(
+                f"""SELECT {key}, sum(if(prediction = 1, cnt, 0)) / sum(cnt) share
+                FROM {{covered}} JOIN {{usage}} USING (itemset) GROUP BY {key}""",
+                covered=covered,
+                usage=usage,
+            ),
+            "share",
+        )
+        return sql(
+            f"""SELECT {row_id}, cast(share AS double) share, cast(share >= 0.5 AS int) prediction
+            FROM {{rows}} JOIN {{share}} USING ({key})""",
+            rows=rows,
+            share=share,
+        )
+
+    def correct_counts(self, df: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
+        """``(tree_id, correct, total)`` on any labelled data; counted per leaf
+        itemset, never per row and tree."""
+        self.check_eval(df)
+        n = len(self.features)
+        patterns = compact(packed_rows(df, self.features, self.label), n)
+        leaves = cut(self.tree_leaves(start, stop), "leaves")
+        weights = predict.itemset_weights(patterns, leaves.select("itemset").distinct(), self.set.deepest, n)
+        return sql(
+            """SELECT tree_id, cast(sum(coalesce(if(prediction = 1, p, n - p), 0)) AS bigint) correct,
+                cast(sum(coalesce(n, 0)) AS bigint) total
+            FROM {leaves} LEFT JOIN {weights} USING (itemset) GROUP BY tree_id""",
+            leaves=leaves,
+            weights=weights,
+        )
+
+    # -- estimates on demand --------------------------------------------------
+
+    def levels_at(self, depth: int) -> dict[int, DataFrame]:
+        """Subproblem tables for another depth budget, kept for reuse."""
+        if depth not in self._levels_at:
+            rule = self.options.rule(self.n_rows, len(self.features), depth)
+            self._levels_at[depth] = subproblem_levels(self.patterns, self.rare, rule)
+        return self._levels_at[depth]
+
+    def root_lookahead(self, depth: int) -> DataFrame:
+        """Lookahead-1 estimate of the whole problem at a given depth."""
+        return self.levels_at(depth)[0].selectExpr("v1 AS obj")
+
+    def frontier_scores(self, depth: int, start: int = 0, stop: int | None = None) -> DataFrame:
+        """``(tree_id, node_no, depth, score)`` for the internal nodes of trees."""
+        parts = [level.select("itemset", "v1") for level in self.levels_at(depth).values()]
+        estimates = reduce(DataFrame.unionByName, parts)
+        return frontier.frontier_scores(trees.tree_nodes(self.tree_leaves(start, stop)), estimates, depth)
+
+
 def fit(df: DataFrame, features: Sequence[str], label: str, **options) -> RashomonModel:
     """Find all depth-bounded trees within the bound of a strong reference tree."""
     opts = Options(**options)
