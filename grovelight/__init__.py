@@ -1,5 +1,16 @@
 """Rashomon sets of sparse decision trees as Spark jobs."""
 
+from .plans.importance import Importance, subtractive_reliance
 from .plans.model import Options, RashomonModel, fit
+from .sources import binary_table, read_binary_csv, split_columns
 
-__all__ = ["Options", "RashomonModel", "fit"]
+__all__ = [
+    "Importance",
+    "Options",
+    "RashomonModel",
+    "binary_table",
+    "fit",
+    "read_binary_csv",
+    "split_columns",
+    "subtractive_reliance",
+]
