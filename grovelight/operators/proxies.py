@@ -166,3 +166,26 @@ def parent_level(children: DataFrame, depth_left: int, rule: ProxyRule, keys: Se
         SELECT {parent}, n, p, leaf, {values}, splits FROM with_leaf""",
         children=children,
     )
+
+
+def split_scores(contingency: DataFrame, lam_n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Information gain and summed leaf loss of every valid split."""
+    loss = f"{leaf_objective('n_l', 'p_l', lam_n)} + {leaf_objective('n_r', 'p_r', lam_n)}"
+    gain = entropy_gain("n_l", "p_l", "n_r", "p_r")
+    valid = contingency.where("n_l > 0 AND n_r > 0")
+    return valid.selectExpr(*keys, "itemset", "feature", f"{gain} AS gain", f"{loss} AS loss")
+
+
+def best_split(
+    contingency: DataFrame, lam_n: int, n_features: int, by_entropy: bool, searched: int = 0, keys: Sequence[str] = ()
+) -> DataFrame:
+    """``(itemset) -> feature``: the split with the highest gain or the least leaf
+    loss; the lower feature wins ties.  ``searched`` > 0 limits it to a prefix of
+    the features.  Itemsets without a valid split have no row."""
+    rank = gain_rank("gain", "feature", n_features) if by_entropy else loss_rank("loss", "feature", n_features)
+    group = names(keys, "itemset")
+    return sql(
+        f"""SELECT {group}, min_by(feature, {rank}) feature FROM {{scores}}
+        WHERE feature < {searched or n_features} GROUP BY {group}""",
+        scores=split_scores(contingency, lam_n, keys),
+    )
