@@ -93,8 +93,10 @@ class ProxyRule:
             return "leaf"
         if self.lookahead == 0:
             return "g"
-        k = self.lookahead_by_depth()[depth_left - 1] if self.style == 2 else self.lookahead
-        return f"v{k}"
+        if self.style == 2:
+            # children without levels left are leaves under any lookahead
+            return f"v{max(self.lookahead_by_depth()[depth_left - 1], 1)}"
+        return f"v{self.lookahead}"
 
     def exact_below(self) -> int:
         """Depths up to this one have exact admission estimates (-1 = none)."""
