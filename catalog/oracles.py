@@ -284,7 +284,7 @@ def depth3_histogram(reference: str) -> str:
 
 def draw(*parts: str) -> str:
     text = " || '|' || ".join(f"cast({p} AS varchar)" for p in parts)
-    return f"cast('0x' || substr(md5({text}), 1, 8) AS bigint)"
+    return f"cast('0x' || substr(md5({text}), 1, 15) AS bigint)"
 
 
 OWNER = "CASE " + " ".join(f"WHEN {{f}} IN ({', '.join(map(str, fs))}) THEN {v}" for v, fs in BINS.items()) + " END"
@@ -484,3 +484,33 @@ ORACLES: dict[str, str] = {
     "reliance_cdf": f"""{RELIANCE} SELECT var, round(delta / (SELECT count(*) FROM positioned), 9) x,
         round(sum(mass) OVER (PARTITION BY var ORDER BY delta ROWS UNBOUNDED PRECEDING), 9) p FROM mass""",
 }
+
+# Columns that DuckDB types as INTEGER; both sides compare whole numbers as BIGINT.
+_F9 = " ".join(f"f{i}" for i in range(9))
+INTEGERS = {
+    "binary_scan": "a b c y",
+    "pattern_compaction": f"{_F9} f9",
+    "literal_counts": "feature value",
+    "split_contingency": "feature",
+    "valid_splits": "feature",
+    "entropy_gain": "feature",
+    "best_split_entropy": "feature",
+    "best_split_loss": "feature",
+    "best_split_prefix": "feature",
+    "greedy_objective_d3": "mode",
+    "greedy_objective_parity": "mode",
+    "admitted_leaves": "prediction",
+    "admitted_splits": "feature",
+    "budgets_singlepass": "feature",
+    "budgets_multipass": "feature",
+    "trees_per_split": "feature",
+    "tree_nodes": "depth feature",
+    "frontier_scores": "depth",
+    "root_lookahead": "depth",
+    "majority_vote": "prediction",
+    "bootstrap_weights": _F9,
+    "block_permutation": _F9,
+}
+for _name, _columns in INTEGERS.items():
+    _casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _columns.split())
+    ORACLES[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLES[_name]})"

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from grovelight import binary_table, fit, subtractive_reliance
 from grovelight.functions.columns import leaf_objective
@@ -27,6 +28,15 @@ def model(spark: SparkSession, sf_dir: str, view: str = "ord_score", **options):
     return _fitted[key]
 
 
+def forget() -> None:
+    """Drop fitted sets, so that the next query finds its set anew."""
+    _fitted.clear()
+
+
+def rows(spark: SparkSession, sf_dir: str, table: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
 def small(spark: SparkSession, sf_dir: str, view: str = "ord_score", **options):
     """The depth-2 set most queries ask."""
     return model(spark, sf_dir, view, **({"lambda_reg": 0.01, "depth_budget": 2, "rashomon_mult": 0.15} | options))
@@ -35,25 +45,36 @@ def small(spark: SparkSession, sf_dir: str, view: str = "ord_score", **options):
 def compacted(spark: SparkSession, sf_dir: str, view: str):
     rows = patterns.packed_rows(views.load(spark, sf_dir, view), views.features(view), "y")
     table = cut(patterns.compact(rows, views.FEATURES[view]), "patterns")
-    n_rows, ones = patterns.literal_totals(table, views.FEATURES[view])
-    return table, n_rows, patterns.rare_literals(n_rows, ones)
+    return table, patterns.pattern_totals(table, views.FEATURES[view])
 
 
 def counted(spark: SparkSession, sf_dir: str, view: str, depth: int) -> tuple[DataFrame, int]:
-    table, n_rows, rare = compacted(spark, sf_dir, view)
-    return counts.itemset_counts(table, rare, depth), n_rows
+    table, totals = compacted(spark, sf_dir, view)
+    return counts.itemset_counts(table, totals.rare, depth), totals.rows
 
 
 def levels(spark: SparkSession, sf_dir: str, view: str, depth: int, **options):
     """Estimate tables alone, without building a set."""
     key = ("levels", spark.sparkContext.applicationId, sf_dir, view, depth, tuple(sorted(options.items())))
     if key not in _fitted:
-        table, n_rows, rare = compacted(spark, sf_dir, view)
-        rule = Options(depth_budget=depth, **options).rule(n_rows, views.FEATURES[view])
-        _fitted[key] = subproblem_levels(table, rare, rule)
+        table, totals = compacted(spark, sf_dir, view)
+        rule = Options(depth_budget=depth, **options).rule(totals.rows, views.FEATURES[view])
+        _fitted[key] = subproblem_levels(table, totals, rule)
     return _fitted[key]
 
 
+def whole_numbers(query: Callable) -> Callable:
+    """All integer columns as BIGINT, so that types match between engines."""
+
+    def run(spark, sf_dir):
+        df = query(spark, sf_dir)
+        ints = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+        return df.selectExpr(*(f"cast(`{c}` AS bigint) `{c}`" if c in ints else f"`{c}`" for c in df.columns))
+
+    run.__name__ = query.__name__
+    return run
+
+
 def union(parts) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -88,7 +109,7 @@ def binary_scan(spark, sf_dir):
 
 
 def pattern_compaction(spark, sf_dir):
-    table, _, _ = compacted(spark, sf_dir, "li_score")
+    table, _ = compacted(spark, sf_dir, "li_score")
     return table.selectExpr(*(f"cast({patterns.bit(f)} AS int) AS f{f}" for f in range(10)), "n", "p")
 
 
@@ -395,7 +416,7 @@ def histogram_style2(spark, sf_dir):
 
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: whole_numbers(f)
     for f in (
         binary_scan,
         pattern_compaction,

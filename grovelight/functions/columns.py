@@ -83,7 +83,12 @@ def leaf_options(n: str, p: str, budget: str, lam_n: int, majority_only: bool) -
     return f"filter({options}, x -> x.loss <= {budget})"
 
 
+# Hash draws have 60 bits: 15 hex digits fit a BIGINT and reach any row count.
+DRAW_DIGITS = 15
+DRAW_BITS = 4 * DRAW_DIGITS
+
+
 def hash_draw(*parts: str) -> str:
-    """Uniform 32-bit draw from text parts; equal in every SQL engine with md5."""
+    """Uniform 60-bit draw from text parts; equal in every SQL engine with md5."""
     text = ", ".join(f"cast({p} AS string)" for p in parts)
-    return f"cast(conv(substr(md5(concat_ws('|', {text})), 1, 8), 16, 10) AS bigint)"
+    return f"cast(conv(substr(md5(concat_ws('|', {text})), 1, {DRAW_DIGITS}), 16, 10) AS bigint)"

@@ -6,7 +6,9 @@ into BIGINT words first: the shuffle key is 8 bytes per 62 features.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -53,18 +55,46 @@ def compact(rows: DataFrame, n_features: int, keys: Sequence[str] = (), weight:
     return sql(f"SELECT {group}, sum({weight}) n, sum({weight} * y) p FROM {{rows}} GROUP BY {group}", rows=rows)
 
 
-def literal_totals(patterns: DataFrame, n_features: int) -> tuple[int, list[int]]:
-    """Row count and per-feature count of true values (1 + features numbers)."""
+@dataclass(frozen=True)
+class Totals:
+    """Sizes of a pattern table: a handful of numbers, whatever its length."""
+
+    patterns: int
+    rows: int
+    ones: list[int]  # rows in which each feature is true
+
+    @property
+    def rare(self) -> list[int]:
+        """For each feature the literal that fewer rows satisfy."""
+        return [2 * f + (1 if 2 * count <= self.rows else 0) for f, count in enumerate(self.ones)]
+
+    def subsets(self, depth: int) -> float:
+        """Estimated number of rare-literal sets over all patterns."""
+        held = sum(min(count, self.rows - count) for count in self.ones) / max(self.rows, 1)
+        k = math.ceil(held)
+        return self.patterns * float(sum(math.comb(k, s) for s in range(min(depth, k) + 1)))
+
+
+def pattern_totals(patterns: DataFrame, n_features: int) -> Totals:
     held = held_literals([2 * f + 1 for f in range(n_features)])
     rows = sql(
-        f"""SELECT slot, sum(n) n FROM (SELECT n, explode(array_append({held}, -1)) slot FROM {{patterns}})
-        GROUP BY slot""",
+        f"""SELECT slot, count(*) patterns, sum(n) n
+        FROM (SELECT n, explode(array_append({held}, -1)) slot FROM {{patterns}}) GROUP BY slot""",
         patterns=patterns,
     ).collect()
-    totals = {row["slot"]: int(row["n"]) for row in rows}
-    return totals.get(-1, 0), [totals.get(2 * f + 1, 0) for f in range(n_features)]
+    slots = {row["slot"]: row for row in rows}
+    if -1 not in slots:
+        return Totals(0, 0, [0] * n_features)
+    counts = {slot: int(row["n"]) for slot, row in slots.items()}
+    return Totals(slots[-1]["patterns"], counts[-1], [counts.get(2 * f + 1, 0) for f in range(n_features)])
+
+
+SPREAD_ROWS = 2_000_000
 
 
-def rare_literals(rows: int, true_counts: Sequence[int]) -> list[int]:
-    """For each feature the literal that fewer rows satisfy."""
-    return [2 * f + (1 if 2 * ones <= rows else 0) for f, ones in enumerate(true_counts)]
+def spread(patterns: DataFrame, work: float) -> DataFrame:
+    """Spread a compact table over more tasks if each of its rows is about to
+    become very many; small work stays where it is."""
+    tasks = math.ceil(work / SPREAD_ROWS)
+    have = patterns.rdd.getNumPartitions() if tasks > 1 else 1
+    return patterns.repartition(min(tasks, 1 << 14)) if tasks > have else patterns

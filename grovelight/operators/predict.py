@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from ..functions.columns import NO_LITERALS, names, sql
 from ..sources.tables import truth
 from .histogram import pair_children
-from .patterns import words
+from .patterns import WORD_BITS, words
 
 
 def case_expression(df: DataFrame, features: Sequence[str], leaves: Sequence) -> str:
@@ -45,8 +45,8 @@ def match_itemsets(
     """
     edges = itemset_edges(itemsets, keys)
     kept = names(keys, *words(n_features), *carried)
-    word = f"element_at(array({names((), *words(n_features))}), cast(shiftright(literal, 1) div 62 AS int) + 1)"
-    holds = f"(shiftright({word}, cast(shiftright(literal, 1) % 62 AS int)) & 1L) = (literal & 1)"
+    word = f"element_at(array({names((), *words(n_features))}), cast(shiftright(literal, 1) div {WORD_BITS} AS int) + 1)"
+    holds = f"(shiftright({word}, cast(shiftright(literal, 1) % {WORD_BITS} AS int)) & 1L) = (literal & 1)"
     state = f"SELECT {kept}, {NO_LITERALS} prefix FROM {{patterns}}"
     ends = []
     for step in range(depth + 1):

@@ -11,11 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_draw, names, sql
+from ..functions.columns import DRAW_BITS, hash_draw, names, sql
 from .patterns import WORD_BITS, words
 
-HASH_RANGE = 1 << 32
-
 
 def dense_positions(df: DataFrame, order: str, store) -> DataFrame:
     """Add ``pos`` = 0, 1, 2, ... in the order of a unique column.
@@ -60,12 +58,12 @@ def shuffle_ranks(slots: DataFrame, n_vars: int, n_rows: int, seed: int) -> Data
     hold equal shares; ranks are taken inside buckets and shifted by the sizes of
     the buckets before, which keeps every window small.
     """
-    buckets = max(1, min(1 << 16, n_rows // 50_000))
+    bits = min(16, max(0, (n_rows // 50_000).bit_length()))
     return sql(
         f"""WITH hashed AS (
             SELECT b, var, i, {hash_draw(str(seed), "b", "var", "i")} h
             FROM (SELECT b, i, explode(sequence(0, {n_vars - 1})) var FROM {{slots}})),
-        bucketed AS (SELECT *, h * {buckets} div {HASH_RANGE} bucket FROM hashed),
+        bucketed AS (SELECT *, shiftright(h, {DRAW_BITS - bits}) bucket FROM hashed),
         offsets AS (
             SELECT b, var, bucket, coalesce(sum(size) OVER (
                 PARTITION BY b, var ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) shift

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import sql
 from ..operators import histogram, importance, resample
-from ..operators.patterns import compact, literal_totals, packed_rows, rare_literals
+from ..operators.patterns import compact, packed_rows, pattern_totals
 from ..operators.predict import itemset_weights
 from ..sources.tables import check_columns
 from .model import NearOptimalSet, Options, subproblem_levels
@@ -86,8 +86,7 @@ def subtractive_reliance(
         lambda_reg=lambda_reg, depth_budget=depth_budget, rashomon_mult=rashomon_mult, lookahead_k=lookahead_k
     )
     rule = options.rule(n_rows, n_features)
-    total, ones = literal_totals(patterns, n_features)
-    levels = subproblem_levels(patterns, rare_literals(total, ones), rule, ["b"])
+    levels = subproblem_levels(patterns, pattern_totals(patterns, n_features), rule, ["b"])
     found = NearOptimalSet(options, rule, levels, ("b",)).build()
 
     slots = sample.select("b", "i")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import COUNT, objective_bound, sql
 from ..operators import frontier, histogram, predict, trees, trie
 from ..operators.counts import itemset_counts
-from ..operators.patterns import compact, literal_totals, packed_rows, rare_literals, words
+from ..operators.patterns import Totals, compact, packed_rows, pattern_totals, spread, words
 from ..operators.proxies import ProxyRule, base_level, parent_level
 from ..sources.tables import check_columns
 from .storage import cut
@@ -70,11 +70,12 @@ def penalty(lam: float, n_rows: int) -> int:
 
 
 def subproblem_levels(
-    patterns: DataFrame, rare: Sequence[int], rule: ProxyRule, keys: Sequence[str] = ()
+    patterns: DataFrame, totals: Totals, rule: ProxyRule, keys: Sequence[str] = ()
 ) -> dict[int, DataFrame]:
     """Tables of all subproblems, by itemset size, each with its estimates."""
     deepest = min(rule.depth, rule.n_features)
-    counts = itemset_counts(patterns, rare, deepest, keys, exact_size=True)
+    wide = spread(patterns, totals.subsets(deepest))
+    counts = itemset_counts(wide, totals.rare, deepest, keys, exact_size=True)
     levels = {deepest: cut(base_level(counts, rule, keys), f"level{deepest}")}
     for size in range(deepest - 1, -1, -1):
         level = parent_level(levels[size + 1], rule.depth - size, rule, keys)
@@ -165,15 +166,15 @@ class NearOptimalSet:
 class RashomonModel:
     """The fitted set of near-optimal trees and the questions one can ask it."""
 
-    def __init__(self, features: Sequence[str], label: str, options: Options, n_rows: int, rare, patterns: DataFrame):
+    def __init__(self, features: Sequence[str], label: str, options: Options, totals: Totals, patterns: DataFrame):
         self.features = list(features)
         self.label = label
         self.options = options
-        self.n_rows = n_rows
-        self.rare = list(rare)
+        self.totals = totals
+        self.n_rows = totals.rows
         self.patterns = patterns
-        self.rule = options.rule(n_rows, len(self.features))
-        self.levels = subproblem_levels(patterns, self.rare, self.rule)
+        self.rule = options.rule(self.n_rows, len(self.features))
+        self.levels = subproblem_levels(patterns, totals, self.rule)
         self.set = NearOptimalSet(options, self.rule, self.levels).build()
         self._levels_at = {self.rule.depth: self.levels}
 
@@ -229,11 +230,16 @@ class RashomonModel:
         walk down level by level, all trees at once.
         """
         requests = trees.first_requests(trees.ranks(self.ranges(), start, stop, max_obj))
+        everything = start <= 0 and stop is None and max_obj is None
         found = []
         for size in range(self.set.deepest + 1):
-            entries = trees.node_entries(
-                self.set.leaves(size), self.set.splits.get(size), self.set.hists.get(size + 1)
-            )
+            leaves, splits = self.set.leaves(size), self.set.splits.get(size)
+            if not everything and size > 0:
+                # a few trees visit a few nodes: list the choices of those alone
+                visited = requests.select("itemset", "budget").distinct()
+                leaves = leaves.join(visited, ["itemset", "budget"], "left_semi")
+                splits = None if splits is None else splits.join(visited, ["itemset", "budget"], "left_semi")
+            entries = trees.node_entries(leaves, splits, self.set.hists.get(size + 1))
             chosen = cut(trees.descend(requests, entries), f"chosen{size}")
             found.append(trees.chosen_leaves(chosen))
             requests = trees.chosen_children(chosen)
@@ -397,7 +403,7 @@ class RashomonModel:
         """Subproblem tables for another depth budget, kept for reuse."""
         if depth not in self._levels_at:
             rule = self.options.rule(self.n_rows, len(self.features), depth)
-            self._levels_at[depth] = subproblem_levels(self.patterns, self.rare, rule)
+            self._levels_at[depth] = subproblem_levels(self.patterns, self.totals, rule)
         return self._levels_at[depth]
 
     def root_lookahead(self, depth: int) -> DataFrame:
@@ -417,9 +423,9 @@ def fit(df: DataFrame, features: Sequence[str], label: str, **options) -> Rashom
     check_columns(df, features, label)
     rows = packed_rows(df, features, label)
     patterns = cut(compact(rows, len(features)), "patterns")
-    n_rows, ones = literal_totals(patterns, len(features))
-    if n_rows == 0:
+    totals = pattern_totals(patterns, len(features))
+    if totals.rows == 0:
         raise ValueError("no rows to fit")
-    if penalty(opts.lambda_reg, n_rows) == 0:
+    if penalty(opts.lambda_reg, totals.rows) == 0:
         warnings.warn("lambda * N rounds to 0: leaves are free and the set can explode", stacklevel=2)
-    return RashomonModel(features, label, opts, n_rows, rare_literals(n_rows, ones), patterns)
+    return RashomonModel(features, label, opts, totals, patterns)
