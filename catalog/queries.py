@@ -171,26 +171,26 @@ def best_split_prefix(spark, sf_dir):
 
 
 def depth1_exact(spark, sf_dir):
-    return levels(spark, sf_dir, "ord_score", 2, lambda_reg=0.01)[1].selectExpr(KEY, "x AS obj")
+    return levels(spark, sf_dir, "ord_score", 2, lambda_reg=0.01)[1].estimates.selectExpr(KEY, "x AS obj")
 
 
 def depth2_exact(spark, sf_dir):
-    return levels(spark, sf_dir, "ord_score", 3, lambda_reg=0.01)[1].selectExpr(KEY, "x AS obj")
+    return levels(spark, sf_dir, "ord_score", 3, lambda_reg=0.01)[1].estimates.selectExpr(KEY, "x AS obj")
 
 
 def depth3_exact(spark, sf_dir):
-    return levels(spark, sf_dir, "ord_score", 3, lambda_reg=0.01)[0].selectExpr("x AS obj")
+    return levels(spark, sf_dir, "ord_score", 3, lambda_reg=0.01)[0].estimates.selectExpr("x AS obj")
 
 
 def depth3_exact_prefix(spark, sf_dir):
-    return levels(spark, sf_dir, "ord_score", 3, lambda_reg=0.01, num_proxy_features=5)[0].selectExpr("x AS obj")
+    return levels(spark, sf_dir, "ord_score", 3, lambda_reg=0.01, num_proxy_features=5)[0].estimates.selectExpr("x AS obj")
 
 
 def greedy_objective_d3(spark, sf_dir):
     parts = []
     for mode in (0, 1, 2):
         top = levels(spark, sf_dir, "ord_score", 3, lambda_reg=0.01, greedy_split_mode=mode)[0]
-        parts.append(top.selectExpr(f"{mode} AS mode", "g AS obj"))
+        parts.append(top.estimates.selectExpr(f"{mode} AS mode", "g AS obj"))
     return union(parts)
 
 
@@ -198,13 +198,13 @@ def greedy_objective_parity(spark, sf_dir):
     parts = []
     for mode in (0, 1, 2):
         top = levels(spark, sf_dir, "li_parity", 3, lambda_reg=0.005, greedy_split_mode=mode)[0]
-        parts.append(top.selectExpr(f"{mode} AS mode", "g AS obj"))
+        parts.append(top.estimates.selectExpr(f"{mode} AS mode", "g AS obj"))
     return union(parts)
 
 
 def lookahead_objective_d3(spark, sf_dir):
     return union(
-        levels(spark, sf_dir, view, 3, lambda_reg=lam)[0].selectExpr(f"'{view}' AS dataset", "v1 AS obj")
+        levels(spark, sf_dir, view, 3, lambda_reg=lam)[0].estimates.selectExpr(f"'{view}' AS dataset", "v1 AS obj")
         for view, lam in (("ord_score", 0.01), ("li_parity", 0.005), ("doc_labels", 0.01))
     )
 

@@ -8,12 +8,13 @@ on the number of features, not on the rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from ..functions.columns import NO_LITERALS, names, sql
-from .patterns import held_literals
+from .patterns import held_literals, spread
 
 
 def _grow(source: str, kept: str, chosen: str, may_pick: str, may_stop: str) -> str:
@@ -44,9 +45,10 @@ def signed_counts(
     """``(keys, itemset) -> (n, p)`` for every non-empty conjunction of at most
     (or, with ``exact_size``, exactly) ``depth`` literals of either sign.
 
-    A rare set adds to a conjunction whenever it lies between the conjunction's
-    rare literals and the rare forms of all its literals, with the sign of the
-    number of literals it turns around.
+    All sign patterns of one feature set come from its rare sub-sets: every rare
+    set is sent to the feature sets around it, where ``held`` marks its features;
+    a conjunction sums the sub-sets that hold at least its rare literals, with
+    alternating signs.  A feature set has at most ``2^depth`` sub-sets.
     """
     universe = f"array({names((), *map(str, rare))})"
     kept = names(keys, "n", "p", "rare_set")
@@ -54,13 +56,26 @@ def signed_counts(
     room = f"size(rare_set) + size(extra) < {depth}"
     for _ in range(depth):
         rows = _grow(rows, kept, "extra", room, f"NOT ({room})" if exact_size else "true")
-    group = names(keys, "itemset")
+
+    def signed(column: str, wanted: int) -> str:
+        sign = f"if(bit_count(held ^ {wanted}) % 2 = 0, {column}, -{column})"
+        return f"sum(if(held & {wanted} = {wanted}, {sign}, 0L))"
+
+    cells = ", ".join(
+        f"struct({wanted} AS wanted, {signed('n', wanted)} AS n, {signed('p', wanted)} AS p)" for wanted in range(1 << depth)
+    )
+    group = names(keys, "features")
     return sql(
-        f"""SELECT {group}, sum(sign * n) n, sum(sign * p) p FROM (
-            SELECT {names(keys, "n", "p")}, 1L - 2 * (bit_count(flips) % 2) sign, array_sort(concat(
-                transform(rare_set, (x, i) -> x ^ (shiftright(flips, i) & 1)), transform(extra, x -> x ^ 1))) itemset
-            FROM (SELECT *, explode(sequence(0, shiftleft(1, size(rare_set)) - 1)) flips FROM ({rows}))
-        ) GROUP BY {group} HAVING n > 0""",
+        f"""WITH around AS (
+            SELECT {names(keys, "n", "p", "rare_set")}, transform(rare_set, x -> shiftright(x, 1)) held_features,
+                array_sort(transform(concat(rare_set, extra), x -> shiftright(x, 1))) features FROM ({rows})),
+        placed AS (
+            SELECT /*+ REPARTITION({group}) */ {group}, n, p, aggregate(held_features, 0,
+                (acc, f) -> acc | shiftleft(1, cast(array_position(features, f) - 1 AS int))) held FROM around),
+        summed AS (SELECT {group}, inline(array({cells})) FROM placed GROUP BY {group})
+        SELECT {names(keys)}{", " if keys else ""}transform(features, (f, i) ->
+                element_at({universe}, f + 1) ^ (1 - (shiftright(wanted, i) & 1))) itemset, n, p
+        FROM summed WHERE n > 0 AND wanted < shiftleft(1, size(features))""",
         cube=cube,
     )
 
@@ -68,7 +83,10 @@ def signed_counts(
 def itemset_counts(
     patterns: DataFrame, rare: Sequence[int], depth: int, keys: Sequence[str] = (), exact_size: bool = False
 ) -> DataFrame:
-    return signed_counts(rare_cube(patterns, rare, depth, keys), rare, depth, keys, exact_size)
+    cube = rare_cube(patterns, rare, depth, keys)
+    # each rare set is about to be sent to all feature sets around it
+    cube = spread(cube, math.comb(len(rare), min(depth, len(rare))) * float(1 << depth))
+    return signed_counts(cube, rare, depth, keys, exact_size)
 
 
 def to_parents(children: str, keys: Sequence[str], *carried: str) -> str:

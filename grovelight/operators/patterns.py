@@ -89,12 +89,11 @@ def pattern_totals(patterns: DataFrame, n_features: int) -> Totals:
     return Totals(slots[-1]["patterns"], counts[-1], [counts.get(2 * f + 1, 0) for f in range(n_features)])
 
 
-SPREAD_ROWS = 2_000_000
+SPREAD_ROWS = 100_000
 
 
 def spread(patterns: DataFrame, work: float) -> DataFrame:
     """Spread a compact table over more tasks if each of its rows is about to
     become very many; small work stays where it is."""
-    tasks = math.ceil(work / SPREAD_ROWS)
-    have = patterns.rdd.getNumPartitions() if tasks > 1 else 1
-    return patterns.repartition(min(tasks, 1 << 14)) if tasks > have else patterns
+    tasks = min(math.ceil(work / SPREAD_ROWS), 1 << 14)
+    return patterns.repartition(tasks) if tasks > 1 else patterns

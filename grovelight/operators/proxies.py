@@ -1,9 +1,9 @@
 """Cost estimates of subproblems, computed bottom-up.
 
 Depth left is ``depth - size(itemset)``: a feature cannot repeat on a path, so
-every estimate is a function of the itemset.  Each level is one shuffle: children
-are sent to all their parents, both sides of a split meet in the parent's group,
-and the parent keeps its best split per estimate.
+every estimate is a function of the itemset.  At each level
+children are sent to all their parents, where both sides of a split meet, and a
+parent keeps its best split per estimate.
 
 Estimates of an itemset with ``d`` levels left:
 
@@ -111,14 +111,31 @@ def base_level(counts: DataFrame, rule: ProxyRule, keys: Sequence[str] = ()) ->
     return counts.selectExpr(*keys, "itemset", "n", "p", *(f"{leaf} AS {e}" for e in rule.estimates))
 
 
-def parent_level(children: DataFrame, depth_left: int, rule: ProxyRule, keys: Sequence[str] = ()) -> DataFrame:
-    """Estimates and splits of all parents of ``children``.
+def parent_splits(children: DataFrame, depth_left: int, rule: ProxyRule, keys: Sequence[str] = ()) -> DataFrame:
+    """All splits of the parents of ``children``, one row per itemset and feature.
 
-    Output: ``keys, itemset, n, p, <estimates>, splits`` where ``splits`` holds
-    ``(feature, n_l, p_l, v_l, n_r, p_r, v_r)``, one entry per valid split.
+    Output: counts of both sides, ``v_l``/``v_r`` (what a node with ``depth_left``
+    levels left holds against its sides) and per estimate the sum over both sides.
+    A split with an empty side is kept: it still tells the parent's counts.
     """
-    valid = "n_l > 0 AND n_r > 0"
-    ok = f"{valid} AND feature < {rule.searched}"
+    parent, both = names(keys, "itemset"), [f"sum({e}) {e}_sum" for e in rule.estimates]
+    return sql(
+        f"""SELECT {parent}, feature, {side_sums(n="n", p="p", v=rule.admission(depth_left))}, {names((), *both)}
+        FROM (
+            SELECT /*+ REPARTITION({parent}) */ *
+            FROM ({to_parents("{children}", keys, "n", "p", *rule.estimates)}))
+        GROUP BY {parent}, feature""",
+        children=children,
+    )
+
+
+def settle_estimates(splits: DataFrame, depth_left: int, rule: ProxyRule, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys, itemset) -> n, p, <estimates>`` from all splits of the itemsets.
+
+    Every aggregate has a fixed-width buffer, and a stored split table holds the
+    splits of an itemset together, so nearly all of it is combined map-side.
+    """
+    ok = f"n_l > 0 AND n_r > 0 AND feature < {rule.searched}"
 
     def pick(rank: str, outcome: str) -> str:
         """Outcome of the split with the least rank."""
@@ -145,28 +162,21 @@ def parent_level(children: DataFrame, depth_left: int, rule: ProxyRule, keys: Se
             exact = name == "x" or depth_left == 1 or int(name[1:]) >= max(depth_left - 1, 1)
         return "x" if exact else name
 
+    needed = {source(e) for e in rule.estimates if e != "leaf"}
     # LEAST skips NULL: without a valid split the leaf remains
     values = ", ".join(
         f"if({is_cheap('leaf', rule.lam_n)}, leaf, least(leaf, {source(e)}_best)) {e}"
         for e in rule.estimates
         if e != "leaf"
     )
-    parent, both = names(keys, "itemset"), [f"sum({e}) {e}_sum" for e in rule.estimates]
+    group = names(keys, "itemset")
     return sql(
-        f"""WITH sides AS (
-            SELECT /*+ REPARTITION({parent}) */ *
-            FROM ({to_parents("{children}", keys, "n", "p", *rule.estimates)})),
-        split AS (
-            SELECT {parent}, feature, {side_sums(n="n", p="p", v=rule.admission(depth_left))}, {names((), *both)}
-            FROM sides GROUP BY {parent}, feature),
-        chosen AS (
-            SELECT {parent}, max(n_l + n_r) n, max(p_l + p_r) p,
-                {names((), *(f"{expr} {name}_best" for name, expr in best.items()))},
-                array_sort(collect_list(if({valid}, struct(feature, n_l, p_l, v_l, n_r, p_r, v_r), NULL))) splits
-            FROM split GROUP BY {parent}),
-        with_leaf AS (SELECT *, {leaf_objective("n", "p", rule.lam_n)} leaf FROM chosen)
-        SELECT {parent}, n, p, leaf, {values}, splits FROM with_leaf""",
-        children=children,
+        f"""SELECT {group}, n, p, leaf, {values} FROM (
+            SELECT *, {leaf_objective("n", "p", rule.lam_n)} leaf FROM (
+                SELECT {group}, max(n_l + n_r) n, max(p_l + p_r) p,
+                    {names((), *(f"{expr} {name}_best" for name, expr in best.items() if name in needed))}
+                FROM {{splits}} GROUP BY {group}))""",
+        splits=splits,
     )
 
 

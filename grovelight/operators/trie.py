@@ -34,15 +34,18 @@ def _with_child_steps(splits: str, has_steps: bool, keys: Sequence[str]) -> str:
         FROM ({splits}) c {stored("left", "ls")} {stored("right", "rs")}"""
 
 
-def min_steps(level: DataFrame, child_steps: DataFrame | None, own_value: str, keys: Sequence[str] = ()) -> DataFrame:
+def min_steps(
+    splits: DataFrame, estimates: DataFrame, child_steps: DataFrame | None, own_value: str, keys: Sequence[str] = ()
+) -> DataFrame:
     """Least reachable objective per budget, where it is not the trivial step.
 
-    ``own_value`` is the estimate a parent holds for these itemsets.
+    ``own_value`` is the estimate a parent holds for these itemsets.  A group
+    gathers a few points per feature.
     """
     node = names(keys, "itemset")
-    splits = f"SELECT *, {SIDES} FROM (SELECT {node}, inline(splits) FROM {{level}})"
-    joined = _with_child_steps(splits, child_steps is not None, keys)
-    tables = {"level": level} if child_steps is None else {"level": level, "steps": child_steps}
+    rows = f"SELECT {node}, v_l, v_r, {SIDES} FROM {{splits}} WHERE n_l > 0 AND n_r > 0"
+    joined = _with_child_steps(rows, child_steps is not None, keys)
+    tables = {"splits": splits, "estimates": estimates} | ({} if child_steps is None else {"steps": child_steps})
     leaf = "struct(leaf AS b, leaf AS m)"
     return sql(
         f"""WITH points AS (
@@ -51,7 +54,7 @@ def min_steps(level: DataFrame, child_steps: DataFrame | None, own_value: str, k
         SELECT {node}, steps FROM (
             SELECT {node}, {single_step(own_value)} own,
                 {lower_envelope(f"array_append(points, {leaf})")} steps
-            FROM {{level}} JOIN points USING ({node}))
+            FROM {{estimates}} JOIN points USING ({node}))
         WHERE steps <> own""",
         **tables,
     )
@@ -59,7 +62,7 @@ def min_steps(level: DataFrame, child_steps: DataFrame | None, own_value: str, k
 
 def expand(
     frontier: DataFrame,
-    level: DataFrame,
+    splits: DataFrame,
     lam_n: int,
     allocation: str,
     child_steps: DataFrame | None = None,
@@ -73,11 +76,10 @@ def expand(
         admitted = "v_l + v_r <= budget"
     # two leaves must be affordable; nodes that can only be leaves never join
     rows = f"""SELECT *, {SIDES} FROM (
-            SELECT {node}, budget, inline(splits)
+            SELECT {node}, budget, feature, n_l, p_l, v_l, n_r, p_r, v_r
             FROM (SELECT {node}, budget FROM {{frontier}} WHERE budget >= {max(2 * lam_n, 0)}L)
-            JOIN (SELECT {node}, splits FROM {{level}}) USING ({node}))
-        WHERE {admitted}"""
-    tables = {"frontier": frontier, "level": level}
+            JOIN {{splits}} USING ({node}) WHERE n_l > 0 AND n_r > 0 AND ({admitted}))"""
+    tables = {"frontier": frontier, "splits": splits}
     if allocation == MULTIPASS and child_steps is not None:
         tables["steps"] = child_steps
         rows = _with_child_steps(rows, True, keys)

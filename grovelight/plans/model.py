@@ -14,7 +14,7 @@ from ..functions.columns import COUNT, objective_bound, sql
 from ..operators import frontier, histogram, predict, trees, trie
 from ..operators.counts import itemset_counts
 from ..operators.patterns import Totals, compact, packed_rows, pattern_totals, spread, words
-from ..operators.proxies import ProxyRule, base_level, parent_level
+from ..operators.proxies import ProxyRule, base_level, parent_splits, settle_estimates
 from ..sources.tables import check_columns
 from .storage import cut
 
@@ -69,17 +69,26 @@ def penalty(lam: float, n_rows: int) -> int:
     return whole + 1 if product - whole >= 0.5 else whole
 
 
+@dataclass(frozen=True)
+class Level:
+    """Subproblems of one itemset size: their estimates and all their splits."""
+
+    estimates: DataFrame
+    splits: DataFrame | None = None
+
+
 def subproblem_levels(
     patterns: DataFrame, totals: Totals, rule: ProxyRule, keys: Sequence[str] = ()
-) -> dict[int, DataFrame]:
-    """Tables of all subproblems, by itemset size, each with its estimates."""
+) -> dict[int, Level]:
+    """All subproblems by itemset size, deepest first."""
     deepest = min(rule.depth, rule.n_features)
     wide = spread(patterns, totals.subsets(deepest))
     counts = itemset_counts(wide, totals.rare, deepest, keys, exact_size=True)
-    levels = {deepest: cut(base_level(counts, rule, keys), f"level{deepest}")}
+    levels = {deepest: Level(cut(base_level(counts, rule, keys), f"level{deepest}"))}
     for size in range(deepest - 1, -1, -1):
-        level = parent_level(levels[size + 1], rule.depth - size, rule, keys)
-        levels[size] = cut(level, f"level{size}")
+        depth_left = rule.depth - size
+        splits = cut(parent_splits(levels[size + 1].estimates, depth_left, rule, keys), f"level{size}")
+        levels[size] = Level(settle_estimates(splits, depth_left, rule, keys), splits)
     return levels
 
 
@@ -93,7 +102,7 @@ class NearOptimalSet:
 
     options: Options
     rule: ProxyRule
-    levels: dict[int, DataFrame]
+    levels: dict[int, Level]
     keys: tuple[str, ...] = ()
     splits: dict[int, DataFrame] = field(default_factory=dict)
 
@@ -108,7 +117,7 @@ class NearOptimalSet:
             bound = f"{int(o.root_budget)}L"
         else:
             bound = objective_bound(self.rule.reference(), o.rashomon_mult, o.multiplicative_slack)
-        return self.levels[0].selectExpr(*self.keys, "itemset", f"{bound} AS budget", "n", "p")
+        return self.levels[0].estimates.selectExpr(*self.keys, "itemset", f"{bound} AS budget", "n", "p")
 
     def child_steps(self) -> dict[int, DataFrame | None]:
         """Non-trivial step functions per level, for levels that can have any."""
@@ -121,22 +130,23 @@ class NearOptimalSet:
             if depth_left <= self.rule.exact_below():
                 continue
             own = self.rule.admission(depth_left + 1)
-            below = cut(trie.min_steps(self.levels[size], below, own, self.keys), f"steps{size}")
+            level = self.levels[size]
+            below = cut(trie.min_steps(level.splits, level.estimates, below, own, self.keys), f"steps{size}")
             steps[size] = below
         return steps
 
     def build(self) -> NearOptimalSet:
         steps = self.child_steps()
         for size in range(self.deepest):
-            level = trie.expand(
+            admitted = trie.expand(
                 self.frontier(size),
-                self.levels[size],
+                self.levels[size].splits,
                 self.rule.lam_n,
                 self.options.allocation,
                 steps.get(size + 1),
                 self.keys,
             )
-            self.splits[size] = cut(level, f"splits{size}")
+            self.splits[size] = cut(admitted, f"splits{size}")
         return self
 
     def frontier(self, size: int) -> DataFrame:
@@ -184,7 +194,7 @@ class RashomonModel:
         """``(reference, bound)``: estimate of the whole problem and the budget."""
         return sql(
             f"SELECT {self.rule.reference()} reference, budget bound FROM {{top}} JOIN {{roots}} USING (itemset)",
-            top=self.levels[0],
+            top=self.levels[0].estimates,
             roots=self.set.roots(),
         )
 
@@ -399,7 +409,7 @@ class RashomonModel:
 
     # -- estimates on demand --------------------------------------------------
 
-    def levels_at(self, depth: int) -> dict[int, DataFrame]:
+    def levels_at(self, depth: int) -> dict[int, Level]:
         """Subproblem tables for another depth budget, kept for reuse."""
         if depth not in self._levels_at:
             rule = self.options.rule(self.n_rows, len(self.features), depth)
@@ -408,11 +418,11 @@ class RashomonModel:
 
     def root_lookahead(self, depth: int) -> DataFrame:
         """Lookahead-1 estimate of the whole problem at a given depth."""
-        return self.levels_at(depth)[0].selectExpr("v1 AS obj")
+        return self.levels_at(depth)[0].estimates.selectExpr("v1 AS obj")
 
     def frontier_scores(self, depth: int, start: int = 0, stop: int | None = None) -> DataFrame:
         """``(tree_id, node_no, depth, score)`` for the internal nodes of trees."""
-        parts = [level.select("itemset", "v1") for level in self.levels_at(depth).values()]
+        parts = [level.estimates.select("itemset", "v1") for level in self.levels_at(depth).values()]
         estimates = reduce(DataFrame.unionByName, parts)
         return frontier.frontier_scores(trees.tree_nodes(self.tree_leaves(start, stop)), estimates, depth)
 
