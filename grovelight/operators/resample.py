@@ -50,28 +50,31 @@ def bootstrap_sample(positioned: DataFrame, draws: DataFrame) -> DataFrame:
     return sql(f"SELECT b, i, {carried} FROM {{draws}} JOIN {{positioned}} USING (pos)", draws=draws, positioned=positioned)
 
 
-def shuffle_ranks(slots: DataFrame, n_vars: int, n_rows: int, seed: int) -> DataFrame:
-    """``(b, var, i, donor)``: slot ``i`` takes the variable's columns of slot
-    ``donor``, one uniform permutation per bootstrap and variable.
-
-    Slots are ordered by a hash.  Hash values are uniform, so equal-width buckets
-    hold equal shares; ranks are taken inside buckets and shifted by the sizes of
-    the buckets before, which keeps every window small.
+def shuffle_ranks(sample: DataFrame, n_vars: int, n_rows: int, n_features: int, seed: int) -> DataFrame:
+    """``(b, var, i, words)``: slot ``i`` takes the variable's columns from these
+    words, one uniform permutation of the slots per bootstrap and variable.
+
+    Slots are ordered by a hash and carry their words along.  Hash values are
+    uniform, so equal-width buckets hold equal shares; ranks are taken inside
+    buckets and shifted by the sizes of the buckets before, which keeps every
+    window small.
     """
     bits = min(16, max(0, (n_rows // 50_000).bit_length()))
+    donor = names((), *words(n_features))
     return sql(
         f"""WITH hashed AS (
-            SELECT b, var, i, {hash_draw(str(seed), "b", "var", "i")} h
-            FROM (SELECT b, i, explode(sequence(0, {n_vars - 1})) var FROM {{slots}})),
+            SELECT b, var, i, {donor}, {hash_draw(str(seed), "b", "var", "i")} h
+            FROM (SELECT b, i, {donor}, explode(sequence(0, {n_vars - 1})) var FROM {{sample}})),
         bucketed AS (SELECT *, shiftright(h, {DRAW_BITS - bits}) bucket FROM hashed),
         offsets AS (
             SELECT b, var, bucket, coalesce(sum(size) OVER (
                 PARTITION BY b, var ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) shift
             FROM (SELECT b, var, bucket, count(*) size FROM bucketed GROUP BY b, var, bucket)),
         ranked AS (
-            SELECT b, var, bucket, i, row_number() OVER (PARTITION BY b, var, bucket ORDER BY h, i) - 1 at FROM bucketed)
-        SELECT b, var, at + shift i, i donor FROM ranked JOIN offsets USING (b, var, bucket)""",
-        slots=slots,
+            SELECT b, var, bucket, {donor}, row_number() OVER (PARTITION BY b, var, bucket ORDER BY h, i) - 1 at
+            FROM bucketed)
+        SELECT b, var, at + shift i, {donor} FROM ranked JOIN offsets USING (b, var, bucket)""",
+        sample=sample,
     )
 
 
@@ -92,14 +95,13 @@ def permuted_patterns(sample: DataFrame, ranks: DataFrame, variables: Sequence[S
     columns = []
     for w, name in enumerate(words(n_features)):
         mask = f"element_at(array({', '.join(f'{m[w]}L' for m in masks)}), var + 1)"
-        columns.append(f"(kept.{name} & ~{mask}) | (donor.{name} & {mask}) AS {name}")
+        columns.append(f"(kept.{name} & ~{mask}) | (ranks.{name} & {mask}) AS {name}")
     group = names(("b", "var"), *words(n_features))
     return sql(
         f"""SELECT {group}, sum(1L) n, sum(y) p FROM (
             SELECT ranks.b, ranks.var, {names((), *columns)}, kept.y
             FROM {{ranks}} AS ranks
-            JOIN {{sample}} AS kept ON kept.b = ranks.b AND kept.i = ranks.i
-            JOIN {{sample}} AS donor ON donor.b = ranks.b AND donor.i = ranks.donor)
+            JOIN {{sample}} AS kept ON kept.b = ranks.b AND kept.i = ranks.i)
         GROUP BY {group}""",
         ranks=ranks,
         sample=sample,

@@ -54,7 +54,15 @@ def ranks(ranges: DataFrame, start: int = 0, stop: int | None = None, max_obj: i
 
 
 def first_requests(ids: DataFrame) -> DataFrame:
-    return ids.selectExpr("tree_id", f"{NO_LITERALS} AS path", f"{NO_LITERALS} AS itemset", "budget", "obj", "k")
+    return ids.selectExpr(
+        "tree_id",
+        f"{NO_LITERALS} AS path",
+        f"{NO_LITERALS} AS itemset",
+        "budget",
+        "obj",
+        "k",
+        "cast(NULL AS int) AS prediction",
+    )
 
 
 def node_entries(leaves: DataFrame, splits: DataFrame | None, child_hist: DataFrame | None) -> DataFrame:
@@ -78,31 +86,30 @@ def node_entries(leaves: DataFrame, splits: DataFrame | None, child_hist: DataFr
 
 
 def descend(requests: DataFrame, entries: DataFrame) -> DataFrame:
-    """Choose the entry of each request ``(tree_id, path, itemset, budget, obj, k)``."""
-    return sql(
-        f"""SELECT tree_id, path, itemset, obj, cast(k - first AS {COUNT}) k,
-            prediction, feature, obj_l, left_budget, right_budget, cnt_r
-        FROM {{requests}} JOIN {{entries}} USING (itemset, budget, obj)
-        WHERE k >= first AND k < first + cnt""",
-        requests=requests,
-        entries=entries,
-    )
-
+    """One level down: a request becomes a leaf or the requests of both sides.
 
-def chosen_leaves(chosen: DataFrame) -> DataFrame:
-    return chosen.where("feature < 0").selectExpr("tree_id", "path", "itemset", "prediction", "obj AS loss")
-
-
-def chosen_children(chosen: DataFrame) -> DataFrame:
-    """Requests of the next level: one per side of every chosen split."""
+    Requests that already are leaves (``prediction`` is set) pass through, so all
+    levels are one chain of joins.  They keep their itemset as join key and find
+    no partner, because entries of a level are longer.
+    """
 
     def request(step: str, value: int, budget: str, obj: str, rank: str) -> str:
         return f"""struct(array_append(path, {step}) AS path, {child_itemset("itemset", "feature", value)} AS itemset,
-            {budget} AS budget, {obj} AS obj, cast({rank} AS {COUNT}) AS k)"""
+            {budget} AS budget, {obj} AS obj, cast({rank} AS {COUNT}) AS k, cast(NULL AS int) AS prediction)"""
 
-    left = request("feature + 1", 1, "left_budget", "obj_l", "(k - k % cnt_r) / cnt_r")
-    right = request("-(feature + 1)", 0, "right_budget", "obj - obj_l", "k % cnt_r")
-    return chosen.where("feature >= 0").selectExpr("tree_id", f"inline(array({left}, {right}))")
+    left = request("feature + 1", 1, "left_budget", "obj_l", "(at - at % cnt_r) / cnt_r")
+    right = request("-(feature + 1)", 0, "right_budget", "obj - obj_l", "at % cnt_r")
+    same = "struct(path, itemset, budget, obj, k, coalesce(prediction, leaf) AS prediction)"
+    return sql(
+        f"""SELECT tree_id, inline(if(feature >= 0, array({left}, {right}), array({same}))) FROM (
+            SELECT r.*, e.prediction leaf, e.feature, e.obj_l, e.left_budget, e.right_budget, e.cnt_r,
+                cast(r.k - e.first AS {COUNT}) at
+            FROM {{requests}} r LEFT JOIN {{entries}} e
+            ON r.itemset = e.itemset AND r.budget = e.budget AND r.obj = e.obj
+                AND r.k >= e.first AND r.k < e.first + e.cnt)""",
+        requests=requests,
+        entries=entries,
+    )
 
 
 def number_leaves(leaves: DataFrame) -> DataFrame:
@@ -117,7 +124,7 @@ def number_leaves(leaves: DataFrame) -> DataFrame:
         "path",
         "itemset",
         "prediction",
-        "loss",
+        "obj AS loss",
     )
 
 

@@ -89,8 +89,7 @@ def subtractive_reliance(
     levels = subproblem_levels(patterns, pattern_totals(patterns, n_features), rule, ["b"])
     found = NearOptimalSet(options, rule, levels, ("b",)).build()
 
-    slots = sample.select("b", "i")
-    ranks = resample.shuffle_ranks(slots, len(variables), n_rows, seed)
+    ranks = resample.shuffle_ranks(sample, len(variables), n_rows, n_features, seed)
     permuted = cut(resample.permuted_patterns(sample, ranks, columns, n_features), "permuted")
 
     # only leaves that test a permuted column can change, so only those are counted again

@@ -84,7 +84,10 @@ def subproblem_levels(
     deepest = min(rule.depth, rule.n_features)
     wide = spread(patterns, totals.subsets(deepest))
     counts = itemset_counts(wide, totals.rare, deepest, keys, exact_size=True)
-    levels = {deepest: Level(cut(base_level(counts, rule, keys), f"level{deepest}"))}
+    # the deepest level is the largest table and is read once, so it is not stored
+    levels = {deepest: Level(base_level(counts, rule, keys))}
+    if deepest == 0:
+        levels[0] = Level(cut(levels[0].estimates, "level0"))
     for size in range(deepest - 1, -1, -1):
         depth_left = rule.depth - size
         splits = cut(parent_splits(levels[size + 1].estimates, depth_left, rule, keys), f"level{size}")
@@ -165,7 +168,8 @@ class NearOptimalSet:
             if leaf_measures is not None:
                 leaves = leaf_measures(leaves)
             hist = histogram.fold_level(leaves, self.splits.get(size), hists.get(size + 1), self.keys, measures)
-            hists[size] = cut(hist, f"hist{size}")
+            # at the deepest level a histogram is only the leaves of its frontier
+            hists[size] = hist if size == self.deepest > 0 else cut(hist, f"hist{size}")
         return hists
 
     @cached_property
@@ -241,7 +245,6 @@ class RashomonModel:
         """
         requests = trees.first_requests(trees.ranks(self.ranges(), start, stop, max_obj))
         everything = start <= 0 and stop is None and max_obj is None
-        found = []
         for size in range(self.set.deepest + 1):
             leaves, splits = self.set.leaves(size), self.set.splits.get(size)
             if not everything and size > 0:
@@ -250,10 +253,10 @@ class RashomonModel:
                 leaves = leaves.join(visited, ["itemset", "budget"], "left_semi")
                 splits = None if splits is None else splits.join(visited, ["itemset", "budget"], "left_semi")
             entries = trees.node_entries(leaves, splits, self.set.hists.get(size + 1))
-            chosen = cut(trees.descend(requests, entries), f"chosen{size}")
-            found.append(trees.chosen_leaves(chosen))
-            requests = trees.chosen_children(chosen)
-        return trees.number_leaves(reduce(DataFrame.unionByName, found))
+            requests = trees.descend(requests, entries)
+            if not everything:
+                requests = cut(requests, f"requests{size}")
+        return trees.number_leaves(requests)
 
     @cached_property
     def all_leaves(self) -> DataFrame:
