@@ -53,16 +53,15 @@ def reliance_mass(hist: DataFrame, totals: DataFrame, mult: float, n_boot: int,
     every bootstrap passes.  ``normalize`` divides by the trees that pass and the
     bootstraps that have any.
     """
-    weight = "passing * boots" if normalize else f"trees * {n_boot}"
+    weight = "passing * (SELECT count(*) FROM {totals})" if normalize else f"trees * {n_boot}"
     return sql(
         f"""WITH kept AS (
             SELECT b, var, delta, cnt, trees, least FROM {{hist}} JOIN {{totals}} USING (b)
             WHERE obj <= cast(round({float(1.0 + mult)!r}D * least) AS bigint)),
         passing AS (SELECT b, var, sum(cnt) passing FROM kept GROUP BY b, var),
-        boots AS (SELECT count(*) boots FROM {{totals}}),
         merged AS (SELECT b, var, delta, sum(cnt) cnt, max(trees) trees FROM kept GROUP BY b, var, delta)
         SELECT var, delta, sum(cast(cnt AS double) / cast({weight} AS double)) mass
-        FROM merged JOIN passing USING (b, var) CROSS JOIN boots GROUP BY var, delta""",
+        FROM merged JOIN passing USING (b, var) GROUP BY var, delta""",
         hist=hist,
         totals=totals,
     )

@@ -15,22 +15,30 @@ from ..functions.columns import DRAW_BITS, hash_draw, names, sql
 from .patterns import WORD_BITS, words
 
 
-def dense_positions(df: DataFrame, order: str, store) -> DataFrame:
-    """Add ``pos`` = 0, 1, 2, ... in the order of a unique column.
+def ranged_rows(df: DataFrame, order: str) -> DataFrame:
+    """Range-partition by a unique column and note the partition in ``part``.
 
-    Rows are range-partitioned, numbered inside their partition and shifted by
-    the sizes of the partitions before; ``store`` fixes the partition ids before
-    they are read twice.
+    Store the result before reading it twice: a second run may cut the ranges
+    elsewhere.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = store(df.repartitionByRange(int(parts), order).withColumn("part", F.spark_partition_id()), "ranged")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
+
+
+def dense_positions(ranged: DataFrame, order: str) -> DataFrame:
+    """Replace ``order`` by ``pos`` = 0, 1, 2, ... in its order.
+
+    Rows are numbered inside their partition and shifted by the sizes of the
+    partitions before; only the list of partitions is windowed as a whole.
+    """
+    kept = names((), *(c for c in ranged.columns if c not in (order, "part")))
     return sql(
         f"""WITH offsets AS (
             SELECT part, coalesce(sum(size) OVER (
                 ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) shift
             FROM (SELECT part, count(*) size FROM {{ranged}} GROUP BY part)),
         numbered AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY {order}) - 1 at FROM {{ranged}})
-        SELECT {names((), *df.columns)}, at + shift pos FROM numbered JOIN offsets USING (part)""",
+        SELECT {kept}, at + shift pos FROM numbered JOIN offsets USING (part)""",
         ranged=ranged,
     )
 

@@ -72,13 +72,14 @@ def subtractive_reliance(
     if row_id is None:
         df, row_id = df.withColumn("_row", F.monotonically_increasing_id()), "_row"
     rows = packed_rows(df, features, label, keep=[row_id])
-    positioned = cut(resample.dense_positions(rows, row_id, cut).drop(row_id), "positioned")
-    n_rows = positioned.count()
+    ranged = cut(resample.ranged_rows(rows, row_id), "ranged")
+    n_rows = ranged.count()
     if n_rows == 0:
         raise ValueError("no rows")
     spark = df.sparkSession
 
     draws = resample.bootstrap_draws(spark, n_rows, n_boot, seed)
+    positioned = resample.dense_positions(ranged, row_id)
     sample = cut(resample.bootstrap_sample(positioned, draws), "sample")
     patterns = cut(compact(sample, n_features, ["b"]), "patterns")
 

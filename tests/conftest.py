@@ -13,8 +13,9 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     builder = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
     )
