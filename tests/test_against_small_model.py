@@ -89,8 +89,8 @@ def test_multipass_finds_more_than_singlepass(spark):
     df = spark.createDataFrame([(*r, t) for r, t in zip(rows, labels)], [*names, "y"])
     sizes = []
     for use in (True, False):
-        model = SmallModel(rows, labels, lam=0.01, depth=5, mult=0.1, multipass=use)
-        got = fit(df, names, "y", lambda_reg=0.01, depth_budget=5, rashomon_mult=0.1, use_multipass=use)
+        model = SmallModel(rows, labels, lam=0.02, depth=5, mult=0.02, multipass=use)
+        got = fit(df, names, "y", lambda_reg=0.02, depth_budget=5, rashomon_mult=0.02, use_multipass=use)
         assert [(r["obj"], int(r["cnt"])) for r in got.root_histogram().collect()] == model.histogram()
         sizes.append(len(model.trees))
     assert sizes[0] > sizes[1]
