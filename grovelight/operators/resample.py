@@ -21,8 +21,7 @@ def ranged_rows(df: DataFrame, order: str) -> DataFrame:
     Store the result before reading it twice: a second run may cut the ranges
     elsewhere.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
+    return df.repartitionByRange(order).withColumn("part", F.spark_partition_id())
 
 
 def dense_positions(ranged: DataFrame, order: str) -> DataFrame:
