@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hd_language, kn_toxicity, shard_shuffle, subword_quality, url_trees
+from . import hd_language, kn_toxicity, shard_shuffle, subword_quality, suffix_contamination, url_trees
 from .frames import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,19 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op8_sharding": op8_sharding,
 }
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = suffix_contamination.scan(docs, ["doc_id"], "text", benchmark, "item_id", "text")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        suffix_contamination.contaminated().alias("contaminated"),
+    )
+
+
+QUERIES["op7_decontamination"] = op7_decontamination
