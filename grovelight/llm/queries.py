@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hd_language, kn_toxicity, shard_shuffle, subword_quality, suffix_contamination, url_trees
+from . import bin_completion, hd_language, kn_toxicity, shard_shuffle, subword_quality, suffix_contamination, url_trees
 from .frames import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_decontamination"] = op7_decontamination
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    packed = bin_completion.pack_documents(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES["op10_packing"] = op10_packing
