@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_completion, hd_language, kn_toxicity, shard_shuffle, subword_quality, suffix_contamination, url_trees
+from . import bin_completion, hd_language, kn_toxicity, patience_lines, shard_shuffle, subword_quality, suffix_contamination, url_trees
 from .frames import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_packing"] = op10_packing
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = patience_lines.deduplicate(docs, "doc_id", "text")
+    runs = F.coalesce(F.col("_llm_runs"), F.array().cast("array<int>"))
+    ends = F.filter(runs, lambda _, i: i % 2 == 1)
+    starts = F.filter(runs, lambda _, i: i % 2 == 0)
+    removed = F.aggregate(F.zip_with(starts, ends, lambda a, b: b - a + 1), F.lit(0), lambda s, x: s + x)
+    return cleaned.select("doc_id", "text", F.size(starts).alias("n_blocks"), removed.alias("n_removed"))
+
+
+QUERIES["op4_line_dedup"] = op4_line_dedup
