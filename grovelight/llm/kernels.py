@@ -114,7 +114,7 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tu
     if len(words) >= width:
         rolled = np.zeros(len(words) - width + 1, dtype=U64)
         for k in range(width):
-            rolled += mix(words[k : len(words) - width + 1 + k] + U64(0x9E3779B97F4A7C15) * U64(k + 1)) * U64(2 * k + 3)
+            rolled += mix(words[k : len(words) - width + 1 + k] + U64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * U64(2 * k + 3)
         whole = rows[: len(rolled)] == rows[width - 1 :]
         out, at = mix(rolled[whole]), rows[: len(rolled)][whole]
     else:
@@ -125,7 +125,7 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tu
         extra = np.zeros(len(short), dtype=U64)
         for k in range(width - 1):
             has = counts[short] > k
-            extra[has] += mix(words[first[has] + k] + U64(0x9E3779B97F4A7C15) * U64(k + 1)) * U64(2 * k + 3)
+            extra[has] += mix(words[first[has] + k] + U64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * U64(2 * k + 3)
         out = np.concatenate([out, mix(extra + counts[short].astype(U64) * U64(0xA0761D6478BD642F))])
         at = np.concatenate([at, short])
     return out, at

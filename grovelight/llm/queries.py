@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_completion, hd_language, kn_toxicity, patience_lines, shard_shuffle, subword_quality, suffix_contamination, url_trees
+from . import bin_completion, hd_language, kn_toxicity, patience_lines, shard_shuffle, subword_quality, suffix_contamination, tile_join, url_trees
 from .frames import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_line_dedup"] = op4_line_dedup
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tile_join.join(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("row", "doc_id")
+
+
+QUERIES["op6_jaccard_join"] = op6_jaccard_join
