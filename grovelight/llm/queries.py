@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_completion, hd_language, kn_toxicity, patience_lines, shard_shuffle, subword_quality, suffix_contamination, tile_join, url_trees
+from . import bin_completion, hd_language, kn_toxicity, patience_lines, routed_search, shard_shuffle, subword_quality, suffix_contamination, tile_join, url_trees
 from .frames import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_jaccard_join"] = op6_jaccard_join
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routed_search.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
+QUERIES["op9_nearest"] = op9_nearest
