@@ -254,7 +254,7 @@ def remove(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str,
     # the pieces between the spans: 0, start, end, start, end, ..., length
     edges = F.concat(F.array(F.lit(0)), F.col("spans"), F.array(F.octet_length("_llm_kept")))
     piece = lambda i: F.substring(raw, F.get(edges, 2 * i) + 1, F.get(edges, 2 * i + 1) - F.get(edges, 2 * i)).cast("string")
-    cut = F.array_join(F.transform(F.sequence(F.lit(0), F.size("spans") / F.lit(2)).cast("array<int>"), piece), "\n")
+    cut = F.array_join(F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int")), piece), "\n")
     dirty = contaminated()
     kept = scanned.where(~dirty | (F.col("n_hit") < F.col("n_words")))
     text = F.when(dirty, cut).otherwise(F.col("_llm_kept"))
