@@ -27,4 +27,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLES: dict[str, str] = {"op7_decontamination": OP7}
+OP6 = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM doc
+), element AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS same
+  FROM element a JOIN element b ON a.e = b.e AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pair WHERE 100 * same >= 80 * (total - same)
+), edge AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_id
+FROM sets JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_jaccard_join": OP6, "op7_decontamination": OP7}

@@ -202,9 +202,12 @@ def describe(texts: DataFrame, counts: Counts, width: int, percent: int) -> Data
 
 
 def tiles(able: DataFrame, percent: int) -> DataFrame:
-    """(tile, side, set_id, n, bits): the sets to compare in each tile, sides 0 and 1 with each other, 2 among themselves."""
+    """(tile, side, set_id, n): the sets to compare in each tile, sides 0 and 1 with each other, 2 among themselves.
+
+    Near copies share many elements, and so many tiles of the same sets; one of those is kept.
+    """
     band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    rows = able.select(F.explode("keys").alias("key"), "set_id", "n", "bits", band.alias("band"))
+    rows = able.select(F.explode("keys").alias("key"), "set_id", "n", band.alias("band"))
     counts = rows.groupBy("key", "band").count()
     bands = counts.groupBy("key").agg(F.sum("count").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / CHUNK).cast("int").alias("m")))).alias("m")).where("all > 1").drop("all")
     joined = rows.join(bands, "key").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("m")[F.col("band")]).cast("int"))
@@ -220,8 +223,11 @@ def tiles(able: DataFrame, percent: int) -> DataFrame:
             made = F.transform(each, lambda c: F.struct(F.xxhash64("key", F.col("band") - 1, "band", c, "own").alias("tile"), F.lit(1).alias("side")))
         return F.when(there.isNotNull(), made).otherwise(F.array().cast("array<struct<tile:bigint,side:int>>"))
 
-    dealt = joined.select("set_id", "n", "bits", F.explode(F.concat(with_band(-1), with_band(0), with_band(1))).alias("t"))
-    return dealt.select("t.tile", "t.side", "set_id", "n", "bits")
+    dealt = joined.select("set_id", "n", F.explode(F.concat(with_band(-1), with_band(0), with_band(1))).alias("t"))
+    dealt = cut(dealt.select("t.tile", "t.side", "set_id", "n"), "dealt")
+    member = lambda seed: F.sum(F.xxhash64(F.lit(seed), "set_id", "side").cast("decimal(38,0)"))
+    same = dealt.groupBy("tile").agg(member(1).alias("m1"), member(2).alias("m2"), F.count("*").alias("sets")).where("sets > 1")
+    return dealt.join(same.groupBy("m1", "m2", "sets").agg(F.min("tile").alias("tile")).select("tile"), "tile")
 
 
 def propose(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: np.ndarray, refuted: list, most: int, percent: int) -> list[tuple[int, int]]:
@@ -312,17 +318,17 @@ def join(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percen
     able = described.where(F.col("keys").isNotNull())
     elements = cut(able.dropDuplicates(["set_id"]).select("set_id", "n", "keys", "bits", "elements"), "elements")
     dealt = cut(tiles(elements, percent), "tiles")
+    signed = elements.select("set_id", "bits")
     checked, labels, most = None, None, 1
     while True:
-        rows = dealt
         if labels is None:
-            rows = rows.withColumns({"comp": F.col("set_id"), "refuted": F.lit(None).cast("array<long>")})
+            rows = dealt.withColumns({"comp": F.col("set_id"), "refuted": F.lit(None).cast("array<long>")})
         else:
-            failed = checked.where("not linked").groupBy("a").agg(F.collect_list("b").alias("refuted"))
-            known = labels.withColumnRenamed("id", "set_id").join(failed.withColumnRenamed("a", "set_id"), "set_id", "full")
-            rows = rows.join(known, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+            rows = dealt.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
             mixed = rows.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
-            rows = rows.join(mixed, "tile")
+            failed = checked.where("not linked").groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "set_id")
+            rows = rows.join(mixed, "tile").join(failed, "set_id", "left")
+        rows = rows.join(signed, "set_id")
         found = _proposals(rows, most, percent).distinct()
         first = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("b")), 1, most).alias("b")) if most == 1 else found.groupBy("a").agg(F.collect_set("b").alias("b"))
         new = cut(_verify(first.select("a", F.explode("b").alias("b")), elements, percent), "checked")
