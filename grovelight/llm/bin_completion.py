@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, small_batches
 from .kernels import chunks
 from .pretokens import encoder
 
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, id_cols: list[str], text_col: str, path: str, capaci
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *names])
 
     names = ["piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    picked = docs.select(*id_cols, F.col(text_col).cast("string").alias("_llm_text"))
+    picked = small_batches(docs).select(*id_cols, F.col(text_col).cast("string").alias("_llm_text"))
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
     return picked.mapInArrow(run, ", ".join([*head, "piece int", "start long", "length long", "ids_crc32 long", *(["ids array<int>"] if with_ids else [])]))
 

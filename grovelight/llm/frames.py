@@ -9,7 +9,21 @@ from pyspark.sql import functions as F
 
 from grovelight.plans.storage import cut
 
-__all__ = ["cut", "fold", "labelled_sample", "table", "with_label"]
+__all__ = ["cut", "fold", "labelled_sample", "small_batches", "table", "with_label"]
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are at most 8 MB unless it set a size itself.
+
+    Rows are whole texts: the default of 64 MB, held several times by either side, is more
+    than a small executor has.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) in ("67108864", "67108864b", "64MB", "64m"):
+        conf.set(BATCH_BYTES, "8m")
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import small_batches
 from .kernels import chunks, codepoints, mix
 
 #: Dimensions of the vectors.
@@ -143,7 +144,7 @@ def learn(texts: DataFrame, text_col: str, lang_col: str, dimensions: int = DIME
         for lang, vector in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * dimensions, "place": np.arange(dimensions, dtype=np.int32), "value": vector})
 
-    rows = texts.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = small_batches(texts).where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     summed = rows.mapInArrow(partial, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     profiles = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("p")).select("lang", "p.value")
     found = profiles.limit(MAX_LANGUAGES + 1).collect()
@@ -152,8 +153,8 @@ def learn(texts: DataFrame, text_col: str, lang_col: str, dimensions: int = DIME
     return {r["lang"]: np.array(r["value"]) for r in sorted(found, key=lambda r: r["lang"])}
 
 
-def identify(docs: DataFrame, id_cols: list[str], text_col: str, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """(id columns, lang_pred, score) of every row.
+def identify(docs: DataFrame, id_cols: list[str], text_col: str, profiles: dict[str, np.ndarray], keep_text: bool = False) -> DataFrame:
+    """(id columns[, text], lang_pred, score) of every row; the text under its own name if kept.
 
     ``score`` is the cosine with the predicted language moved from [-1, 1] to [0, 1].
     A null text, one without letters, and any text when there are no profiles are
@@ -179,10 +180,11 @@ def identify(docs: DataFrame, id_cols: list[str], text_col: str, profiles: dict[
                 else:
                     best[lo:hi] = -1
             words = pa.array([names[k] if k >= 0 else "und" for k in best], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], words, pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            kept = batch.columns if keep_text else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, words, pa.array(score)], names=[*batch.schema.names[: len(kept)], "lang_pred", "score"])
 
-    picked = docs.select(*id_cols, F.col(text_col).cast("string").alias("_llm_text"))
-    ids = [f for f in picked.schema.fields[:-1]]
+    picked = small_batches(docs).select(*id_cols, F.col(text_col).cast("string").alias(text_col if keep_text else "_llm_text"))
+    ids = picked.schema.fields if keep_text else picked.schema.fields[:-1]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ids), "lang_pred string", "score double"])
     return picked.mapInArrow(predict, schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import labelled_sample, with_label
+from .frames import labelled_sample, small_batches, with_label
 from .kernels import chunks
 
 #: Symbols a model looks at: four of history and the one predicted.
@@ -209,7 +209,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column, tuning: Column, per_class: int = PER_CLASS, seed: int = 11) -> Model:
     """Count all of ``docs``; learn labels of ``usable`` ids, ``tuning`` ones only for the curve."""
     sample = labelled_sample(labels, id_col, label_col, per_class, seed, usable).withColumn("_llm_tune", tuning)
-    picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    picked = small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     joined = with_label(picked, sample.where(~F.col("_llm_tune")).select(id_col, "label"), id_col, "left")
     counts = joined.select("text", "label").mapInArrow(_counted, "code int, n long, c0 long, c1 long")
     counts = counts.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n", "c0", "c1"))).toArrow()
@@ -243,6 +243,6 @@ def score(docs: DataFrame, id_cols: list[str], text_col: str, model: Model) -> D
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
 
-    picked = docs.select(*id_cols, F.col(text_col).cast("string").alias("_llm_text"))
+    picked = small_batches(docs).select(*id_cols, F.col(text_col).cast("string").alias("_llm_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "score double"])
     return picked.mapInArrow(predict, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import labelled_sample, with_label
+from .frames import labelled_sample, small_batches, with_label
 from .kernels import LOWER, SPACED, U64, chunks, span_hashes, word_spans
 
 BITS = 18
@@ -137,6 +137,6 @@ def score(docs: DataFrame, id_cols: list[str], text_col: str, model: Model) -> D
             p = 1 / (1 + np.exp(-np.clip(total + intercept, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
 
-    picked = docs.select(*id_cols, F.col(text_col).cast("string").alias("_llm_text"))
+    picked = small_batches(docs).select(*id_cols, F.col(text_col).cast("string").alias("_llm_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "score double"])
     return picked.mapInArrow(predict, schema)

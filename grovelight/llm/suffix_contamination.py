@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import small_batches
 from .kernels import ALNUM, LOWER, chunks, span_hashes, word_spans
 
 WINDOW = 13
@@ -194,7 +195,7 @@ def scan(docs: DataFrame, id_cols: list[str], text_col: str, benchmark: DataFram
     empty text has no words.  An empty benchmark hits nothing.
     """
     session = docs.sparkSession.sparkContext
-    picked = docs.select(*id_cols, F.col(text_col).cast("string").alias("_llm_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("_llm_hit"), F.array().cast("array<string>").alias("_llm_items"))
+    picked = small_batches(docs).select(*id_cols, F.col(text_col).cast("string").alias("_llm_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("_llm_hit"), F.array().cast("array<string>").alias("_llm_items"))
     ids = picked.schema.fields[: len(id_cols)]
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in ids]
     found = blocks(benchmark, item_col, item_text_col, window)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut
+from .frames import cut, small_batches
 from .kernels import LOWER, SPACED, U64, chunks, mix, per_row_unique, shingles, span_hashes, word_spans
 
 WIDTH = 5
@@ -315,7 +315,7 @@ def join(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percen
     and empty texts have no shingles and are alone.  Repeated rows are linked like any
     equal texts.  Sets are told apart by a 64-bit digest, elements by 64-bit hashes.
     """
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(text_col).cast("string").alias("text"))
     counts = count_elements(texts, width)
     described = cut(describe(docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").alias("text")), counts, width, percent), "sets")
     able = described.where(F.col("keys").isNotNull())
