@@ -13,11 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-# Fixed values that decide results: entropy clamp, and the number of decimals
-# at which two information gains count as tied (JVM and libm log2 differ by a
-# few ulp, so exact comparison would break ties of twin features at random).
+# Fixed value that decides results: entropy clamp.
 ENTROPY_EPS = "1e-12D"
-GAIN_SCALE = "1e12D"
 
 COUNT = "decimal(38,0)"
 NO_LITERALS = "cast(array() AS array<int>)"
@@ -34,6 +31,11 @@ def names(keys: Sequence[str], *columns: str, prefix: str = "") -> str:
     return ", ".join(f"{prefix}{c}" for c in (*keys, *columns))
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def child_itemset(itemset: str, feature: str, value: int) -> str:
     """Canonical key of one side of a split."""
     return f"array_sort(array_append({itemset}, cast({feature} * 2 + {value} AS int)))"
@@ -61,9 +63,13 @@ def entropy_gain(n_l: str, p_l: str, n_r: str, p_r: str) -> str:
     )
 
 
-def gain_rank(gain: str, feature: str, n_features: int) -> str:
-    """One BIGINT that sorts by gain descending, then feature ascending."""
-    return f"(cast(round(-({gain}) * {GAIN_SCALE}) AS bigint) * {n_features}L + {feature})"
+def gain_rank(gain: str, feature: str) -> str:
+    """Sorts by gain descending, then feature ascending.
+
+    Gains are compared as they are: the expression is symmetric in the two sides,
+    so twin features and complements have bit-equal gains and the lower one wins.
+    """
+    return f"struct(-({gain}), {feature})"
 
 
 def loss_rank(loss: str, feature: str, n_features: int) -> str:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..functions.columns import names, sql
+from ..functions.columns import names, quoted, sql
 from ..sources.tables import truth
 
 WORD_BITS = 62
@@ -43,7 +43,7 @@ def held_literals(literals: Sequence[int]) -> str:
 
 
 def packed_rows(df: DataFrame, features: Sequence[str], label: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    columns = [*(f"`{c}`" for c in keep), *pack([truth(df, c) for c in features])]
+    columns = [*map(quoted, keep), *pack([truth(df, c) for c in features])]
     if label is not None:
         columns.append(f"cast({truth(df, label)} AS bigint) AS y")
     return df.selectExpr(*columns)
@@ -95,5 +95,5 @@ SPREAD_ROWS = 100_000
 def spread(patterns: DataFrame, work: float) -> DataFrame:
     """Spread a compact table over more tasks if each of its rows is about to
     become very many; small work stays where it is."""
-    tasks = min(math.ceil(work / SPREAD_ROWS), 1 << 14)
+    tasks = math.ceil(work / SPREAD_ROWS)
     return patterns.repartition(tasks) if tasks > 1 else patterns

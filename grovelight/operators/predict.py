@@ -11,18 +11,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..functions.columns import NO_LITERALS, names, sql
-from ..sources.tables import truth
+from ..sources.tables import bit, truth
 from .histogram import pair_children
 from .patterns import WORD_BITS, words
 
 
-def case_expression(df: DataFrame, features: Sequence[str], leaves: Sequence) -> str:
-    """One tree as a CASE expression (``leaves`` has at most 2^depth rows)."""
-    branches = []
-    for leaf in leaves:
-        tests = [f"{truth(df, features[abs(s) - 1])} = {int(s > 0)}" for s in leaf["path"]]
-        branches.append(f"WHEN {' AND '.join(tests) or 'true'} THEN {leaf['prediction']}")
-    return f"CASE {' '.join(branches)} END"
+def tree_expression(df: DataFrame, features: Sequence[str], leaves: Sequence) -> str:
+    """One tree as nested IFs: at most depth tests per row.
+
+    ``leaves`` has at most 2^depth rows.  NULL in any feature raises an error, also
+    in those that the row's branch does not test.
+    """
+
+    def node(below: Sequence, depth: int) -> str:
+        if len(below) == 1 and len(below[0]["path"]) == depth:
+            return str(below[0]["prediction"])
+        feature = abs(below[0]["path"][depth]) - 1
+        sides = [[leaf for leaf in below if (leaf["path"][depth] > 0) == side] for side in (True, False)]
+        return f"if({bit(df, features[feature])} = 1, {node(sides[0], depth + 1)}, {node(sides[1], depth + 1)})"
+
+    checks = " + ".join(truth(df, name) for name in features)
+    return f"if({checks} >= 0, {node(list(leaves), 0)}, NULL)"
 
 
 def itemset_edges(itemsets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -40,20 +49,25 @@ def match_itemsets(
     """``(keys, words, carried, itemset)`` for every wanted itemset a pattern meets.
 
     Patterns walk down the prefix tree of the itemsets, so the work is in
-    proportion to the matches, not to patterns times itemsets.  ``keys`` must
-    agree on both sides; ``carried`` columns come from the patterns.
+    proportion to the matches, not to patterns times itemsets.  What has arrived
+    passes through the further steps, so all steps are one chain of joins and the
+    patterns are read once.  ``keys`` must agree on both sides; ``carried`` columns
+    come from the patterns.
     """
     edges = itemset_edges(itemsets, keys)
     kept = names(keys, *words(n_features), *carried)
     word = f"element_at(array({names((), *words(n_features))}), cast(shiftright(literal, 1) div {WORD_BITS} AS int) + 1)"
     holds = f"(shiftright({word}, cast(shiftright(literal, 1) % {WORD_BITS} AS int)) & 1L) = (literal & 1)"
-    state = f"SELECT {kept}, {NO_LITERALS} prefix FROM {{patterns}}"
-    ends = []
-    for step in range(depth + 1):
-        met = f"SELECT {kept}, prefix, literal FROM ({state}) JOIN {{edges}} USING ({names(keys, 'prefix')})"
-        ends.append(f"SELECT {kept}, prefix itemset FROM ({met}) WHERE literal IS NULL")
-        state = f"SELECT {kept}, array_append(prefix, literal) prefix FROM ({met}) WHERE {holds}"
-    return sql(" UNION ALL ".join(ends), patterns=patterns, edges=edges)
+    state = f"SELECT {kept}, {NO_LITERALS} prefix, false there FROM {{patterns}}"
+    met = " AND ".join([*(f"s.{k} = e.{k}" for k in keys), "s.prefix = e.at", "NOT s.there"])
+    own = names((), *(f"s.{c}" for c in (*keys, *words(n_features), *carried)))
+    edges = edges.withColumnRenamed("prefix", "at")
+    for _ in range(depth + 1):
+        state = f"""SELECT {kept}, if(there OR literal IS NULL, prefix, array_append(prefix, literal)) prefix,
+                there OR literal IS NULL there
+            FROM (SELECT {own}, s.prefix, s.there, e.at, e.literal FROM ({state}) s LEFT JOIN {{edges}} e ON {met})
+            WHERE there OR (at IS NOT NULL AND (literal IS NULL OR {holds}))"""
+    return sql(f"SELECT {kept}, prefix itemset FROM ({state}) WHERE there", patterns=patterns, edges=edges)
 
 
 def itemset_weights(

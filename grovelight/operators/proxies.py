@@ -132,7 +132,7 @@ def parent_splits(children: DataFrame, depth_left: int, rule: ProxyRule, keys: S
 def settle_estimates(splits: DataFrame, depth_left: int, rule: ProxyRule, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, itemset) -> n, p, <estimates>`` from all splits of the itemsets.
 
-    Every aggregate has a fixed-width buffer, and a stored split table holds the
+    Aggregates are single values, and a stored split table holds the
     splits of an itemset together, so nearly all of it is combined map-side.
     """
     ok = f"n_l > 0 AND n_r > 0 AND feature < {rule.searched}"
@@ -142,7 +142,7 @@ def settle_estimates(splits: DataFrame, depth_left: int, rule: ProxyRule, keys:
         return f"min_by(if({ok}, {outcome}, NULL), if({ok}, {rank}, NULL))"
 
     by_loss = loss_rank("leaf_sum", "feature", rule.n_features)
-    by_gain = gain_rank(entropy_gain("n_l", "p_l", "n_r", "p_r"), "feature", rule.n_features)
+    by_gain = gain_rank(entropy_gain("n_l", "p_l", "n_r", "p_r"), "feature")
     best = {
         "x": f"min(if({ok}, x_sum, NULL))",
         "g": pick(by_loss if rule.greedy_mode == ALWAYS_LOSS else by_gain, "g_sum"),
@@ -194,7 +194,7 @@ def best_split(
     """``(itemset) -> feature``: the split with the highest gain or the least leaf
     loss; the lower feature wins ties.  ``searched`` > 0 limits it to a prefix of
     the features.  Itemsets without a valid split have no row."""
-    rank = gain_rank("gain", "feature", n_features) if by_entropy else loss_rank("loss", "feature", n_features)
+    rank = gain_rank("gain", "feature") if by_entropy else loss_rank("loss", "feature", n_features)
     group = names(keys, "itemset")
     return sql(
         f"""SELECT {group}, min_by(feature, {rank}) feature FROM {{scores}}

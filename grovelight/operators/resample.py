@@ -16,12 +16,12 @@ from .patterns import WORD_BITS, words
 
 
 def ranged_rows(df: DataFrame, order: str) -> DataFrame:
-    """Range-partition by a unique column and note the partition in ``part``.
+    """Range-partition by a unique column and note the partition in ``_gl_part``.
 
     Store the result before reading it twice: a second run may cut the ranges
     elsewhere.
     """
-    return df.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    return df.repartitionByRange(order).withColumn("_gl_part", F.spark_partition_id())
 
 
 def dense_positions(ranged: DataFrame, order: str) -> DataFrame:
@@ -30,14 +30,15 @@ def dense_positions(ranged: DataFrame, order: str) -> DataFrame:
     Rows are numbered inside their partition and shifted by the sizes of the
     partitions before; only the list of partitions is windowed as a whole.
     """
-    kept = names((), *(c for c in ranged.columns if c not in (order, "part")))
+    kept = names((), *(c for c in ranged.columns if c not in (order, "_gl_part")))
     return sql(
         f"""WITH offsets AS (
-            SELECT part, coalesce(sum(size) OVER (
-                ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) shift
-            FROM (SELECT part, count(*) size FROM {{ranged}} GROUP BY part)),
-        numbered AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY {order}) - 1 at FROM {{ranged}})
-        SELECT {kept}, at + shift pos FROM numbered JOIN offsets USING (part)""",
+            SELECT _gl_part, coalesce(sum(size) OVER (
+                ORDER BY _gl_part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) shift
+            FROM (SELECT _gl_part, count(*) size FROM {{ranged}} GROUP BY _gl_part)),
+        numbered AS (SELECT *, count(*) OVER (
+            PARTITION BY _gl_part ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 at FROM {{ranged}})
+        SELECT {kept}, at + shift pos FROM numbered JOIN offsets USING (_gl_part)""",
         ranged=ranged,
     )
 
@@ -66,7 +67,7 @@ def shuffle_ranks(sample: DataFrame, n_vars: int, n_rows: int, n_features: int,
     buckets and shifted by the sizes of the buckets before, which keeps every
     window small.
     """
-    bits = min(16, max(0, (n_rows // 50_000).bit_length()))
+    bits = max(0, (n_rows // 50_000).bit_length())
     donor = names((), *words(n_features))
     return sql(
         f"""WITH hashed AS (
@@ -78,7 +79,8 @@ def shuffle_ranks(sample: DataFrame, n_vars: int, n_rows: int, n_features: int,
                 PARTITION BY b, var ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) shift
             FROM (SELECT b, var, bucket, count(*) size FROM bucketed GROUP BY b, var, bucket)),
         ranked AS (
-            SELECT b, var, bucket, {donor}, row_number() OVER (PARTITION BY b, var, bucket ORDER BY h, i) - 1 at
+            SELECT b, var, bucket, {donor}, count(*) OVER (
+                PARTITION BY b, var, bucket ORDER BY h, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 at
             FROM bucketed)
         SELECT b, var, at + shift i, {donor} FROM ranked JOIN offsets USING (b, var, bucket)""",
         sample=sample,

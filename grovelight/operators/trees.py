@@ -31,18 +31,33 @@ def objective_ranges(root_hist: DataFrame) -> DataFrame:
     )
 
 
-def ranks(ranges: DataFrame, start: int = 0, stop: int | None = None, max_obj: int | None = None) -> DataFrame:
-    """``(tree_id, budget, obj, k)`` for tree ids in ``[start, stop)``.
+def ranks(
+    ranges: DataFrame, start: int = 0, stop: int | None = None, max_obj: int | None = None, ids: Sequence[int] | None = None
+) -> DataFrame:
+    """``(tree_id, budget, obj, k)`` for tree ids in ``[start, stop)``, or for those listed in ``ids``.
+
+    Ranks are compared as decimals; a set may hold more trees than a BIGINT counts,
+    but ``tree_id`` is a BIGINT, so only the first 2^63 trees can be asked for.
 
     Ids are generated in chunks that are spread over the cluster before they are
     unrolled, so one objective with very many trees is not one task's work.
     """
     wanted = "true" if max_obj is None else f"obj <= {int(max_obj)}"
-    hi = "first + cnt" if stop is None else f"least(first + cnt, {int(stop)})"
+    if ids is not None:
+        spark = ranges.sparkSession
+        asked = spark.createDataFrame([(int(i),) for i in sorted(set(ids)) if i >= 0], "tree_id bigint")
+        return sql(
+            f"""SELECT tree_id, budget, obj, cast(tree_id - first AS {COUNT}) k
+            FROM {{asked}} JOIN {{ranges}} ON tree_id >= first AND tree_id < first + cnt WHERE {wanted}""",
+            ranges=ranges,
+            asked=asked,
+        )
+    end = f"cast({(1 << 63) - 1 if stop is None else min(int(stop), (1 << 63) - 1)} AS {COUNT})"
+    begin = f"cast({max(int(start), 0)} AS {COUNT})"
     return sql(
         f"""WITH bounds AS (
-            SELECT budget, obj, first, cast(greatest(first, {int(start)}) AS bigint) lo, cast({hi} AS bigint) hi
-            FROM {{ranges}} WHERE {wanted}),
+            SELECT budget, obj, first, cast(greatest(first, {begin}) AS bigint) lo, cast(least(first + cnt, {end}) AS bigint) hi
+            FROM (SELECT * FROM {{ranges}} WHERE {wanted} AND first < {end} AND first + cnt > {begin})),
         chunks AS (
             SELECT /*+ REPARTITION(lo) */ * FROM (
                 SELECT budget, obj, first, hi, explode(sequence(lo, hi - 1, {CHUNK}L)) lo FROM bounds WHERE lo < hi)),

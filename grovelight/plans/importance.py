@@ -70,16 +70,16 @@ def subtractive_reliance(
     n_features = len(features)
     variables, columns = variable_columns(n_features, binning_map)
     if row_id is None:
-        df, row_id = df.withColumn("_row", F.monotonically_increasing_id()), "_row"
-    rows = packed_rows(df, features, label, keep=[row_id])
-    ranged = cut(resample.ranged_rows(rows, row_id), "ranged")
+        df, row_id = df.withColumn("_gl_id", F.monotonically_increasing_id()), "_gl_id"
+    rows = packed_rows(df, features, label, keep=[row_id]).withColumnRenamed(row_id, "_gl_id")
+    ranged = cut(resample.ranged_rows(rows, "_gl_id"), "ranged")
     n_rows = ranged.count()
     if n_rows == 0:
         raise ValueError("no rows")
     spark = df.sparkSession
 
     draws = resample.bootstrap_draws(spark, n_rows, n_boot, seed)
-    positioned = resample.dense_positions(ranged, row_id)
+    positioned = resample.dense_positions(ranged, "_gl_id")
     sample = cut(resample.bootstrap_sample(positioned, draws), "sample")
     patterns = cut(compact(sample, n_features, ["b"]), "patterns")
 

@@ -10,7 +10,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import COUNT, objective_bound, sql
+from ..functions.columns import COUNT, objective_bound, quoted, sql
 from ..operators import frontier, histogram, predict, trees, trie
 from ..operators.counts import itemset_counts
 from ..operators.patterns import Totals, compact, packed_rows, pattern_totals, spread, words
@@ -226,10 +226,12 @@ class RashomonModel:
     def ranges(self) -> DataFrame:
         return trees.objective_ranges(self.set.hists[0])
 
-    def tree_objectives(self, start: int = 0, stop: int | None = None, max_obj: int | None = None) -> DataFrame:
+    def tree_objectives(
+        self, start: int = 0, stop: int | None = None, max_obj: int | None = None, ids: Sequence[int] | None = None
+    ) -> DataFrame:
         """``(tree_id, obj, obj_norm)`` by rank."""
-        ids = trees.ranks(self.ranges(), start, stop, max_obj)
-        return ids.selectExpr("tree_id", "obj", f"obj / {self.n_rows} AS obj_norm")
+        found = trees.ranks(self.ranges(), start, stop, max_obj, ids)
+        return found.selectExpr("tree_id", "obj", f"obj / {self.n_rows} AS obj_norm")
 
     def tree_objective(self, tree_id: int) -> tuple[int, float]:
         row = self.tree_objectives(tree_id, tree_id + 1).first() if tree_id >= 0 else None
@@ -237,14 +239,16 @@ class RashomonModel:
             raise IndexError(f"tree {tree_id} is not in the set")
         return row["obj"], row["obj_norm"]
 
-    def tree_leaves(self, start: int = 0, stop: int | None = None, max_obj: int | None = None) -> DataFrame:
-        """``(tree_id, leaf_no, path, itemset, prediction, loss)`` of a rank range.
+    def tree_leaves(
+        self, start: int = 0, stop: int | None = None, max_obj: int | None = None, ids: Sequence[int] | None = None
+    ) -> DataFrame:
+        """``(tree_id, leaf_no, path, itemset, prediction, loss)`` of a rank range or of listed ids.
 
         Paths are signed and 1-based: ``+f`` is feature ``f-1`` true.  Requests
         walk down level by level, all trees at once.
         """
-        requests = trees.first_requests(trees.ranks(self.ranges(), start, stop, max_obj))
-        everything = start <= 0 and stop is None and max_obj is None
+        requests = trees.first_requests(trees.ranks(self.ranges(), start, stop, max_obj, ids))
+        everything = start <= 0 and stop is None and max_obj is None and ids is None
         for size in range(self.set.deepest + 1):
             leaves, splits = self.set.leaves(size), self.set.splits.get(size)
             if not everything and size > 0:
@@ -264,17 +268,23 @@ class RashomonModel:
         return cut(self.tree_leaves(), "leaves")
 
 
-    def tree_paths(self, start: int = 0, stop: int | None = None, max_obj: int | None = None) -> DataFrame:
+    def tree_paths(
+        self, start: int = 0, stop: int | None = None, max_obj: int | None = None, ids: Sequence[int] | None = None
+    ) -> DataFrame:
         """``(tree_id, leaf_no, path, path_text, prediction)``."""
-        leaves = self.tree_leaves(start, stop, max_obj)
+        leaves = self.tree_leaves(start, stop, max_obj, ids)
         return leaves.selectExpr("tree_id", "leaf_no", "path", f"{trees.path_text('path')} AS path_text", "prediction")
 
     def tree_nodes(
-        self, start: int = 0, stop: int | None = None, feature_names: Sequence[str] | None = None
+        self,
+        start: int = 0,
+        stop: int | None = None,
+        feature_names: Sequence[str] | None = None,
+        ids: Sequence[int] | None = None,
     ) -> DataFrame:
         """Explicit nodes ``(tree_id, prefix, depth, feature, prediction, leaves, name)``."""
         names = self.features if feature_names is None else feature_names
-        return trees.tree_nodes(self.tree_leaves(start, stop), names)
+        return trees.tree_nodes(self.tree_leaves(start, stop, ids=ids), names)
 
     # -- predictions ----------------------------------------------------------
 
@@ -293,7 +303,11 @@ class RashomonModel:
         leaves = self.tree_leaves(tree_id, tree_id + 1).orderBy("leaf_no").collect()
         if not leaves:
             raise IndexError(f"tree {tree_id} is not in the set")
-        return df.selectExpr("*", f"{predict.case_expression(df, self.features, leaves)} AS `{output}`")
+        return df.selectExpr("*", f"{predict.tree_expression(df, self.features, leaves)} AS {quoted(output)}")
+
+    def rows_with_id(self, df: DataFrame, row_id: str) -> DataFrame:
+        """Packed rows with their id under a name that no result column has."""
+        return packed_rows(df, self.features, keep=[row_id]).withColumnRenamed(row_id, "_gl_id")
 
     def coverage(self, rows: DataFrame, itemsets: DataFrame) -> DataFrame:
         """``(words, itemset)`` for the distinct patterns of packed rows."""
@@ -310,8 +324,9 @@ class RashomonModel:
         max_obj: int | None = None,
         stack: bool = False,
         block_rows: int = 1 << 16,
+        ids: Sequence[int] | None = None,
     ) -> DataFrame:
-        """``(tree_id, obj, row_id, prediction)`` for every tree of a rank range.
+        """``(tree_id, obj, row_id, prediction)`` for every tree of a rank range or of listed ids.
 
         Trees come in rank order of ``tree_id``; ``max_obj`` keeps those up to an
         objective.  With ``stack`` rows are gathered into arrays per tree and block
@@ -319,29 +334,38 @@ class RashomonModel:
         """
         self.check_eval(df)
         n = len(self.features)
-        rows = packed_rows(df, self.features, keep=[row_id])
-        leaves = cut(self.tree_leaves(start, stop, max_obj), "leaves")
-        objs = trees.ranks(self.ranges(), start, stop, max_obj)
+        rows = self.rows_with_id(df, row_id)
+        leaves = cut(self.tree_leaves(start, stop, max_obj, ids), "leaves")
+        objs = trees.ranks(self.ranges(), start, stop, max_obj, ids)
         covered = cut(self.coverage(rows, leaves.select("itemset").distinct()), "coverage")
+        # trees meet patterns first; rows come last, so rows times trees is never shuffled
+        votes = cut(
+            sql(
+                f"""SELECT {", ".join(words(n))}, tree_id, obj, prediction
+                FROM {{covered}} JOIN (
+                    SELECT tree_id, obj, itemset, prediction
+                    FROM (SELECT tree_id, itemset, prediction FROM {{leaves}}) JOIN (SELECT tree_id, obj FROM {{objs}}) USING (tree_id))
+                USING (itemset)""",
+                covered=covered,
+                leaves=leaves,
+                objs=objs,
+            ),
+            "pattern_votes",
+        )
         out = sql(
-            f"""SELECT tree_id, obj, {row_id}, prediction
-            FROM {{rows}} JOIN {{covered}} USING ({", ".join(words(n))})
-            JOIN (SELECT tree_id, itemset, prediction FROM {{leaves}}) USING (itemset)
-            JOIN (SELECT tree_id, obj FROM {{objs}}) USING (tree_id)""",
+            f"""SELECT tree_id, obj, _gl_id, prediction FROM {{rows}} JOIN {{votes}} USING ({", ".join(words(n))})""",
             rows=rows,
-            covered=covered,
-            leaves=leaves,
-            objs=objs,
+            votes=votes,
         )
         if not stack:
-            return out
+            return out.withColumnRenamed("_gl_id", row_id)
         blocks = max(1, -(-df.count() // block_rows))
         return sql(
-            f"""SELECT tree_id, obj, block, transform(cells, c -> c.{row_id}) row_ids,
+            f"""SELECT tree_id, obj, block, transform(cells, c -> c._gl_id) row_ids,
                 transform(cells, c -> c.prediction) predictions
             FROM (
-                SELECT tree_id, obj, pmod(xxhash64({row_id}), {blocks}) block,
-                    array_sort(collect_list(struct({row_id}, prediction))) cells
+                SELECT tree_id, obj, pmod(xxhash64(_gl_id), {blocks}) block,
+                    array_sort(collect_list(struct(_gl_id, prediction))) cells
                 FROM {{out}} GROUP BY tree_id, obj, block)""",
             out=out,
         )
@@ -369,30 +393,34 @@ class RashomonModel:
     def majority_vote(self, df: DataFrame, row_id: str, max_obj: int | None = None) -> DataFrame:
         """``(row_id, share, prediction)``: share of trees voting 1; a tie is 1.
 
+        The prediction compares whole numbers of votes; only the share is rounded.
+
         Votes are summed per pattern over leaf usage, so the cost does not depend
         on the number of trees.
         """
         self.check_eval(df)
         n = len(self.features)
         key = ", ".join(words(n))
-        rows = packed_rows(df, self.features, keep=[row_id])
+        rows = self.rows_with_id(df, row_id)
         usage = cut(self.leaf_usage(max_obj), "usage")
         covered = self.coverage(rows, usage.select("itemset").distinct())
         share = cut(
             sql(
-                f"""SELECT {key}, sum(if(prediction = 1, cnt, 0)) / sum(cnt) share
-                FROM {{covered}} JOIN {{usage}} USING (itemset) GROUP BY {key}""",
+                f"""SELECT {key}, ones, total FROM (
+                    SELECT {key}, cast(sum(if(prediction = 1, cnt, 0)) AS {COUNT}) ones, cast(sum(cnt) AS {COUNT}) total
+                    FROM {{covered}} JOIN {{usage}} USING (itemset) GROUP BY {key})""",
                 covered=covered,
                 usage=usage,
             ),
             "share",
         )
         return sql(
-            f"""SELECT {row_id}, cast(share AS double) share, cast(share >= 0.5 AS int) prediction
+            f"""SELECT _gl_id, cast(ones AS double) / cast(total AS double) share,
+                cast(ones >= total - ones AS int) prediction
             FROM {{rows}} JOIN {{share}} USING ({key})""",
             rows=rows,
             share=share,
-        )
+        ).withColumnRenamed("_gl_id", row_id)
 
     def correct_counts(self, df: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
         """``(tree_id, correct, total)`` on any labelled data; counted per leaf
@@ -423,11 +451,13 @@ class RashomonModel:
         """Lookahead-1 estimate of the whole problem at a given depth."""
         return self.levels_at(depth)[0].estimates.selectExpr("v1 AS obj")
 
-    def frontier_scores(self, depth: int, start: int = 0, stop: int | None = None) -> DataFrame:
+    def frontier_scores(
+        self, depth: int, start: int = 0, stop: int | None = None, ids: Sequence[int] | None = None
+    ) -> DataFrame:
         """``(tree_id, node_no, depth, score)`` for the internal nodes of trees."""
         parts = [level.estimates.select("itemset", "v1") for level in self.levels_at(depth).values()]
         estimates = reduce(DataFrame.unionByName, parts)
-        return frontier.frontier_scores(trees.tree_nodes(self.tree_leaves(start, stop)), estimates, depth)
+        return frontier.frontier_scores(trees.tree_nodes(self.tree_leaves(start, stop, ids=ids)), estimates, depth)
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, **options) -> RashomonModel:

@@ -19,6 +19,8 @@ def work_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must be a folder that all executors share, not a local one")
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.columns import quoted
+
 
 def read_binary_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header; the last column is the label.
@@ -47,9 +49,18 @@ def check_columns(df: DataFrame, features: Sequence[str], label: str | None = No
 
 def truth(df: DataFrame, name: str) -> str:
     """Any nonzero value is true; NULL is not a value a binary table may hold."""
+    return f"coalesce({bit(df, name)}, cast(raise_error({null_message(name)}) AS int))"
+
+
+def bit(df: DataFrame, name: str) -> str:
+    """0 or 1; NULL stays NULL."""
     is_bool = isinstance(df.schema[name].dataType, T.BooleanType)
-    bit = f"cast(`{name}` AS int)" if is_bool else f"cast(`{name}` <> 0 AS int)"
-    return f"coalesce({bit}, cast(raise_error('NULL in column {name}') AS int))"
+    return f"cast({quoted(name)} AS int)" if is_bool else f"cast({quoted(name)} <> 0 AS int)"
+
+
+def null_message(name: str) -> str:
+    text = f"NULL in column {name}".replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
 
 
 def binary_table(
@@ -58,4 +69,4 @@ def binary_table(
     """Project to 0/1 INT features (and label); other columns only if kept."""
     check_columns(df, features, label)
     columns = [*features, *([label] if label is not None else [])]
-    return df.selectExpr(*(f"`{c}`" for c in keep), *(f"{truth(df, c)} AS `{c}`" for c in columns))
+    return df.selectExpr(*map(quoted, keep), *(f"{truth(df, c)} AS {quoted(c)}" for c in columns))
