@@ -336,12 +336,6 @@ CONTINGENCY = f"""
         SELECT {items("f v")}, g, sum(CASE w WHEN 1 THEN n ELSE 0 END), sum(CASE w WHEN 1 THEN p ELSE 0 END),
             sum(CASE w WHEN 0 THEN n ELSE 0 END), sum(CASE w WHEN 0 THEN p ELSE 0 END) FROM s2 GROUP BY f, v, g)"""
 
-# both sides keep what the other side's exact optimum leaves over
-BUDGETS = f"""{ORD}, {exact(2)},
-    bd AS (SELECT cast(round(c * (1 + 0.15::double)) AS bigint) bound FROM x2root),
-    kept AS (SELECT a.f feature, bound - z.c left_budget, bound - a.c right_budget
-        FROM x1 a JOIN x1 z ON a.f = z.f AND a.v = 1 AND z.v = 0, bd WHERE a.c + z.c <= bound)"""
-
 NODES = """,
     nodes AS (
         SELECT b, '' itemset, bound budget, n, p, 0 size FROM bd JOIN s0 USING (b)
@@ -351,7 +345,25 @@ NODES = """,
     own=items("a.f a.v")
 )
 
-ADMITTED_SPLITS = f"""{ORD}, {exact(2)}, bd AS (SELECT b, cast(round(c * (1 + 0.15::double)) AS bigint) bound FROM x2root){NODES}
+BOUNDED = f"{ORD}, {exact(2)}, bd AS (SELECT b, cast(round(c * (1 + 0.15::double)) AS bigint) bound FROM x2root){NODES}"
+
+# both sides keep what the other side's exact optimum leaves over
+BUDGETS = f"""{BOUNDED}
+    SELECT itemset, budget, a.f feature, budget - z.c left_budget, budget - a.c right_budget
+    FROM nodes JOIN x1 a ON a.v = 1 JOIN x1 z ON z.f = a.f AND z.v = 0 WHERE size = 0 AND a.c + z.c <= budget
+    UNION ALL
+    SELECT itemset, budget, a.g, budget - z.c, budget - a.c FROM nodes JOIN l2 a ON a.w = 1 AND itemset = {items("a.f a.v")}
+    JOIN l2 z ON z.f = a.f AND z.v = a.v AND z.g = a.g AND z.w = 0 WHERE size = 1 AND a.c + z.c <= budget"""
+
+# nodes of two literals too: each side of a split of a one-literal node
+DEEP = f"""{BOUNDED},
+    deep AS (SELECT itemset, budget, n, p FROM nodes UNION
+        SELECT {items("a.f a.v", "a.g a.w")}, budget - o.c, s2.n, s2.p
+        FROM nodes JOIN l2 a ON itemset = {items("a.f a.v")}
+        JOIN l2 o ON o.f = a.f AND o.v = a.v AND o.g = a.g AND o.w = 1 - a.w
+        JOIN s2 ON s2.f = a.f AND s2.v = a.v AND s2.g = a.g AND s2.w = a.w WHERE size = 1 AND a.c + o.c <= budget)"""
+
+ADMITTED_SPLITS = f"""{BOUNDED}
     SELECT itemset, budget, a.f feature FROM nodes JOIN x1 a ON a.v = 1 JOIN x1 z ON z.f = a.f AND z.v = 0
     WHERE size = 0 AND a.c + z.c <= budget
     UNION ALL
@@ -438,13 +450,13 @@ ORACLES: dict[str, str] = {
     "rashomon_bound": f"""{ORD}, {exact(2)} SELECT slack, c reference,
         cast(round(c * (1 + 0.15::double) * (1 + slack)) AS bigint) bound
         FROM x2root, (SELECT unnest([0.0::double, 0.1::double]) slack)""",
-    "admitted_leaves": f"""{ORD}, {exact(2)}, bd AS (SELECT b, cast(round(c * (1 + 0.15::double)) AS bigint) bound FROM x2root){NODES}
+    "admitted_leaves": f"""{DEEP}
         SELECT itemset, budget, prediction, loss FROM (
             SELECT itemset, budget, l prediction, k + CASE l WHEN 0 THEN p ELSE n - p END loss
-            FROM nodes, (SELECT unnest([0, 1]) l), lam) WHERE loss <= budget""",
+            FROM deep, (SELECT unnest([0, 1]) l), lam) WHERE loss <= budget""",
     "admitted_splits": ADMITTED_SPLITS,
-    "budgets_singlepass": f"{BUDGETS} SELECT * FROM kept",
-    "budgets_multipass": f"{BUDGETS} SELECT * FROM kept",
+    "budgets_singlepass": BUDGETS,
+    "budgets_multipass": BUDGETS,
     "rule_list_histogram": RULE_LIST,
     "majority_leaf_histogram": small_set(majority=True) + HISTOGRAM,
     "root_histogram": SMALL + HISTOGRAM,
@@ -456,7 +468,11 @@ ORACLES: dict[str, str] = {
     "count_trees": f"{SMALL} SELECT count(*) cnt FROM tree",
     "count_leq": f"{SMALL} SELECT count(*) cnt FROM tree, s0 WHERE obj <= n // 5",
     "min_objective": f"{SMALL} SELECT min(obj) obj FROM tree",
-    "trees_per_split": f"{SMALL} SELECT f feature, count(*) cnt FROM tree WHERE f >= 0 GROUP BY f",
+    "trees_per_split": f"""{SMALL}{NODES}
+        SELECT '' itemset, bound budget, f feature, count(*) cnt FROM tree JOIN bd USING (b) WHERE f >= 0 GROUP BY ALL
+        UNION ALL
+        SELECT itemset, budget, o.g, count(*) FROM nodes JOIN opt1 o ON itemset = {items("o.f o.v")}
+        WHERE size = 1 AND o.g >= 0 AND o.obj <= budget GROUP BY ALL""",
     "tree_objectives": f"{SMALL} SELECT tree_id, obj, round(obj / n, 9) obj_norm FROM tree, s0",
     "tree_leaves": f"{SMALL_LEAVES} SELECT tree_id, leaf_no, itemset, prediction, loss FROM tleaf",
     "tree_paths": f"{SMALL_LEAVES} SELECT tree_id, leaf_no, path, prediction FROM tleaf",
@@ -473,6 +489,12 @@ ORACLES: dict[str, str] = {
         FROM predicted JOIN tree USING (tree_id), lam WHERE obj <= (SELECT min(obj) FROM tree) + k""",
     "majority_vote": f"""{SMALL_LEAVES}{COVER} SELECT row_id, round(avg(prediction), 9) share,
         CAST(avg(prediction) >= 0.5 AS INT) prediction FROM predicted GROUP BY row_id""",
+    "majority_vote_divided": f"""{small_set(mult=0.7)}{LEAVES}{COVER},
+        used AS (SELECT itemset, prediction, count(*) cnt FROM tleaf GROUP BY ALL),
+        votes AS (SELECT row_id, coalesce(sum(cnt) FILTER (prediction = 1), 0) ones, sum(cnt) total
+            FROM cover JOIN used USING (itemset) GROUP BY row_id)
+        SELECT row_id, round(ones::double / total::double, 9) share, CAST(ones >= total - ones AS INT) prediction FROM votes""",
+    "tree_paths_by_id": f"{SMALL_LEAVES} SELECT tree_id, leaf_no, path, prediction FROM tleaf WHERE tree_id IN (0, 3, 17, 40)",
     "leaf_usage": f"{SMALL_LEAVES} SELECT itemset, prediction, count(*) cnt FROM tleaf GROUP BY ALL",
     "correct_counts": f"""{SMALL_LEAVES}{COVER} SELECT tree_id, count(*) FILTER (prediction = y) correct, count(*) total
         FROM predicted JOIN (SELECT row_id, y FROM ({DUCK["ord_score"]}) v) USING (row_id) GROUP BY tree_id""",
@@ -508,6 +530,7 @@ INTEGERS = {
     "frontier_scores": "depth",
     "root_lookahead": "depth",
     "majority_vote": "prediction",
+    "majority_vote_divided": "prediction",
     "bootstrap_weights": _F9,
     "block_permutation": _F9,
 }

@@ -221,7 +221,7 @@ def rashomon_bound(spark, sf_dir):
 
 def admitted_leaves(spark, sf_dir):
     found = small(spark, sf_dir).set
-    return union(found.leaves(size) for size in range(2)).selectExpr(KEY, "budget", "prediction", "loss")
+    return union(found.leaves(size) for size in range(found.deepest + 1)).selectExpr(KEY, "budget", "prediction", "loss")
 
 
 def admitted_splits(spark, sf_dir):
@@ -230,7 +230,7 @@ def admitted_splits(spark, sf_dir):
 
 
 def _budgets(found):
-    return found.splits[0].selectExpr("feature", "left_budget", "right_budget")
+    return union(found.splits.values()).selectExpr(KEY, "budget", "feature", "left_budget", "right_budget")
 
 
 def budgets_singlepass(spark, sf_dir):
@@ -301,9 +301,7 @@ def min_objective(spark, sf_dir):
 
 
 def trees_per_split(spark, sf_dir):
-    """Splits of the whole problem."""
-    counted_splits = small(spark, sf_dir).trees_per_split()
-    return counted_splits.where("size(itemset) = 0").selectExpr("feature", "cast(cnt AS bigint) cnt")
+    return small(spark, sf_dir).trees_per_split().selectExpr(KEY, "budget", "feature", "cast(cnt AS bigint) cnt")
 
 
 # -- trees ----------------------------------------------------------------------
@@ -368,6 +366,20 @@ def majority_vote(spark, sf_dir):
     return voted.selectExpr("row_id", "round(share, 9) AS share", "prediction")
 
 
+def majority_vote_divided(spark, sf_dir):
+    """A wider set, whose trees disagree on most rows."""
+    rows = views.load(spark, sf_dir, "ord_score")
+    voted = small(spark, sf_dir, rashomon_mult=0.7).majority_vote(rows, "row_id")
+    return voted.selectExpr("row_id", "round(share, 9) AS share", "prediction")
+
+
+def tree_paths_by_id(spark, sf_dir):
+    """Scattered trees, asked for in one job."""
+    return small(spark, sf_dir).tree_paths(ids=[0, 3, 17, 40]).selectExpr(
+        "tree_id", "leaf_no", "array_join(path, ',') AS path", "prediction"
+    )
+
+
 def leaf_usage(spark, sf_dir):
     return small(spark, sf_dir).leaf_usage().selectExpr(KEY, "prediction", "cast(cnt AS bigint) cnt")
 
@@ -465,6 +477,8 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         predict_all,
         predict_up_to_objective,
         majority_vote,
+        majority_vote_divided,
+        tree_paths_by_id,
         leaf_usage,
         correct_counts,
         bootstrap_weights,
