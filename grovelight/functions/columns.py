@@ -89,6 +89,29 @@ def leaf_options(n: str, p: str, budget: str, lam_n: int, majority_only: bool) -
     return f"filter({options}, x -> x.loss <= {budget})"
 
 
+# Stretches of values that a running sum is taken over in two steps.
+STRETCHES = 1024
+
+
+def running_sum(table: str, group: str, order: str, value: str, before_only: bool, kept: str) -> str:
+    """Query text: ``kept`` columns of ``{table}`` and ``running``, the sum of ``value`` by
+    ascending whole number ``order`` in each ``group``, without the row itself if ``before_only``.
+
+    Sums of equal stretches of ``order`` come first, then running sums inside each,
+    so no window holds a whole group.
+    """
+    own = "1 PRECEDING" if before_only else "CURRENT ROW"
+    return f"""WITH span AS (
+            SELECT {group}, min({order}) low, (max({order}) - min({order})) div {STRETCHES} + 1 width FROM {table} GROUP BY {group}),
+        placed AS (SELECT *, ({order} - low) div width stretch FROM {table} JOIN span USING ({group})),
+        earlier AS (SELECT {group}, stretch, sum(part) OVER (
+                PARTITION BY {group} ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) before
+            FROM (SELECT {group}, stretch, sum({value}) part FROM placed GROUP BY {group}, stretch))
+        SELECT {kept}, coalesce(before, 0) + coalesce(sum({value}) OVER (
+                PARTITION BY {group}, stretch ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND {own}), 0) running
+        FROM placed JOIN earlier USING ({group}, stretch)"""
+
+
 # Hash draws have 60 bits: 15 hex digits fit a BIGINT and reach any row count.
 DRAW_DIGITS = 15
 DRAW_BITS = 4 * DRAW_DIGITS

@@ -13,19 +13,42 @@ from pyspark.sql import DataFrame
 from ..functions.columns import COUNT, names, sql
 
 
+# Stretches of left objectives into which the pairs of one split are dealt.
+STRETCHES = 32
+
+
 def pair_children(keys: Sequence[str] = (), measures: Sequence[str] = ()) -> str:
     """Query text over ``{splits}`` and ``{hist}``: all affordable combinations of
-    a left and a right objective per split."""
+    a left and a right objective per split.
+
+    Each side is cut first by what the other side costs at least.  The pairs of a
+    split are then dealt by stretches of the left objective, and a right objective
+    goes to those stretches it can be paid with, so no key holds all pairs of a
+    split, however long its histograms are.
+    """
+    split = names(keys, "itemset", "budget", "feature")
+    children = names((), "left_itemset", "left_budget", "right_itemset", "right_budget")
+
+    def least(s: str) -> str:
+        node = names(keys, f"itemset AS {s}_itemset", f"budget AS {s}_budget")
+        return f"""(SELECT {node}, min(obj) least_{s[0]} FROM {{hist}} GROUP BY {names(keys, "itemset", "budget")})"""
 
     def side(s: str) -> str:
         carried = [f"obj AS obj_{s[0]}", f"cnt AS cnt_{s[0]}", *(f"{m} AS {m}_{s[0]}" for m in measures)]
-        return f"(SELECT {names(keys, f'itemset AS {s}_itemset', f'budget AS {s}_budget', *carried)} FROM {{hist}})"
+        node = names(keys, f"itemset AS {s}_itemset", f"budget AS {s}_budget", *carried)
+        return f"(SELECT {node} FROM {{hist}}) USING ({names(keys, f'{s}_itemset', f'{s}_budget')})"
 
-    carried = names(keys, "left_itemset", "left_budget", "right_itemset", "right_budget")
-    return f"""SELECT * FROM (SELECT itemset, budget, feature, {carried} FROM {{splits}})
-        JOIN {side("left")} USING ({names(keys, "left_itemset", "left_budget")})
-        JOIN {side("right")} USING ({names(keys, "right_itemset", "right_budget")})
-        WHERE obj_l + obj_r <= budget"""
+    open_splits = f"""(SELECT *, (budget - least_r - least_l) div {STRETCHES} + 1 width
+        FROM (SELECT {split}, {children} FROM {{splits}})
+        JOIN {least("left")} USING ({names(keys, "left_itemset", "left_budget")})
+        JOIN {least("right")} USING ({names(keys, "right_itemset", "right_budget")})
+        WHERE least_l + least_r <= budget)"""
+    left = f"""SELECT {split}, {children}, obj_l, cnt_l, {names([f"{m}_l" for m in measures], "(obj_l - least_l) div width stretch")}
+        FROM {open_splits} JOIN {side("left")} WHERE obj_l + least_r <= budget"""
+    right = f"""SELECT {split}, obj_r, cnt_r, {names([f"{m}_r" for m in measures],
+        "explode(sequence(0L, (budget - obj_r - least_l) div width)) stretch")}
+        FROM {open_splits} JOIN {side("right")} WHERE obj_r + least_l <= budget"""
+    return f"SELECT * FROM ({left}) JOIN ({right}) USING ({split}, stretch) WHERE obj_l + obj_r <= budget"
 
 
 def fold_level(

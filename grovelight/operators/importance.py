@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.columns import sql
+from ..functions.columns import running_sum, sql
 
 
 def leaf_losses(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -78,12 +78,6 @@ def mean_reliance(mass: DataFrame, n_rows: int, variables: int) -> DataFrame:
 
 
 def reliance_cdf(mass: DataFrame, n_rows: int) -> DataFrame:
-    """``(var, x, p)``: running mass by ascending ``x = delta / N``.
-
-    The window per variable holds distinct deltas.
-    """
-    return sql(
-        f"""SELECT var, delta / {n_rows} x, sum(mass) OVER (
-            PARTITION BY var ORDER BY delta ROWS UNBOUNDED PRECEDING) p FROM {{mass}}""",
-        mass=mass,
-    )
+    """``(var, x, p)``: running mass by ascending ``x = delta / N``."""
+    summed = running_sum("{mass}", "var", "delta", "mass", False, "var, delta")
+    return sql(summed, mass=mass).selectExpr("var", f"delta / {n_rows} AS x", "running AS p")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.columns import COUNT, NO_LITERALS, child_itemset, sql
+from ..functions.columns import COUNT, NO_LITERALS, child_itemset, running_sum, sql
 from .histogram import pair_children
 
 CHUNK = 1 << 16
@@ -20,15 +20,10 @@ CHUNK = 1 << 16
 def objective_ranges(root_hist: DataFrame) -> DataFrame:
     """Rank range ``[first, first + cnt)`` per objective of the whole set.
 
-    The window runs over distinct objectives, of which there are at most as many
-    as the bound has integers, not over trees.
+    Sums run over distinct objectives, not over trees.
     """
-    return sql(
-        f"""SELECT budget, obj, cnt, cast(coalesce(sum(cnt) OVER (
-                PARTITION BY budget ORDER BY obj ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {COUNT}) first
-        FROM {{hist}}""",
-        hist=root_hist,
-    )
+    summed = running_sum("{hist}", "budget", "obj", "cnt", True, "budget, obj, cnt")
+    return sql(summed, hist=root_hist).selectExpr("budget", "obj", "cnt", f"cast(running AS {COUNT}) AS first")
 
 
 def ranks(

@@ -44,7 +44,7 @@ def test_random_bits_with_parity_label(spark):
     rng = np.random.default_rng(123)
     x = rng.integers(0, 2, (1000, 15))
     df, names = frame(spark, x.tolist(), (x[:, :3].sum(axis=1) % 2).tolist())
-    model = fit(df, names, "y", lambda_reg=0.01, depth_budget=3, rashomon_mult=0.1)
+    model = fit(df, names, "y", lambda_reg=0.01, depth_budget=3, rashomon_mult=0.5)
     found = histogram(model)
     assert found[0][0] == 80  # eight pure leaves, ten rows each
     total = int(model.count_trees().first()["cnt"])
@@ -57,6 +57,40 @@ def test_random_bits_with_parity_label(spark):
         assert objs[r["tree_id"]] == 10 * leaves[r["tree_id"]] + 1000 - r["correct"]
 
 
+def check_example(spark, x, y, expected):
+    """Depth 5, lambda 0.01, multiplier 0.05, lookahead 1, as the examples have it."""
+    df, names = frame(spark, x.tolist(), y.tolist())
+    model = fit(df, names, "y", lambda_reg=0.01, depth_budget=5, rashomon_mult=0.05)
+    found = histogram(model)
+    total = sum(c for _, c in found)
+    assert found[0][0] == expected and [o for o, _ in found] == sorted({o for o, _ in found})
+    assert int(model.count_trees().first()["cnt"]) == total
+    penalty = round(0.01 * len(y))
+    leaves = {r["tree_id"]: r["count"] for r in model.all_leaves.groupBy("tree_id").count().collect()}
+    objs = [r["obj"] for r in model.tree_objectives().orderBy("tree_id").collect()]
+    assert len(objs) == total
+    for r in model.correct_counts(df).collect():
+        assert objs[r["tree_id"]] == penalty * leaves[r["tree_id"]] + len(y) - r["correct"]
+
+
+def test_example_of_ten_thousand_rows(spark):
+    x = np.random.default_rng(0).integers(0, 2, (10_000, 10))
+    check_example(spark, x, x[:, :3].sum(axis=1) % 2, 8 * 100)  # eight pure leaves
+
+
+def test_example_with_noisy_twins(spark):
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2, (1000, 10))
+    twins = x[:, :4] ^ (rng.random((1000, 4)) < 0.01)
+    x = np.hstack([x, twins, (x[:, :1] == x[:, 1:2]).astype(int)])
+    # parity of four through the XNOR of two: a pure tree needs at most sixteen leaves
+    df, names = frame(spark, x.tolist(), (x[:, :4].sum(axis=1) % 2).tolist())
+    model = fit(df, names, "y", lambda_reg=0.01, depth_budget=5, rashomon_mult=0.05)
+    least = model.min_objective().first()["obj"]
+    assert 0 < least <= 160
+    assert {r["obj"] for r in model.tree_objectives().collect()} == {o for o, _ in histogram(model)}
+
+
 def test_empty_set_and_bad_ranks(parity5):
     df, names = parity5
     model = fit(df, names, "y", lambda_reg=0.05, depth_budget=2, root_budget=3)
