@@ -91,6 +91,21 @@ def test_example_with_noisy_twins(spark):
     assert {r["obj"] for r in model.tree_objectives().collect()} == {o for o, _ in histogram(model)}
 
 
+def test_a_set_of_billions_is_counted(parity5):
+    """With a budget that every tree keeps to, the number of trees has a closed form."""
+    df, names = parity5
+    trees = 2
+    for features in range(2, 6):  # depth 1 of two features left, ..., depth 4 of five
+        trees = 2 + features * trees**2
+    model = fit(df, names, "y", lambda_reg=0.05, depth_budget=4, root_budget=200)
+    assert trees > 10**11 and int(model.count_trees().first()["cnt"]) == trees
+    first = model.tree_objectives(0, 3).orderBy("tree_id").collect()
+    assert [r["tree_id"] for r in first] == [0, 1, 2]
+    last = model.tree_objectives(ids=[trees - 1, trees]).collect()
+    assert [r["tree_id"] for r in last] == [trees - 1]
+    assert last[0]["obj"] == max(o for o, _ in histogram(model))
+
+
 def test_empty_set_and_bad_ranks(parity5):
     df, names = parity5
     model = fit(df, names, "y", lambda_reg=0.05, depth_budget=2, root_budget=3)
