@@ -3,13 +3,16 @@
 The tokenizer first cuts a text into pretokens (a word with the space before it, a run of
 digits, of signs, of white space, an English contraction) and then encodes each by itself.
 Here the cuts of a chunk are found at once from the classes of its characters; each
-distinct pretoken is encoded once by the ``tokenizers`` library and the ids are put back in
-place.  Texts that hold one of the vocabulary's special strings are given to the library
-whole.
+distinct pretoken is encoded once and the ids are put back in place.  Where a vocabulary
+numbers its tokens in the order of its merges, as byte-level BPE does, ``tiktoken``
+encodes the pretokens, several times faster than ``tokenizers`` and to the same ids;
+others go to ``tokenizers``.  Texts that hold one of the vocabulary's special strings are
+given to that library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
@@ -23,7 +26,7 @@ _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 #: What follows an apostrophe in the pretokens of byte-level BPE, in the order they are tried.
 _CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: Pretokens whose ids a worker keeps.
-KEPT = 200_000
+KEPT = 400_000
 
 _classes: list[np.ndarray] = []
 
@@ -75,6 +78,26 @@ def starts_of(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     return start
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters by which byte-level BPE writes bytes: printable ones themselves, others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def merge_ranks(tokenizer) -> dict[bytes, int] | None:
+    """Bytes of each token with its id, if ids follow the order of the merges."""
+    model = json.loads(tokenizer.to_str())["model"]
+    vocabulary, letters = model["vocab"], byte_letters()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if model.get("type") != "BPE" or any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+        return None
+    if any(c not in letters or vocabulary.get(c, 256) >= 256 for c in letters):
+        return None
+    made = [*letters, *(a + b for a, b in pairs)]
+    return {bytes(letters[c] for c in token): vocabulary[token] for token in made}
+
+
 class Encoder:
     """Encodes chunks of texts; one per worker process."""
 
@@ -84,6 +107,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = merge_ranks(self.tokenizer)
+        self.pieces = None
+        if ranks is not None:
+            import tiktoken
+
+            self.pieces = tiktoken.Encoding("pretokens", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[int, int] = {}
         self.lens = np.zeros(0, dtype=np.int32)
         self.begin = np.zeros(0, dtype=np.int64)
@@ -93,7 +122,10 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.pieces is not None:
+            ids = [self.pieces.encode_ordinary(t) for t in texts]
+        else:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.array([len(i) for i in ids], dtype=np.int32)
         base = len(self.pool)
         self.begin = np.concatenate([self.begin, base + np.cumsum(lens, dtype=np.int64) - lens])
