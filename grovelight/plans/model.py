@@ -108,6 +108,7 @@ class NearOptimalSet:
     levels: dict[int, Level]
     keys: tuple[str, ...] = ()
     splits: dict[int, DataFrame] = field(default_factory=dict)
+    frontiers: dict[int, DataFrame] = field(default_factory=dict)
 
     @property
     def deepest(self) -> int:
@@ -153,7 +154,12 @@ class NearOptimalSet:
         return self
 
     def frontier(self, size: int) -> DataFrame:
-        return self.roots() if size == 0 else trie.next_frontier(self.splits[size - 1], self.keys)
+        """Nodes of one level, written once."""
+        if size == 0:
+            return self.roots()
+        if size not in self.frontiers:
+            self.frontiers[size] = cut(trie.next_frontier(self.splits[size - 1], self.keys), f"frontier{size}")
+        return self.frontiers[size]
 
     def leaves(self, size: int) -> DataFrame:
         return trie.admitted_leaves(
