@@ -82,6 +82,46 @@ def test_line_dedup_query_leaves_unrepeated_text_alone(spark):
         assert all(first[x.strip()] != d for x in gone) and (n > 0) == (text != texts[d])
 
 
+def brute_blocks(docs, least):
+    """Lines of each document (lists of lines, by rising id) in a block of an earlier one."""
+    out = []
+    for k, mine in enumerate(docs):
+        gone = set()
+        for other in docs[:k]:
+            for i in range(len(mine)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(other) and mine[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in mine[i : i + n]) >= least:
+                        gone |= set(range(i, i + n))
+        out.append(gone)
+    return out
+
+
+def removed_lines(spark, docs, least):
+    df = spark.createDataFrame([(k, "\n".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    found = {r["doc_id"]: r["_llm_runs"] or [] for r in patience_lines.deduplicate(df, "doc_id", "text", least).collect()}
+    return [{x for a, b in zip(found[k][::2], found[k][1::2]) for x in range(a, b + 1)} for k in range(len(docs))]
+
+
+def test_no_line_goes_without_a_block_of_one_earlier_document(spark):
+    menu = [f"menu entry {k} of many here" for k in range(12)]  # 72 words
+    scattered = [x for k, line in enumerate(menu) for x in (line, f"between {k}")]
+    docs = [[menu[k], f"own {k}"] for k in range(12)] + [scattered, ["start here", *menu, "the end"], [*menu[:9], "a tail", *menu[9:]]]
+    assert sum(len(x.split()) for x in menu[:9]) >= 50
+    got = removed_lines(spark, docs, 50)
+    assert got[13] == set() and got[14] == set(range(9)) and got[:13] == [set()] * 13
+    rng = random.Random(6)
+    docs = []
+    for _ in range(70):
+        lines = [" ".join(f"t{rng.randrange(2)}" for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(1, 9))]
+        if lines not in docs:
+            docs.append(lines)
+    want = brute_blocks(docs, 5)
+    assert removed_lines(spark, docs, 5) == want and sum(map(len, want)) > 20
+
+
 # --- Jaccard join
 
 
