@@ -122,6 +122,14 @@ def test_no_line_goes_without_a_block_of_one_earlier_document(spark):
     assert removed_lines(spark, docs, 5) == want and sum(map(len, want)) > 20
 
 
+def test_blocks_of_any_earlier_document_are_found(spark):
+    p, q = passage(1), passage(2)
+    short = [" ".join(f"b{k}w{i}" for i in range(10)) for k in range(6)]
+    docs = [["a", p, q, "b"], ["c", q, "d"], ["e", q, "f", p, "g"]]  # swapped passages
+    docs += [["h", *(x for k in (4, 2, 0) for x in (short[k], f"i{k}"))], ["j", *short, "k"], ["l", *short, "m"]]  # lines borrowed from an earlier document
+    assert removed_lines(spark, docs, 50) == [set(), {1}, {1, 3}, set(), set(), set(range(1, 7))]
+
+
 # --- Jaccard join
 
 
