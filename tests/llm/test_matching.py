@@ -130,6 +130,12 @@ def test_blocks_of_any_earlier_document_are_found(spark):
     assert removed_lines(spark, docs, 50) == [set(), {1}, {1, 3}, set(), set(), set(range(1, 7))]
 
 
+def test_repeated_passages_are_found(spark):
+    p, q = passage(1), passage(2)
+    docs = [[p, q, p, q], [q, p], ["a", p, "b", p, "c"], [p, "d", p]]
+    assert removed_lines(spark, docs, 50) == [set(), {0, 1}, {1, 3}, {0, 2}]
+
+
 # --- Jaccard join
 
 
