@@ -3,11 +3,14 @@
 Documents are tokenized, ended by id 0, and cut into pieces of at most ``capacity``
 tokens.  Pieces of one length are alike, so the packing problem is the number of pieces
 of each length: a table of at most ``capacity`` rows, whatever the corpus.  On it the
-driver runs bin completion: around the largest piece left, the undominated fillings of
-the rest of its sequence are enumerated, the search goes depth-first through them and
-prunes where the waste so far cannot lead to fewer sequences than the incumbent.  The
-first incumbent is the best-fit solution.  A filling is used as often as its pieces
-allow at once, so the number of steps does not grow with the corpus either.
+driver runs bin completion.  The first incumbent is the best-fit solution: around the
+largest piece left the fullest filling there is, used as often as its pieces allow at once,
+so the number of steps does not grow with the corpus.  If it is above the lower bound, its
+emptiest sequence is emptied: with some others, loose and full ones, it makes a residual,
+which is searched depth-first for a packing in which those others are fuller than before
+and the emptiest keeps less.  Around the largest piece left all undominated fillings are
+tried, the fullest first, as long as the waste is less than it was.  Few sequences are
+searched as a whole, until nothing better is left.
 
 What comes out is a list of patterns.  Spark numbers the pieces of each length and a
 lookup in that list gives every piece its sequence and offset.
@@ -16,6 +19,8 @@ lookup in that list gives every piece its sequence and offset.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +34,11 @@ from .pretokens import encoder
 
 CAPACITY = 2048
 END = 0
-#: Nodes of the search, and fillings tried around one piece.
-NODES = 400
-BRANCHES = 4
-#: Partial fillings looked at around one piece.
-LOOKS = 3000
+#: Nodes of the search: fillings tried, also dominated ones.
+NODES = 40_000
+#: Nodes of one residual, and the most sequences in one.
+SHARE = 300
+RESIDUAL = 32
 #: Pieces of one length that are numbered in one group.
 GROUP_ROWS = 50_000
 
@@ -75,42 +80,43 @@ def pieces(docs: DataFrame, id_cols: list[str], text_col: str, path: str, capaci
     return picked.mapInArrow(run, ", ".join([*head, "piece int", "start long", "length long", "ids_crc32 long", *(["ids array<int>"] if with_ids else [])]))
 
 
-def fillings(left: np.ndarray, room: int, branches: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first and of those fewest pieces first.
+def fillings(left: np.ndarray, room: int, most: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill ``room`` with at most ``most`` of waste, least waste first; None for a dominated one.
 
     A filling is dominated if another piece still fits, or if one of its pieces can be
     changed for a larger one that is left and fits.
     """
     sizes = np.flatnonzero(left[: room + 1])[::-1].tolist()
-    if not sizes:
-        return [()]
-    smallest = sizes[-1]
-    best: dict[tuple[int, ...], int] = {}
-    looks = 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    used = lambda filling, s: filling.count(s)
-    while stack and looks < LOOKS:
-        at, rest, filling = stack.pop()
-        looks += 1
-        while at < len(sizes) and (sizes[at] > rest or used(filling, sizes[at]) >= left[sizes[at]]):
-            at += 1
-        if at == len(sizes):
-            if rest < smallest or all(left[s] <= used(filling, s) for s in sizes if s <= rest):
-                spare = any(left[y] > used(filling, y) for x in set(filling) for y in sizes if x < y <= x + rest)
-                if not spare:
-                    best[filling] = rest
-                    if rest == 0 and len(best) >= branches:
-                        break
-            continue
-        stack.append((at + 1, rest, filling))  # without this size from here on
-        stack.append((at, rest - sizes[at], (*filling, sizes[at])))
-    if not best:  # looks ran out: plain best fit
-        filling, rest = (), room
-        for s in sizes:
-            while s <= rest and used(filling, s) < left[s]:
-                filling, rest = (*filling, s), rest - s
-        best[filling] = rest
-    return sorted(best, key=lambda f: (best[f], len(f), f))[:branches]
+    have = [int(left[s]) for s in sizes]
+    full = (1 << (room + 1)) - 1
+    reach = [1] * (len(sizes) + 1)  # bit r of reach[i]: sizes from the i-th on have a sum of r
+    for i in range(len(sizes) - 1, -1, -1):
+        bits, copies, step = reach[i + 1], min(have[i], room // sizes[i]), 1
+        while copies:
+            step = min(step, copies)
+            bits |= bits << (step * sizes[i])
+            copies -= step
+            step *= 2
+        reach[i] = bits & full
+
+    def sums(at: int, rest: int) -> Iterator[tuple[int, ...]]:
+        if rest == 0:
+            yield ()
+            return
+        for i in range(bisect_left(sizes, -rest, at, key=int.__neg__), len(sizes)):
+            if not reach[i] >> rest & 1:
+                return
+            for n in range(min(have[i], rest // sizes[i]), 0, -1):
+                if reach[i + 1] >> (rest - n * sizes[i]) & 1:
+                    for more in sums(i + 1, rest - n * sizes[i]):
+                        yield (sizes[i],) * n + more
+
+    for waste in range(min(room, most) + 1):
+        if reach[0] >> (room - waste) & 1:
+            for filling in sums(0, room - waste):
+                unused = [s for s, n in zip(sizes, have, strict=True) if filling.count(s) < n] if waste else []
+                spare = any(y <= waste or any(x < y <= x + waste for x in set(filling)) for y in unused)
+                yield None if spare else filling
 
 
 def _times(left: np.ndarray, pattern: tuple[int, ...]) -> int:
@@ -119,12 +125,12 @@ def _times(left: np.ndarray, pattern: tuple[int, ...]) -> int:
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[Pattern]:
-    """The greedy solution: around each largest piece the first of its fillings."""
+    """The greedy solution: around each largest piece the fullest of its fillings."""
     left, out = left.copy(), []
     while left.any():
         top = int(np.flatnonzero(left)[-1])
         left[top] -= 1
-        pattern = (top, *fillings(left, capacity - top, 1)[0])
+        pattern = (top, *next(f for f in fillings(left, capacity - top, capacity) if f is not None))
         left[top] += 1
         n = _times(left, pattern)
         for s in pattern:
@@ -133,44 +139,98 @@ def best_fit(left: np.ndarray, capacity: int) -> list[Pattern]:
     return out
 
 
+def _bound(left: np.ndarray) -> int:
+    """Sequences needed for the sum of all pieces, and for those of more than half a sequence."""
+    capacity = len(left) - 1
+    return max(-(-int((left * np.arange(capacity + 1)).sum()) // capacity), int(left[capacity // 2 + 1 :].sum()))
+
+
+def search(left: np.ndarray, goal: int, slack: int, nodes: int) -> tuple[list[tuple[int, ...]] | None, int]:
+    """At most ``goal`` sequences that waste at most ``slack``, and one of what is left then; or None.
+
+    Also the nodes not used: some, if all was searched in vain.
+    """
+    capacity = len(left) - 1
+    half = capacity // 2 + 1
+
+    def opened(left: np.ndarray, slack: int) -> tuple[int, np.ndarray, int, Iterator[tuple[int, ...] | None]]:
+        top = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[top] -= 1
+        return top, rest, slack, fillings(rest, capacity - top, slack)
+
+    path: list[tuple[int, ...]] = []
+    stack = [opened(left, slack)] if slack >= 0 and goal > 0 else []
+    while stack and nodes > 0:
+        top, rest, slack, options = stack[-1]
+        try:
+            filling = next(options)
+        except StopIteration:
+            stack.pop()
+            path = path[:-1]
+            continue
+        nodes -= 1
+        if filling is None:
+            continue
+        after = rest.copy()
+        for s in filling:
+            after[s] -= 1
+        done = [*path, (top, *filling)]
+        if len(done) == goal or not after.any():
+            over = tuple(np.repeat(np.arange(capacity + 1), after)[::-1].tolist())
+            if sum(over) <= capacity:
+                return [*done, over] if over else done, nodes
+        elif int(after[half:].sum()) <= goal - len(done) + 1:
+            path = done
+            stack.append(opened(after, slack - (capacity - top - sum(filling))))
+    return None, nodes
+
+
 def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
     """Patterns (lengths, largest first, and how many sequences are filled so) for all pieces.
 
     Stops at the lower bound ``ceil(total / capacity)`` or a sharper one from pieces of
-    more than half a sequence, or after ``nodes`` nodes with the best solution so far.
+    more than half a sequence, when all of the search shows that there is nothing better, or
+    after ``nodes`` nodes with the best solution so far.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in counts.items():
         left[size] += n
-    total = int((left * np.arange(capacity + 1)).sum())
-    bound = max(-(-total // capacity), int(left[capacity // 2 + 1 :].sum()))
-    best = best_fit(left, capacity)
-    count = lambda patterns: sum(n for _, n in patterns)
-    least = count(best)
-    one_by_one = int(left.sum()) <= 100  # small problems are searched without merging equal steps
-    stack: list[tuple[np.ndarray, list[Pattern], int]] = [(left, [], 0)]
-    while stack and least > bound and nodes > 0:
-        left, done, used = stack.pop()
-        nodes -= 1
-        if not left.any():
-            if used < least:
-                best, least = done, used
+    return improve(best_fit(left, capacity), left, nodes)
+
+
+def improve(best: list[Pattern], left: np.ndarray, nodes: int) -> list[Pattern]:
+    """``best``, a packing of ``left``, with its emptiest sequences emptied into others."""
+    capacity = len(left) - 1
+    bound, total = _bound(left), int((left * np.arange(capacity + 1)).sum())
+    packed: Counter[tuple[int, ...]] = Counter()
+    for pattern, n in best:
+        packed[pattern] += n
+    rng, size = np.random.default_rng(7), 2
+    while (least := packed.total()) > bound and nodes > 0:
+        if least <= RESIDUAL:  # all at once
+            found, nodes = search(left, least - 1, (least - 1) * capacity - total, nodes)
+            if found is None:
+                break
+            packed = Counter(found)
             continue
-        rest = int((left * np.arange(capacity + 1)).sum())
-        if used + max(-(-rest // capacity), int(left[capacity // 2 + 1 :].sum())) >= least:
+        last = min(packed, key=lambda p: (p[0] > capacity // 2, sum(p), p))
+        others = [p for p in packed if p != last]
+        loose = [p for p in others if sum(p) < capacity]
+        some = [loose[k] for k in rng.permutation(len(loose))[: 1 + size // 2]]
+        residual = list(dict.fromkeys([*some, *(others[k] for k in rng.permutation(len(others))[:size])]))[:size]
+        taken = np.bincount([s for p in [*residual, last] for s in p], minlength=capacity + 1)
+        waste = sum(capacity - sum(p) for p in residual)
+        share = min(SHARE, nodes)
+        found, unused = search(taken, len(residual), waste - 1, share)
+        nodes -= max(share - unused, 1)
+        if found is None:
+            size = size * 2 if size < RESIDUAL else 2
             continue
-        top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        options = fillings(left, capacity - top)
-        left[top] += 1
-        for filling in reversed(options):
-            pattern = (top, *filling)
-            n = 1 if one_by_one else _times(left, pattern)
-            after = left.copy()
-            for s in pattern:
-                after[s] -= n
-            stack.append((after, [*done, (pattern, n)], used + n))
-    return best
+        packed.subtract([*residual, last])
+        packed.update(found)
+        packed = +packed
+    return sorted(packed.items(), reverse=True)
 
 
 def placements(patterns: list[Pattern], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -57,6 +57,19 @@ def test_small_packings_are_optimal(sizes):
     assert sum(n for _, n in patterns) == least_bins(sorted(sizes, reverse=True), 20)
 
 
+def test_search_improves_packings_of_many_lengths():
+    rng = np.random.default_rng(0)
+    for low, high, n, above in ((300, 1500, 6000, 5), (100, 1300, 3000, 0)):
+        sizes = rng.integers(low, high, n)
+        counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
+        patterns = bin_completion.pack(counts)
+        assert len(counts) > 1000 and sorted(s for p, k in patterns for s in p * k) == sorted(sizes.tolist())
+        assert all(sum(p) <= 2048 for p, _ in patterns)
+        bound = max(-(-int(sizes.sum()) // 2048), int((sizes > 1024).sum()))
+        assert sum(k for _, k in patterns) <= bound + above
+        rng.integers(500, 1900, 3000)  # numbers in between
+
+
 def test_documents_are_packed_whole(spark):
     out = queries.op10_packing(spark, SMALL).toPandas().sort_values(["doc_id", "piece"])
     plain = Tokenizer.from_file(PATH)
