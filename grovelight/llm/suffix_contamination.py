@@ -8,8 +8,9 @@ back to its root, so stretches of known words too short for any window are passe
 without a step.
 
 Items are taken in blocks of about ``BLOCK_WORDS`` words; each block's automaton is one
-step of the plan with its own broadcast, so what a worker holds is bounded whatever the
-size of the benchmark.  No step shuffles.
+step of the plan with its own broadcast and Python worker.  A worker holds one block, but
+the driver holds all items and automata, and an executor those of all blocks: the operator
+is for benchmarks of a few blocks.  No step shuffles.
 """
 
 from __future__ import annotations
