@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_completion, hd_language, kn_toxicity, patience_lines, routed_search, shard_shuffle, subword_quality, suffix_contamination, tile_join, url_trees
+from . import (
+    bin_completion,
+    feature_weights,
+    hd_language,
+    kn_toxicity,
+    patience_lines,
+    routed_search,
+    shard_shuffle,
+    subword_quality,
+    suffix_contamination,
+    suffix_tree_lm,
+    tile_join,
+    token_alignment,
+    url_trees,
+)
 from .frames import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +141,35 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_nearest"] = op9_nearest
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligned = token_alignment.align_corpus(table(spark, sf_dir, "documents"), ["doc_id"], "text", *paths)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES["op11_alignment"] = op11_alignment
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    drawn = feature_weights.resample(docs, "doc_id", "text", benchmark, "text", percent=5, least_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES["op12_resampling"] = op12_resampling
+
+
+def op13_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 10) == 0
+    model = suffix_tree_lm.train(docs.where(~held_out), "text")
+    scored = suffix_tree_lm.score(docs, ["doc_id"], "text", model)
+    tokens = F.lit(model.vocabulary.tokens).cast("long")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", tokens.alias("train_tokens"), "base_score", "score")
+
+
+QUERIES["op13_suffix_tree"] = op13_suffix_tree
