@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .frames import cut, small_batches
 from .kernels import LOWER, SPACED, chunks, span_hashes, word_spans
-from .tally import common, packed_counts
+from .tally import BUCKET_BYTES, HELD, bucketed, common, looked_up, packed_counts
 
 #: Added to each count of the state without context.
 ADDED = 0.1
@@ -56,7 +56,7 @@ SYMBOL_BITS = 20
 RARE, END, BEGIN, FIRST = 0, 1, 2, 3
 SYMBOLS = (1 << SYMBOL_BITS) - FIRST
 #: N-grams that are looked up in a broadcast table, at most.
-COMMON = 1 << 20
+COMMON = 1 << 16
 FILTER_BITS = 27
 #: A prime near 2^FILTER_BITS: an n-gram's place in the bitmap is its key modulo this.
 _PLACES = 134217689
@@ -277,6 +277,9 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
     """
     if clash := [c for c in id_cols if c in ("n_tokens", "n_known", "base_score", "score")]:
         raise ValueError(f"id columns {clash} have names of results")
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    buckets = 1 + size // BUCKET_BYTES
+    own = ["bucket", "n", "body", "row", "n_tokens", "known", "base", "extra"]
     often, seldom = common(model.values, COMMON, "n")
     table = often.select("key", "value").toArrow()
     order = np.argsort(table.column("key").to_numpy())
@@ -287,8 +290,21 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
         words, left, hot_keys, hot_values, bits = shared.value
         root = np.log(np.maximum(words.counts + ADDED, ADDED))
         unknown = math.log(ADDED)
-        row_number = TaskContext.get().partitionId() << 33
+        number, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            """What is held of questions, packed."""
+            key, row, times = (np.concatenate([h[k] for h in held]) for k in range(3))
+            first = int(row.min())
+            rows = list(bucketed(buckets, key, row - first, times))
+            out = [pa.nulls(len(rows), f.type) for f in given]
+            out += [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+            out += [pa.array([first] * len(rows), pa.int64()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(out, names=[*(f.name for f in given), *own])
+
+        given: list[pa.Field] = []
         for batch in batches:
+            given = list(batch.schema)[:-1]
             for lo, hi, data, offs in chunks(batch.column(batch.num_columns - 1)):
                 n_rows = hi - lo
                 seq, row, rare, rare_row = sequences(words, data, offs)
@@ -314,33 +330,30 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
                 first = np.ones(len(key), dtype=bool)
                 first[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
                 first = np.flatnonzero(first)
-                times = np.diff(np.append(first, len(key)))
-                spans = np.searchsorted(at[first], np.arange(n_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(spans), x) for x in (pa.array(key[first]), pa.array(times.astype(np.int32)))]
-                numbers = pa.array(row_number + np.arange(n_rows))
-                row_number += n_rows
-                kept = [c.slice(lo, n_rows) for c in batch.columns[:-1]]
-                more = {"_llm_row": numbers, "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "_llm_base": pa.array(base), "_llm_extra": pa.array(extra), "_llm_keys": lists[0], "_llm_times": lists[1]}
-                yield pa.RecordBatch.from_arrays([*kept, *more.values()], names=[*batch.schema.names[:-1], *more])
-
-    picked = small_batches(df).select(*id_cols, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_llm_text"))
+                if len(first):
+                    held.append((key[first], number + at[first], np.diff(np.append(first, len(key))).astype(np.int64)))
+                    size += len(first)
+                # a row itself asks nothing; its bucket is any
+                rows = number + np.arange(n_rows)
+                number += n_rows
+                zero = np.zeros(n_rows, dtype=np.int32)
+                out = [*(c.slice(lo, n_rows) for c in batch.columns[:-1]), pa.array(rows % buckets), pa.array(zero), pa.nulls(n_rows, pa.binary()), pa.array(rows)]
+                out += [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(extra)]
+                yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], *own])
+                if size > HELD:
+                    yield from asked()
+                    held, size = [], 0
+        if held:
+            yield from asked()
+
+    plain = {c: f"_llm_id{k}" for k, c in enumerate(id_cols)}
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_llm_text")
+    picked = small_batches(df).select(*(F.col(c).alias(plain[c]) for c in id_cols), text)
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
-    schema = ", ".join([*head, "_llm_row long, n_tokens long, n_known long, _llm_base double, _llm_extra double, _llm_keys array<long>, _llm_times array<int>"])
-    looked = cut(picked.mapInArrow(look, schema), "looked")
-    asked = looked.select("_llm_row", F.explode(F.arrays_zip("_llm_keys", "_llm_times")).alias("l")).select("_llm_row", F.col("l._llm_keys").alias("key"), F.col("l._llm_times").alias("times"))
+    asked = picked.mapInArrow(look, ", ".join([*head, "bucket long, n int, body binary, row long, n_tokens long, known long, base double, extra double"]))
     # a rare word adds to the score without contexts, a stored n-gram to the tree's
-    sign = F.lit(-(1 << 63))
-    rare = model.rare.select(F.col("key").bitwiseOR(sign).alias("key"), F.log((F.col("n") + ADDED) / ADDED).alias("value"))
-    found = asked.join(seldom.select("key", "value").unionByName(rare), "key")
-    is_word, part = F.col("key") < 0, F.col("times") * F.col("value")
-    sums = found.groupBy("_llm_row").agg(
-        F.sum(F.when(is_word, F.col("times")).otherwise(0)).alias("_llm_known"),
-        F.sum(F.when(is_word, part).otherwise(0.0)).alias("_llm_words"),
-        F.sum(F.when(is_word, 0.0).otherwise(part)).alias("_llm_ngrams"),
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    base = F.col("_llm_base") + zero("_llm_words")
-    total = base + F.col("_llm_extra") + zero("_llm_ngrams")
-    ten = F.lit(math.log(10))
-    joined = looked.drop("_llm_keys", "_llm_times").join(sums, "_llm_row", "left")
-    return joined.select(*id_cols, "n_tokens", (F.col("n_known") + zero("_llm_known")).alias("n_known"), (base / ten).alias("base_score"), (total / ten).alias("score"))
+    rare = model.rare.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("key"), F.log((F.col("n") + ADDED) / ADDED).alias("value"))
+    found = looked_up(asked, seldom.select("key", "value").unionByName(rare), size, ["_llm_known", "_llm_words", "_llm_ngrams"])
+    base, ten = F.col("base") + F.col("_llm_words"), F.lit(math.log(10))
+    total = base + F.col("extra") + F.col("_llm_ngrams")
+    return found.select(*(F.col(plain[c]).alias(c) for c in id_cols), "n_tokens", (F.col("known") + F.col("_llm_known")).alias("n_known"), (base / ten).alias("base_score"), (total / ten).alias("score"))

@@ -43,7 +43,7 @@ def tallies(keys: Iterator[np.ndarray]) -> Iterator[Counts]:
     for some in keys:
         own = np.sort(some)
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
-        kept.append((own[first], np.diff(np.append(first, len(own)))))
+        kept.append((own[first], np.diff(np.append(first, len(own))).astype(np.int64)))
         size += len(first)
         if size > HELD:
             kept = [merged(kept)]
@@ -55,21 +55,30 @@ def tallies(keys: Iterator[np.ndarray]) -> Iterator[Counts]:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _values(planes: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, n).T).reshape(-1).view(np.int64)
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys and their counts as compressed bytes."""
-    return pa.compress(_planes(np.diff(keys, prepend=np.int64(0))) + _planes(counts), codec="zstd", asbytes=True)
+def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
+    """Sorted keys and as many 64-bit values, in columns, as compressed bytes."""
+    return pa.compress(b"".join(map(_planes, [np.diff(keys, prepend=np.int64(0)), *values])), codec="zstd", asbytes=True)
 
 
-def unpack(body: bytes, n: int) -> Counts:
-    raw = pa.decompress(body, decompressed_size=16 * n, codec="zstd", asbytes=True)
-    return np.cumsum(_values(raw[: 8 * n], n)), _values(raw[8 * n :], n)
+def unpack(body: bytes, n: int, columns: int = 1) -> tuple[np.ndarray, ...]:
+    raw = pa.decompress(body, decompressed_size=8 * n * (1 + columns), codec="zstd", asbytes=True)
+    found = [_values(raw[8 * n * k : 8 * n * (k + 1)], n) for k in range(1 + columns)]
+    return np.cumsum(found[0]), *found[1:]
+
+
+def bucketed(buckets: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, size, packed) of the buckets of ``keys``, which may repeat."""
+    bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        yield int(bucket[own[0]]), len(own), pack(keys[own], *(v[own] for v in values))
 
 
 def packed_counts(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], text_bytes: int, least: int = 1) -> DataFrame:
@@ -78,10 +87,8 @@ def packed_counts(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iter
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, n in tallies(keys(batches)):
-            bucket = (mix(found.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket[own[0]]], pa.int64()), "n": pa.array([len(own)], pa.int32()), "body": pa.array([pack(found[own], n[own])], pa.binary())})
+            for bucket, size, body in bucketed(buckets, found, n):
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "n": pa.array([size], pa.int32()), "body": pa.array([body], pa.binary())})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, kept, size = None, [], 0
@@ -110,6 +117,69 @@ def packed_counts(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iter
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, n long")
 
 
+def looked_up(asked: DataFrame, values: DataFrame, text_bytes: int, sums: list[str]) -> DataFrame:
+    """Sums, per row number, of the values of the keys that rows ask for.
+
+    ``values`` has key and value, every key once.  ``asked`` has bucket, n, body and the
+    BIGINT row: either a packed list of questions (key, number of the row after ``row``,
+    times) with its bucket, or, with n of 0, nothing but a row that is to be in the result.
+    All but ``sums`` of its other columns belong to that row.  Returns row, those columns,
+    and for ``sums`` (matches, sum over keys below 0, sum over others) the totals.
+
+    Buckets are shuffled; a task holds the values of one bucket and goes through its
+    questions list by list, so neither a common key nor a long list is ever held whole.
+    """
+    buckets = 1 + text_bytes // BUCKET_BYTES
+    rest = [f for f in asked.schema.fields if f.name not in ("bucket", "n", "body")]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+
+    def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, value = (c.to_numpy() for c in batch.columns)
+            rows = list(bucketed(buckets, key, value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "n", "body"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, table = None, [], None
+        for batch in batches:
+            own, n, body, offer = (batch.column(c).to_pylist() for c in ("bucket", "n", "body", "_llm_offer"))
+            kept = [k for k in range(batch.num_rows) if not offer[k] and not n[k]]
+            if kept:
+                told = batch.take(pa.array(kept))
+                none = [pa.array(np.zeros(len(kept), np.int64)), pa.array(np.zeros(len(kept))), pa.array(np.zeros(len(kept)))]
+                yield pa.RecordBatch.from_arrays([*(told.column(f.name) for f in rest), *none], names=[*(f.name for f in rest), *sums])
+            for k in range(batch.num_rows):
+                if own[k] != bucket:
+                    bucket, parts, table = own[k], [], None
+                if offer[k]:
+                    parts.append(unpack(body[k], n[k]))
+                elif n[k]:
+                    if table is None:
+                        table = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(2)]
+                        order = np.argsort(table[0])
+                        table = table[0][order], table[1][order].view(np.float64)
+                    key, row, times = unpack(body[k], n[k], 2)
+                    at = np.minimum(np.searchsorted(table[0], key), max(len(table[0]) - 1, 0))
+                    found = table[0][at] == key if len(table[0]) else np.zeros(len(key), dtype=bool)
+                    if not found.any():
+                        continue
+                    key, row, times, value = key[found], row[found], times[found], table[1][at[found]]
+                    rows, which = np.unique(row, return_inverse=True)
+                    total = lambda x: np.bincount(which, weights=x, minlength=len(rows))
+                    first = batch.column("row")[k].as_py()
+                    out = {"row": pa.array(rows + first)}
+                    out |= {f.name: pa.nulls(len(rows), f_type) for f, f_type in zip(rest, (batch.schema.field(f.name).type for f in rest), strict=True) if f.name != "row"}
+                    out |= {sums[0]: pa.array(total(times * (key < 0)).astype(np.int64)), sums[1]: pa.array(total(times * value * (key < 0))), sums[2]: pa.array(total(times * value * (key >= 0)))}
+                    yield pa.RecordBatch.from_arrays([out[name] for name in [*(f.name for f in rest), *sums]], names=[*(f.name for f in rest), *sums])
+
+    offers = values.select("key", "value").mapInArrow(offered, "bucket long, n int, body binary").withColumn("_llm_offer", F.lit(True))
+    both = asked.withColumn("_llm_offer", F.lit(False)).unionByName(offers, allowMissingColumns=True)
+    dealt = both.repartition("bucket").sortWithinPartitions("bucket", F.desc("_llm_offer"))
+    answers = dealt.mapInArrow(answer, f"{head}, {sums[0]} long, {sums[1]} double, {sums[2]} double")
+    others = [F.max(f.name).alias(f.name) for f in rest if f.name != "row"]
+    return answers.groupBy("row").agg(*others, *(F.sum(c).alias(c) for c in sums))
+
+
 def common(counts: DataFrame, most: int, count_col: str = "count") -> tuple[DataFrame, DataFrame]:
     """A stored table in two: at most ``most`` rows of highest count, and all others.
 
