@@ -1,20 +1,24 @@
-"""Line deduplication by shared windows of lines.
+"""Line deduplication by pairwise patience alignment.
 
 A *block* is a run of lines that follow each other both in a document and in one earlier
-document, of at least ``min_words`` words.  Every line of a block lies in the least window
-of that many words that starts at the line, or in the one that ends with the block's last
-line.  So each document gives the least windows that start and end at each of its lines, by
-a hash of their lines in order; a window that an earlier document has is deleted.  This
-finds every block with every earlier document, wherever it lies in either, how often it is
-repeated, and whatever else the two share; and lines that share no block stay.  A window of
-thousands of documents meets the earliest of them, not thousands.
+document, of at least ``min_words`` words; it is deleted from the later.
+
+Single lines are often common, so rare hashes are made of runs of lines: the shortest runs of
+``min_words`` words that start, or end, with each line (*windows*).  Every line of a block
+lies in one that both documents have.  Two documents overlap if they share a window, and a
+document is paired with the earliest holder of each window it shares, so a passage of
+thousands of documents makes one pair for each of them, and no block is missed: all windows
+of a block are shared with some earlier document, whichever it is.
+
+Each pair is aligned by a patience diff over the windows they share: windows that both have
+once are anchors, the longest chain that rises in both is kept, and stretches between are
+aligned again; a stretch without such windows takes its rarest one as anchor.  An aligned
+window is a block common to both.  Passages that lie in another order, or are repeated, cross
+the chain: what a pair shares and has not aligned is aligned again, until nothing is left.
 
 Earlier means smaller id (null first), then smaller hash of the text.  Rows with the same
 id and text are one document.  Blank lines are no lines; white space around a line does
 not count.  Lines and windows are compared by 128 bits of hash.
-
-``align``, the patience diff of two documents, is the pairwise view of the same thing:
-steps by one in both of enough words are blocks.  Tests hold the windows against it.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches
+from .frames import cut, small_batches
 from .kernels import SPACED, U64, chunks, mix, powers, span_hashes, word_spans
 
 #: Words that a block must have to be deleted.
@@ -125,8 +129,9 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def align(mine: list[list[int]], theirs: list[list[int]]) -> list[tuple[int, int]]:
     """Patience diff of two documents over the lines they share.
 
-    ``mine[k]`` and ``theirs[k]`` are the places of shared line ``k`` in either; the result
-    is the aligned places, rising in both.
+    ``mine[k]`` and ``theirs[k]`` are the places of shared line (or run of lines) ``k`` in
+    either; the result is the aligned places, rising in both.  It is empty only if nothing
+    is shared.
     """
     own = {p: k for k, places in enumerate(mine) for p in places}
     other = {p: k for k, places in enumerate(theirs) for p in places}
@@ -147,9 +152,12 @@ def align(mine: list[list[int]], theirs: list[list[int]]) -> list[tuple[int, int
             continue
         inside = [([p for p in mine[k] if a <= p < b], [p for p in theirs[k] if c <= p < d], k) for k in shared]
         inside = [x for x in inside if x[0] and x[1]]
+        if not inside:
+            continue
         anchors = chain(sorted((x[0][0], x[1][0]) for x in inside if len(x[0]) == 1 and len(x[1]) == 1))
         if not anchors:
-            continue
+            rarest = min(inside, key=lambda x: (len(x[0]) * len(x[1]), x[0][0]))
+            anchors = [(rarest[0][0], rarest[1][0])]
         matched += anchors
         kept = [k for _, _, k in inside]
         edges = [(a - 1, c - 1), *anchors, (b, d)]
@@ -161,10 +169,30 @@ def align(mine: list[list[int]], theirs: list[list[int]]) -> list[tuple[int, int
     return sorted(matched)
 
 
+def pair_blocks(shared: list[dict]) -> list[tuple[int, int]]:
+    """First and last line, in the later document, of the blocks that alignment finds in a pair.
+
+    ``shared`` has the windows of both: places in the later (``places``) and in the earlier
+    document (``theirs``), and how many lines they span.
+    """
+    step = max(s["size"] for s in shared) + 1  # windows of one first line are told apart by their size
+    mine = [[p * step + s["size"] for p in s["places"]] for s in shared]
+    theirs = [[p * step + s["size"] for p in s["theirs"]] for s in shared]
+    out: list[tuple[int, int]] = []
+    while any(mine):
+        found = {p for p, _ in align(mine, theirs)}
+        out += [(p // step, p // step + p % step - 1) for p in found]
+        mine = [[p for p in places if p not in found] for places in mine]
+    return out
+
+
 def blocks(shared: list[dict]) -> list[int]:
-    """First and last line of each run of lines to delete, in turn, from a document's shared windows."""
+    """First and last line of each run of lines to delete, in turn, from a document, pair by pair."""
+    pairs: dict[tuple, list[dict]] = {}
+    for s in shared:
+        pairs.setdefault((s["by_id"], s["by_h"]), []).append(s)
     out: list[int] = []
-    for first, last in sorted((p, p + s["size"] - 1) for s in shared for p in s["places"]):
+    for first, last in sorted(x for pair in pairs.values() for x in pair_blocks(pair)):
         if out and first <= out[-1] + 1:
             out[-1] = max(out[-1], last)
         else:
@@ -191,13 +219,14 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, min_words: int = MI
     text = F.col(text_col).cast("string")
     keyed = small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where(F.col("text") != "")
     id_type = dict(keyed.dtypes)["id"]
-    found = keyed.mapInArrow(partial(_window_rows, max(min_words, 1)), f"id {id_type}, h long, one long, two long, places array<int>, size int")
-    first = found.groupBy("one", "two").agg(F.min(F.struct("id", "h")).alias("by"), F.max(F.struct("id", "h")).alias("last"))
-    # windows of several documents, with their earliest; the others meet it below
+    found = cut(keyed.mapInArrow(partial(_window_rows, max(min_words, 1)), f"id {id_type}, h long, one long, two long, places array<int>, size int"), "windows")
+    first = found.groupBy("one", "two").agg(F.min(F.struct("id", "h", "places")).alias("by"), F.max(F.struct("id", "h")).alias("last"))
+    # windows of several documents, with their earliest: the pairs
     several = first.where((F.col("by.h") != F.col("last.h")) | ~F.col("by.id").eqNullSafe(F.col("last.id")))
-    several = several.select("one", "two", F.col("by.id").alias("by_id"), F.col("by.h").alias("by_h"))
+    several = several.select("one", "two", F.col("by.id").alias("by_id"), F.col("by.h").alias("by_h"), F.col("by.places").alias("theirs"))
     later = found.join(several, ["one", "two"]).where((F.col("h") != F.col("by_h")) | ~F.col("id").eqNullSafe(F.col("by_id")))
-    shared = later.dropDuplicates(["one", "two", "id", "h"]).groupBy("id", "h").agg(F.collect_list(F.struct("places", "size")).alias("shared"))
+    pair = F.struct("by_id", "by_h", "places", "theirs", "size")
+    shared = later.dropDuplicates(["one", "two", "id", "h"]).groupBy("id", "h").agg(F.collect_list(pair).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .frames import cut, small_batches
 from .kernels import LOWER, SPACED, chunks, span_hashes, word_spans
-from .tally import BUCKET_BYTES, HELD, bucketed, common, looked_up, packed_counts
+from .tally import ANSWER_BYTES, bucketed, common, looked_up, packed_counts
 
 #: Added to each count of the state without context.
 ADDED = 0.1
@@ -49,14 +49,16 @@ CUT = 0.75
 #: Nats that a state's divergence must gain per stored word, and once more for itself.
 PRICE = 3.0
 #: Occurrences from which two words are a candidate context.
-LEAST_CONTEXT = 8
+LEAST_CONTEXT = 4
 
 SYMBOL_BITS = 20
 #: Numbers: any rare word, the end of a text, its begin; then the common words.
 RARE, END, BEGIN, FIRST = 0, 1, 2, 3
 SYMBOLS = (1 << SYMBOL_BITS) - FIRST
 #: N-grams that are looked up in a broadcast table, at most.
-COMMON = 1 << 16
+COMMON = 1 << 15
+#: Questions that a task holds before it hands them on.
+ASKED = 1_000_000
 FILTER_BITS = 27
 #: A prime near 2^FILTER_BITS: an n-gram's place in the bitmap is its key modulo this.
 _PLACES = 134217689
@@ -278,7 +280,7 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
     if clash := [c for c in id_cols if c in ("n_tokens", "n_known", "base_score", "score")]:
         raise ValueError(f"id columns {clash} have names of results")
     size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
-    buckets = 1 + size // BUCKET_BYTES
+    buckets = 1 + size // ANSWER_BYTES
     own = ["bucket", "n", "body", "row", "n_tokens", "known", "base", "extra"]
     often, seldom = common(model.values, COMMON, "n")
     table = often.select("key", "value").toArrow()
@@ -340,7 +342,7 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
                 out = [*(c.slice(lo, n_rows) for c in batch.columns[:-1]), pa.array(rows % buckets), pa.array(zero), pa.nulls(n_rows, pa.binary()), pa.array(rows)]
                 out += [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(extra)]
                 yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], *own])
-                if size > HELD:
+                if size > ASKED:
                     yield from asked()
                     held, size = [], 0
         if held:

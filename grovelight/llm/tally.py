@@ -19,9 +19,11 @@ from .frames import cut
 from .kernels import mix
 
 #: Distinct keys that a task holds before it hands them on.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Bytes of text for which there is one bucket.
 BUCKET_BYTES = 8 << 20
+#: The same for values that are looked up: a row gets one answer per bucket.
+ANSWER_BYTES = 64 << 20
 
 Counts = tuple[np.ndarray, np.ndarray]
 NO_COUNTS: Counts = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -129,7 +131,7 @@ def looked_up(asked: DataFrame, values: DataFrame, text_bytes: int, sums: list[s
     Buckets are shuffled; a task holds the values of one bucket and goes through its
     questions list by list, so neither a common key nor a long list is ever held whole.
     """
-    buckets = 1 + text_bytes // BUCKET_BYTES
+    buckets = 1 + text_bytes // ANSWER_BYTES
     rest = [f for f in asked.schema.fields if f.name not in ("bucket", "n", "body")]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
 
