@@ -18,6 +18,7 @@ are added up in each task, then by Spark.  The finished model has at most 2**25
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -189,7 +190,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(w[:-1] / scale, w[-1])
 
 
-_dense: dict[int, np.ndarray] = {}
+_dense: dict[str, np.ndarray] = {}
 
 
 def _table(shared) -> np.ndarray:
@@ -214,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     counts = joined.select("text", "label").mapInArrow(_counted, "code int, n long, c0 long, c1 long")
     counts = counts.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n", "c0", "c1"))).toArrow()
     model = ratios(*(counts.column(c).to_numpy() for c in ("code", "n", "c0", "c1")))
-    shared = docs.sparkSession.sparkContext.broadcast((seed, model))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +234,7 @@ def score(docs: DataFrame, id_cols: list[str], text_col: str, model: Model) -> D
 
     Repeated rows are scored each; without labels of both classes all scores are alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((id(model), model.ratios))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.ratios))
     weights = model.weights
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,3 +119,14 @@ def test_quality_odd_inputs(spark):
     nothing = subword_quality.train(docs, labels.limit(0), "doc_id", "text", "y", F.lit(True))
     assert subword_quality.score(docs, ["doc_id"], "text", nothing).select("score").distinct().count() == 1
     assert subword_quality.score(docs.limit(0), ["doc_id"], "text", model).count() == 0
+
+
+def test_two_toxicity_models_in_one_session(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    inverted = labels.withColumn("toxic", 1 - F.col("toxic"))
+    every = F.col("doc_id").isNotNull()
+    models = [kn_toxicity.train(docs, x, "doc_id", "text", "toxic", every, F.col("doc_id") % 5 == 0) for x in (labels, inverted)]
+    scored = [kn_toxicity.score(docs, ["doc_id"], "text", m).join(labels, "doc_id").groupBy("toxic").agg(F.avg("score").alias("s")) for m in models]
+    plain, turned = ({r.toxic: r.s for r in s.collect()} for s in scored)
+    assert plain[1] > plain[0] + 0.5 and turned[0] > turned[1] + 0.3
