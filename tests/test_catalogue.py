@@ -1,9 +1,12 @@
 """Catalogue queries against DuckDB on the smallest data (check_catalog.py runs all)."""
 
+from importlib.util import find_spec
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from catalog.oracles import ORACLES
 from catalog.queries import CATALOGUE
 from check_catalog import TABLES, rows_of
 
@@ -40,3 +43,11 @@ def test_every_oracle_belongs_to_a_query():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 3
+
+
+def test_entry_without_the_text_operators(monkeypatch):
+    """The rest works where their folder is deleted, whether or not the pipeline's file is there."""
+    monkeypatch.setattr(entry, "find_spec", lambda module: None if module == "grovelight.llm" else find_spec(module))
+    assert set(entry.queries()) == set(CATALOGUE) and set(entry.oracle_sql()) == set(ORACLES)
+    monkeypatch.setattr(entry, "find_spec", lambda module: None)
+    assert set(entry.queries()) == set(CATALOGUE) and set(entry.oracle_sql()) == set(ORACLES)
