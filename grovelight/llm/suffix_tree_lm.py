@@ -49,16 +49,16 @@ CUT = 0.75
 #: Nats that a state's divergence must gain per stored word, and once more for itself.
 PRICE = 3.0
 #: Occurrences from which two words are a candidate context.
-LEAST_CONTEXT = 4
+LEAST_CONTEXT = 3
 
 SYMBOL_BITS = 20
 #: Numbers: any rare word, the end of a text, its begin; then the common words.
 RARE, END, BEGIN, FIRST = 0, 1, 2, 3
 SYMBOLS = (1 << SYMBOL_BITS) - FIRST
 #: N-grams that are looked up in a broadcast table, at most.
-COMMON = 1 << 15
+COMMON = 1 << 13
 #: Questions that a task holds before it hands them on.
-ASKED = 1_000_000
+ASKED = 500_000
 FILTER_BITS = 27
 #: A prime near 2^FILTER_BITS: an n-gram's place in the bitmap is its key modulo this.
 _PLACES = 134217689
@@ -281,7 +281,7 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
         raise ValueError(f"id columns {clash} have names of results")
     size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     buckets = 1 + size // ANSWER_BYTES
-    own = ["bucket", "n", "body", "row", "n_tokens", "known", "base", "extra"]
+    own = ["bucket", "n", "body", "block", "row", "n_tokens", "known", "base", "extra"]
     often, seldom = common(model.values, COMMON, "n")
     table = often.select("key", "value").toArrow()
     order = np.argsort(table.column("key").to_numpy())
@@ -292,16 +292,14 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
         words, left, hot_keys, hot_values, bits = shared.value
         root = np.log(np.maximum(words.counts + ADDED, ADDED))
         unknown = math.log(ADDED)
-        number, held, size = TaskContext.get().partitionId() << 33, [], 0
+        block, number, held, size = TaskContext.get().partitionId() << 33, 0, [], 0
 
         def asked() -> Iterator[pa.RecordBatch]:
-            """What is held of questions, packed."""
-            key, row, times = (np.concatenate([h[k] for h in held]) for k in range(3))
-            first = int(row.min())
-            rows = list(bucketed(buckets, key, row - first, times))
+            """The questions of a block, packed."""
+            rows = list(bucketed(buckets, *(np.concatenate([h[k] for h in held]) for k in range(3))))
             out = [pa.nulls(len(rows), f.type) for f in given]
             out += [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
-            out += [pa.array([first] * len(rows), pa.int64()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            out += [pa.array([block] * len(rows), pa.int64()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(out, names=[*(f.name for f in given), *own])
 
         given: list[pa.Field] = []
@@ -339,12 +337,13 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
                 rows = number + np.arange(n_rows)
                 number += n_rows
                 zero = np.zeros(n_rows, dtype=np.int32)
-                out = [*(c.slice(lo, n_rows) for c in batch.columns[:-1]), pa.array(rows % buckets), pa.array(zero), pa.nulls(n_rows, pa.binary()), pa.array(rows)]
+                out = [*(c.slice(lo, n_rows) for c in batch.columns[:-1]), pa.array(rows % buckets), pa.array(zero), pa.nulls(n_rows, pa.binary())]
+                out += [pa.array(np.full(n_rows, block)), pa.array(rows)]
                 out += [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(extra)]
                 yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], *own])
                 if size > ASKED:
                     yield from asked()
-                    held, size = [], 0
+                    block, number, held, size = block + 1, 0, [], 0
         if held:
             yield from asked()
 
@@ -352,7 +351,7 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_llm_text")
     picked = small_batches(df).select(*(F.col(c).alias(plain[c]) for c in id_cols), text)
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
-    asked = picked.mapInArrow(look, ", ".join([*head, "bucket long, n int, body binary, row long, n_tokens long, known long, base double, extra double"]))
+    asked = picked.mapInArrow(look, ", ".join([*head, "bucket long, n int, body binary, block long, row long, n_tokens long, known long, base double, extra double"]))
     # a rare word adds to the score without contexts, a stored n-gram to the tree's
     rare = model.rare.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("key"), F.log((F.col("n") + ADDED) / ADDED).alias("value"))
     found = looked_up(asked, seldom.select("key", "value").unionByName(rare), size, ["_llm_known", "_llm_words", "_llm_ngrams"])

@@ -19,10 +19,10 @@ from .frames import cut
 from .kernels import mix
 
 #: Distinct keys that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_500_000
 #: Bytes of text for which there is one bucket.
 BUCKET_BYTES = 8 << 20
-#: The same for values that are looked up: a row gets one answer per bucket.
+#: The same for values that are looked up.
 ANSWER_BYTES = 64 << 20
 
 Counts = tuple[np.ndarray, np.ndarray]
@@ -120,20 +120,22 @@ def packed_counts(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def looked_up(asked: DataFrame, values: DataFrame, text_bytes: int, sums: list[str]) -> DataFrame:
-    """Sums, per row number, of the values of the keys that rows ask for.
+    """Rows with sums of the values of the keys that they ask for.
 
-    ``values`` has key and value, every key once.  ``asked`` has bucket, n, body and the
-    BIGINT row: either a packed list of questions (key, number of the row after ``row``,
-    times) with its bucket, or, with n of 0, nothing but a row that is to be in the result.
-    All but ``sums`` of its other columns belong to that row.  Returns row, those columns,
-    and for ``sums`` (matches, sum over keys below 0, sum over others) the totals.
+    ``values`` has key and value, every key once.  ``asked`` holds blocks of rows, told apart
+    by the BIGINT ``block``: a row of its own has n of 0 and its number in the block,
+    ``row``; a packed list of questions (key, number of the row, times) has its bucket, n and
+    body.  All other columns belong to the rows.  Returns those columns, and for ``sums`` the
+    totals per row: matches of keys below 0, the sum of their values, the sum over other keys.
 
     Buckets are shuffled; a task holds the values of one bucket and goes through its
-    questions list by list, so neither a common key nor a long list is ever held whole.
+    questions list by list.  The answers to a list go back, packed, to its block.  So neither
+    a common key nor a long list is ever held whole, and a row's answers are not rows.
     """
     buckets = 1 + text_bytes // ANSWER_BYTES
-    rest = [f for f in asked.schema.fields if f.name not in ("bucket", "n", "body")]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    inner = ("bucket", "n", "body", "block", "row")
+    rest = [f for f in asked.schema.fields if f.name not in inner]
+    head = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), ""])
 
     def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,14 +144,13 @@ def looked_up(asked: DataFrame, values: DataFrame, text_bytes: int, sums: list[s
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "n", "body"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*(f.name for f in rest), "n", "body", "block", "row"]
         bucket, parts, table = None, [], None
         for batch in batches:
-            own, n, body, offer = (batch.column(c).to_pylist() for c in ("bucket", "n", "body", "_llm_offer"))
+            own, n, body, block, offer = (batch.column(c).to_pylist() for c in ("bucket", "n", "body", "block", "_llm_offer"))
             kept = [k for k in range(batch.num_rows) if not offer[k] and not n[k]]
             if kept:
-                told = batch.take(pa.array(kept))
-                none = [pa.array(np.zeros(len(kept), np.int64)), pa.array(np.zeros(len(kept))), pa.array(np.zeros(len(kept)))]
-                yield pa.RecordBatch.from_arrays([*(told.column(f.name) for f in rest), *none], names=[*(f.name for f in rest), *sums])
+                yield batch.take(pa.array(kept)).select(names)
             for k in range(batch.num_rows):
                 if own[k] != bucket:
                     bucket, parts, table = own[k], [], None
@@ -165,21 +166,54 @@ def looked_up(asked: DataFrame, values: DataFrame, text_bytes: int, sums: list[s
                     found = table[0][at] == key if len(table[0]) else np.zeros(len(key), dtype=bool)
                     if not found.any():
                         continue
-                    key, row, times, value = key[found], row[found], times[found], table[1][at[found]]
-                    rows, which = np.unique(row, return_inverse=True)
+                    below, part = key[found] < 0, times[found] * table[1][at[found]]
+                    rows, which = np.unique(row[found], return_inverse=True)
                     total = lambda x: np.bincount(which, weights=x, minlength=len(rows))
-                    first = batch.column("row")[k].as_py()
-                    out = {"row": pa.array(rows + first)}
-                    out |= {f.name: pa.nulls(len(rows), f_type) for f, f_type in zip(rest, (batch.schema.field(f.name).type for f in rest), strict=True) if f.name != "row"}
-                    out |= {sums[0]: pa.array(total(times * (key < 0)).astype(np.int64)), sums[1]: pa.array(total(times * value * (key < 0))), sums[2]: pa.array(total(times * value * (key >= 0)))}
-                    yield pa.RecordBatch.from_arrays([out[name] for name in [*(f.name for f in rest), *sums]], names=[*(f.name for f in rest), *sums])
+                    packed = pack(rows, total(times[found] * below).astype(np.int64), total(part * below).view(np.int64), total(part * ~below).view(np.int64))
+                    out = [pa.nulls(1, batch.schema.field(f.name).type) for f in rest]
+                    out += [pa.array([len(rows)], pa.int32()), pa.array([packed], pa.binary()), pa.array([block[k]], pa.int64()), pa.nulls(1, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(out, names=names)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in rest]
+        current, rows, answers = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            number = np.concatenate([r.column("row").to_numpy() for r in rows])
+            size = int(number.max()) + 1
+            totals = [np.zeros(size, np.int64), np.zeros(size), np.zeros(size)]
+            for row, *more in answers:  # every row at most once in each
+                for k, x in enumerate(more):
+                    totals[k][row] += x.view(totals[k].dtype)
+            for r in rows:
+                at = r.column("row").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(r.column(c) for c in names), *(pa.array(t[at]) for t in totals)], names=[*names, *sums])
+
+        for batch in batches:
+            block, n = batch.column("block").to_pylist(), batch.column("n").to_pylist()
+            lo = 0
+            while lo < len(block):
+                hi = lo + 1
+                while hi < len(block) and block[hi] == block[lo] and not n[hi] and not n[lo]:
+                    hi += 1
+                if block[lo] != current:
+                    if rows:
+                        yield from done()
+                    current, rows, answers = block[lo], [], []
+                if n[lo]:
+                    answers.append(unpack(batch.column("body")[lo].as_py(), n[lo], 3))
+                else:
+                    rows.append(batch.slice(lo, hi - lo))
+                lo = hi
+        if rows:
+            yield from done()
 
     offers = values.select("key", "value").mapInArrow(offered, "bucket long, n int, body binary").withColumn("_llm_offer", F.lit(True))
     both = asked.withColumn("_llm_offer", F.lit(False)).unionByName(offers, allowMissingColumns=True)
     dealt = both.repartition("bucket").sortWithinPartitions("bucket", F.desc("_llm_offer"))
-    answers = dealt.mapInArrow(answer, f"{head}, {sums[0]} long, {sums[1]} double, {sums[2]} double")
-    others = [F.max(f.name).alias(f.name) for f in rest if f.name != "row"]
-    return answers.groupBy("row").agg(*others, *(F.sum(c).alias(c) for c in sums))
+    answers = dealt.mapInArrow(answer, f"{head}n int, body binary, block long, row long")
+    back = answers.repartition("block").sortWithinPartitions("block")
+    return back.mapInArrow(settle, f"{head}{sums[0]} long, {sums[1]} double, {sums[2]} double")
 
 
 def common(counts: DataFrame, most: int, count_col: str = "count") -> tuple[DataFrame, DataFrame]:
