@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .frames import cut, small_batches
 from .kernels import LOWER, SPACED, chunks, span_hashes, word_spans
-from .tally import ANSWER_BYTES, bucketed, common, looked_up, packed_counts
+from .tally import ANSWER_BYTES, bucketed, common, looked_up, packed_counts, summed
 
 #: Added to each count of the state without context.
 ADDED = 0.1
@@ -59,9 +59,9 @@ SYMBOLS = (1 << SYMBOL_BITS) - FIRST
 COMMON = 1 << 13
 #: Questions that a task holds before it hands them on.
 ASKED = 500_000
-FILTER_BITS = 27
-#: A prime near 2^FILTER_BITS: an n-gram's place in the bitmap is its key modulo this.
-_PLACES = 134217689
+FILTER_BITS = 28
+#: Primes near 2^FILTER_BITS: an n-gram's places in the bitmap are its key modulo each.
+_PLACES = (268435399, 268435367)
 _TRIPLE = 1 << 60
 _LOW = (1 << SYMBOL_BITS) - 1
 
@@ -122,8 +122,10 @@ def triples_of(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """Bytes of a bitmap of the places of keys, made by Spark; 2^FILTER_BITS bits, whatever the number of keys."""
-    place = F.col(column) % _PLACES + 1  # Spark numbers blocks and bits from one
-    blocks = keys.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toArrow()
+    # Spark numbers blocks and bits from one
+    places = keys.select(F.explode(F.array(*(F.col(column) % p + 1 for p in _PLACES))).alias("place"))
+    placed = places.select(F.bitmap_bucket_number("place").alias("b"), F.bitmap_bit_position("place").alias("p"))
+    blocks = placed.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toArrow()
     out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
     for b, bits in zip(blocks.column("b").to_pylist(), blocks.column("bits").to_pylist(), strict=True):
         out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, dtype=np.uint8)
@@ -131,13 +133,17 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys % _PLACES
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+    """Whether both places of each key are in the bitmap: surely if it was put in, rarely else."""
+    found = np.ones(len(keys), dtype=bool)
+    for p in _PLACES:
+        place = keys[found] % p
+        found[found] = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+    return found
 
 
 @dataclass(frozen=True)
 class Model:
-    """Vocabulary, rare words (key, n), stored n-grams (key, n, value), logs of what one-word states leave over."""
+    """Vocabulary, rare words (key, n), stored n-grams (key, n, value; a key's values add up), logs of what one-word states leave over."""
 
     vocabulary: Vocabulary
     rare: DataFrame
@@ -242,17 +248,17 @@ def train(df: DataFrame, text_col: str) -> Model:
                 yield key[marked(bits.value, (key ^ _TRIPLE) >> SYMBOL_BITS)]
 
     triples = cut(packed_counts(texts, triple_keys, size, LEAST), "triples")
-    keyed = triples.select("key", "n", F.shiftright(F.col("key").bitwiseXOR(F.lit(_TRIPLE)), SYMBOL_BITS).alias("context"))
+    context = F.shiftright(F.col("key").bitwiseXOR(F.lit(_TRIPLE)), SYMBOL_BITS).alias("context")
+    keyed = triples.select("key", "n", context)
     keyed = keyed.join(candidates.select(F.col("pair").alias("context"), "c"), "context")
     last = F.col("key").bitwiseAND(F.lit((1 << 2 * SYMBOL_BITS) - 1))
     keyed = cut(keyed.withColumn("last", last).join(pairs.select(F.col("key").alias("last"), F.col("p").alias("below")), "last").drop("last"), "triple-shares")
     two = cut(_states(keyed, "two-word-states"), "two-word-states")
     value = F.log(((F.col("n") - CUT) / F.col("c") + F.col("rest") * F.col("below")) / (F.col("rest") * F.col("below")))
     second = keyed.join(two.select("context", "rest"), "context").select("key", "n", value.alias("value"))
-    # a pair that is a state passes on what it leaves over to the word after it
-    first = pairs.select("key", "n", "value").join(two.select(F.col("context").alias("key"), "rest"), "key", "left")
-    first = first.select("key", "n", (F.col("value") + F.coalesce(F.log("rest"), F.lit(0.0))).alias("value"))
-    values = cut(first.where("value <> 0").unionByName(second), "ngrams")
+    # a pair that is a state passes on what it leaves over to the word after it; values of a key add up
+    passed = two.select(F.col("context").alias("key"), "n", F.log("rest").alias("value"))
+    values = cut(pairs.where("value <> 0").select("key", "n", "value").unionByName(passed).unionByName(second), "ngrams")
     named = one.withColumn("length", F.lit(1)).unionByName(two.withColumn("length", F.lit(2)))
     return Model(words, rare, values, np.log(left), named)
 
@@ -284,8 +290,7 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
     own = ["bucket", "n", "body", "block", "row", "n_tokens", "known", "base", "extra"]
     often, seldom = common(model.values, COMMON, "n")
     table = often.select("key", "value").toArrow()
-    order = np.argsort(table.column("key").to_numpy())
-    hot = (table.column("key").to_numpy()[order], table.column("value").to_numpy()[order])
+    hot = summed(table.column("key").to_numpy(), table.column("value").to_numpy())
     shared = df.sparkSession.sparkContext.broadcast((model.vocabulary, model.left, *hot, bitmap(seldom, "key")))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,10 +119,16 @@ def packed_counts(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iter
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, n long")
 
 
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their values."""
+    found, which = np.unique(keys, return_inverse=True)
+    return found, np.bincount(which, weights=values, minlength=len(found)).astype(np.float64)
+
+
 def looked_up(asked: DataFrame, values: DataFrame, text_bytes: int, sums: list[str]) -> DataFrame:
     """Rows with sums of the values of the keys that they ask for.
 
-    ``values`` has key and value, every key once.  ``asked`` holds blocks of rows, told apart
+    ``values`` has key and value; values of one key add up.  ``asked`` holds blocks of rows, told apart
     by the BIGINT ``block``: a row of its own has n of 0 and its number in the block,
     ``row``; a packed list of questions (key, number of the row, times) has its bucket, n and
     body.  All other columns belong to the rows.  Returns those columns, and for ``sums`` the
@@ -159,8 +165,7 @@ def looked_up(asked: DataFrame, values: DataFrame, text_bytes: int, sums: list[s
                 elif n[k]:
                     if table is None:
                         table = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(2)]
-                        order = np.argsort(table[0])
-                        table = table[0][order], table[1][order].view(np.float64)
+                        table = summed(table[0], table[1].view(np.float64))
                     key, row, times = unpack(body[k], n[k], 2)
                     at = np.minimum(np.searchsorted(table[0], key), max(len(table[0]) - 1, 0))
                     found = table[0][at] == key if len(table[0]) else np.zeros(len(key), dtype=bool)
