@@ -279,6 +279,57 @@ def depth3_histogram(reference: str) -> str:
     SELECT cast(obj AS bigint) obj, cast(sum(cnt) AS bigint) cnt FROM h0 JOIN bd USING (b) WHERE obj <= bound GROUP BY obj"""
 
 
+def exact_set(view: str, lam: float, depth: int, mult: float) -> str:
+    """Trees of any depth by objective where all estimates are exact.
+
+    A conjunction is a number of base 3: digit f is 0 without feature f, else 1 + its value.
+    ``x`` are least objectives, ``u`` what the rest of a tree leaves over, ``h`` histograms.
+    """
+    fs = range(FEATURES[view])
+    fl = ", ".join(f"f{f}" for f in fs)
+    code = " + ".join(f"((mask >> {f}) & 1) * (1 + f{f}) * {3**f}" for f in fs)
+    free = "(c.code // w) % 3 = 0"
+    errors = "k + CASE l WHEN 0 THEN p ELSE n - p END"
+    out = f"""WITH pat AS (SELECT {fl}, count(*) n, sum(y) p FROM ({DUCK[view]}) v GROUP BY {fl}),
+    lam AS (SELECT cast(round({lam}::double * sum(n)) AS bigint) k FROM pat),
+    conj AS (SELECT code, size, cast(sum(n) AS bigint) n, cast(sum(p) AS bigint) p FROM (
+        SELECT n, p, bit_count(mask) size, cast({code} AS bigint) code
+        FROM pat, (SELECT unnest(range({1 << len(fs)})) mask) WHERE bit_count(mask) <= {depth}) GROUP BY code, size),
+    feat AS (SELECT unnest([{", ".join(str(3**f) for f in fs)}]) w),
+    lab AS (SELECT unnest([0, 1]) l),
+    x{depth} AS (SELECT code, {leaf()} c FROM conj, lam WHERE size = {depth})"""
+    for s in range(depth - 1, -1, -1):
+        out += f""",
+    x{s} AS (SELECT c.code, least({leaf("any_value(n)", "any_value(p)", "any_value(k)")}, min(a.c + z.c)) c
+        FROM conj c JOIN lam ON true JOIN feat ON {free}
+        LEFT JOIN x{s + 1} a ON a.code = c.code + 2 * w LEFT JOIN x{s + 1} z ON z.code = c.code + w
+        WHERE size = {s} GROUP BY c.code)"""
+    out += f", u0 AS (SELECT code, cast(round(c * (1 + {mult}::double)) AS bigint) u FROM x0)"
+    for s in range(depth):
+        out += f""",
+    u{s + 1} AS (SELECT code, max(u) u FROM (
+        SELECT unnest([a.code, z.code]) code, unnest([u - z.c, u - a.c]) u
+        FROM u{s} c JOIN feat ON {free} JOIN x{s + 1} a ON a.code = c.code + 2 * w JOIN x{s + 1} z ON z.code = c.code + w)
+        WHERE u >= 0 GROUP BY code)"""
+    for s in range(depth, -1, -1):
+        rows = f"SELECT code, {errors} obj, 1 cnt FROM conj, lab, lam WHERE size = {s}"
+        if s < depth:
+            rows += f""" UNION ALL SELECT c.code, a.obj + z.obj, a.cnt * z.cnt
+            FROM u{s} c JOIN feat ON {free} JOIN h{s + 1} a ON a.code = c.code + 2 * w JOIN h{s + 1} z ON z.code = c.code + w"""
+        out += f", h{s} AS (SELECT code, obj, sum(cnt) cnt FROM ({rows}) JOIN u{s} USING (code) WHERE obj <= u GROUP BY code, obj)"
+    return f"{out} SELECT cast(obj AS bigint) obj, cast(cnt AS bigint) cnt FROM h0"
+
+
+# Conjunctions asked for in a list: of every row three and two of its values, and one that no row meets.
+REQUESTED = f"""WITH v AS ({DUCK["li_score"]}),
+    wanted AS (
+        SELECT DISTINCT f0, f4, f7, NULL::int f1, NULL::int f9 FROM v UNION ALL SELECT DISTINCT NULL, NULL, NULL, f1, f9 FROM v)
+    SELECT CASE WHEN w.f0 IS NULL THEN (2 + w.f1) || ',' || (18 + w.f9) ELSE w.f0 || ',' || (8 + w.f4) || ',' || (14 + w.f7) END itemset,
+        count(*) n, cast(sum(y) AS bigint) p
+    FROM wanted w JOIN v ON (w.f0 IS NULL OR (v.f0 = w.f0 AND v.f4 = w.f4 AND v.f7 = w.f7))
+        AND (w.f1 IS NULL OR (v.f1 = w.f1 AND v.f9 = w.f9)) GROUP BY ALL
+    UNION ALL SELECT '0,1', 0, 0"""
+
 # -- bootstraps -----------------------------------------------------------------
 
 
@@ -465,6 +516,10 @@ ORACLES: dict[str, str] = {
     "root_histogram_user_budget": small_set(bound="(SELECT n // 5 FROM s0)") + HISTOGRAM,
     "root_histogram_d3": depth3_histogram("ref AS (SELECT * FROM la)"),
     "root_histogram_d3_exact": depth3_histogram("ref AS (SELECT * FROM x3root)"),
+    "root_histogram_d4_exact": exact_set("ord_score", 0.01, 4, 0.03),
+    "root_histogram_d4_requested": exact_set("ord_score", 0.01, 4, 0.03),
+    "root_histogram_d3_requested": depth3_histogram("ref AS (SELECT * FROM la)"),
+    "requested_counts": REQUESTED,
     "count_trees": f"{SMALL} SELECT count(*) cnt FROM tree",
     "count_leq": f"{SMALL} SELECT count(*) cnt FROM tree, s0 WHERE obj <= n // 5",
     "min_objective": f"{SMALL} SELECT min(obj) obj FROM tree",

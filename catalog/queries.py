@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from grovelight import binary_table, fit, subtractive_reliance
 from grovelight.functions.columns import leaf_objective
-from grovelight.operators import counts, patterns, proxies
+from grovelight.operators import counts, patterns, proxies, requests
 from grovelight.plans.model import Options, penalty, subproblem_levels
 from grovelight.plans.storage import cut
 
@@ -412,6 +412,34 @@ def reliance_cdf(spark, sf_dir):
     return reliance(spark, sf_dir).cdf.selectExpr("var", "round(x, 9) AS x", "round(p, 9) AS p")
 
 
+# -- subproblems on request ------------------------------------------------------
+
+
+def requested_counts(spark, sf_dir):
+    """Counts of listed conjunctions alone, among them one that no row meets."""
+    rows = views.load(spark, sf_dir, "li_score")
+    listed = rows.selectExpr("inline(array(struct(array(f0, 8 + f4, 14 + f7) AS itemset), struct(array(2 + f1, 18 + f9) AS itemset)))")
+    listed = listed.distinct().unionByName(spark.sql("SELECT array(0, 1) itemset"))
+    table, _ = compacted(spark, sf_dir, "li_score")
+    return requests.requested_counts(table, listed, 3, views.FEATURES["li_score"]).selectExpr(KEY, "n", "p")
+
+
+def root_histogram_d4_exact(spark, sf_dir):
+    found = model(spark, sf_dir, lambda_reg=0.01, depth_budget=4, rashomon_mult=0.03, lookahead_k=3)
+    return found.root_histogram().selectExpr("obj", "cast(cnt AS bigint) cnt")
+
+
+def root_histogram_d4_requested(spark, sf_dir):
+    """The same set, found by counting only what its budgets can reach."""
+    found = model(spark, sf_dir, lambda_reg=0.01, depth_budget=4, rashomon_mult=0.03, lookahead_k=3, search="lazy")
+    return found.root_histogram().selectExpr("obj", "cast(cnt AS bigint) cnt")
+
+
+def root_histogram_d3_requested(spark, sf_dir):
+    """Estimates follow the chosen splits only; the set is that of the eager search."""
+    return depth3(spark, sf_dir, search="lazy").root_histogram().selectExpr("obj", "cast(cnt AS bigint) cnt")
+
+
 # -- approximate regime: no closed SQL form, checked against a small model in tests --
 
 
@@ -462,6 +490,10 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         root_histogram_user_budget,
         root_histogram_d3,
         root_histogram_d3_exact,
+        root_histogram_d3_requested,
+        root_histogram_d4_exact,
+        root_histogram_d4_requested,
+        requested_counts,
         count_trees,
         count_leq,
         min_objective,

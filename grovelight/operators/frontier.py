@@ -9,13 +9,11 @@ from pyspark.sql import DataFrame
 from ..functions.columns import names, sql
 
 
-def frontier_scores(nodes: DataFrame, estimates: DataFrame, depth: int, keys: Sequence[str] = ()) -> DataFrame:
-    """``(tree_id, node_no, depth, score)`` of internal nodes, in preorder.
+def members(nodes: DataFrame, depth: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``(tree_id, node_no, depth, itemset)``: the frontier of every internal node, in preorder.
 
     The frontier of a node is both its children and the siblings along its path;
-    every member has ``depth - size`` levels left and members below zero are left
-    out, as are nodes under a node without levels left.  ``estimates`` maps
-    itemsets to the lookahead-1 estimate.
+    nodes deeper than ``depth`` are left out.
     """
     code = "cast(2 * (abs(s) - 1) + if(s > 0, 1, 0) AS int)"
     tree = names(keys, "tree_id")
@@ -29,11 +27,23 @@ def frontier_scores(nodes: DataFrame, estimates: DataFrame, depth: int, keys: Se
             SELECT {tree}, node_no, depth, explode(concat(
                 transform(prefix, (x, i) -> array_append(slice(prefix, 1, i), -x)),
                 array(array_append(prefix, feature + 1), array_append(prefix, -(feature + 1))))) path
-            FROM internal),
-        keyed AS (SELECT {tree}, node_no, depth, array_sort(transform(path, s -> {code})) itemset FROM member)
-        SELECT {tree}, node_no, depth, cast(coalesce(sum(v1), 0) AS bigint) score
-        FROM keyed LEFT JOIN {{estimates}} USING ({names(keys, "itemset")})
-        GROUP BY {tree}, node_no, depth""",
+            FROM internal)
+        SELECT {tree}, node_no, depth, array_sort(transform(path, s -> {code})) itemset FROM member""",
         nodes=nodes,
+    )
+
+
+def frontier_scores(nodes: DataFrame, estimates: DataFrame, depth: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``(tree_id, node_no, depth, score)`` of internal nodes, in preorder.
+
+    Every member of a node's frontier has ``depth - size`` levels left and members below
+    zero count nothing.  ``estimates`` maps itemsets to the lookahead-1 estimate.
+    """
+    tree = names(keys, "tree_id")
+    return sql(
+        f"""SELECT {tree}, node_no, depth, cast(coalesce(sum(v1), 0) AS bigint) score
+        FROM {{keyed}} LEFT JOIN {{estimates}} USING ({names(keys, "itemset")})
+        GROUP BY {tree}, node_no, depth""",
+        keyed=members(nodes, depth, keys),
         estimates=estimates,
     )

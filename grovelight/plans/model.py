@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -10,8 +11,8 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import COUNT, objective_bound, quoted, sql
-from ..operators import frontier, histogram, predict, trees, trie
+from ..functions.columns import COUNT, leaf_objective, objective_bound, quoted, sql
+from ..operators import frontier, histogram, predict, requests, trees, trie
 from ..operators.counts import itemset_counts
 from ..operators.patterns import Totals, compact, packed_rows, pattern_totals, spread, words
 from ..operators.proxies import ProxyRule, base_level, parent_splits, settle_estimates
@@ -19,6 +20,10 @@ from ..sources.tables import check_columns
 from .storage import cut
 
 
+#: Conjunctions up to the depth from which subproblems are counted on request.
+LAZY_FROM = 2_000_000
+
+
 @dataclass(frozen=True)
 class Options:
     """Parameters that change the answer."""
@@ -35,6 +40,7 @@ class Options:
     majority_leaf_only: bool = False
     greedy_split_mode: int = 1
     num_proxy_features: int = 0
+    search: str = "auto"  # how the set is found: "eager", "lazy", or by the number of conjunctions; never what it holds
 
     def __post_init__(self) -> None:
         if self.depth_budget < 0:
@@ -43,6 +49,14 @@ class Options:
             raise ValueError("oracle_style is one of 0, 1, 2, 3")
         if self.greedy_split_mode not in (0, 1, 2):
             raise ValueError("greedy_split_mode is one of 0, 1, 2")
+        if self.search not in ("auto", "eager", "lazy"):
+            raise ValueError("search is one of auto, eager, lazy")
+
+    def lazy(self, n_features: int) -> bool:
+        """Whether subproblems are counted on request instead of all at once."""
+        if self.search != "auto":
+            return self.search == "lazy"
+        return sum(math.comb(n_features, s) << s for s in range(min(self.depth_budget, n_features) + 1)) > LAZY_FROM
 
     @property
     def allocation(self) -> str:
@@ -95,6 +109,52 @@ def subproblem_levels(
     return levels
 
 
+def root_budget(options: Options, rule: ProxyRule) -> str:
+    """The bound of the whole problem, as SQL over its estimates."""
+    if options.root_budget is not None and options.root_budget >= 0:
+        return f"{int(options.root_budget)}L"
+    return objective_bound(rule.reference(), options.rashomon_mult, options.multiplicative_slack)
+
+
+def whole_problem(members: DataFrame) -> DataFrame:
+    """Requests with the counts of their members."""
+    return members.groupBy("itemset").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+
+
+def requested_levels(patterns: DataFrame, totals: Totals, rule: ProxyRule, options: Options) -> dict[int, Level]:
+    """The subproblems that some budget can reach, by itemset size; others are never counted.
+
+    The root has the bound as its budget.  A side of a split can get at most what the other
+    side surely costs leaves over: its estimate where that is exact or is charged anyway, else
+    the errors that no tree avoids.  So every subproblem has a greatest budget, and only
+    splits that fit into it are followed.
+    """
+    deepest = min(rule.depth, rule.n_features)
+    members = requests.whole(patterns, rule.n_features)
+    top = cut(whole_problem(members), "root")
+    reference = requests.estimate(rule.reference(), top, members, rule.depth, rule)
+    leaf = leaf_objective("n", "p", rule.lam_n)
+    root = top.join(reference, "itemset").selectExpr("itemset", "n", "p", f"{leaf} AS leaf", f"value AS {rule.reference()}")
+    levels = {0: Level(cut(root, "level0"))}
+    wanted = levels[0].estimates.selectExpr("itemset", "n", "p", f"{root_budget(options, rule)} AS budget")
+    for size in range(deepest):
+        depth_left = rule.depth - size
+        splits = cut(requests.affordable_splits(wanted, members, depth_left, rule, options.allocation), f"level{size}")
+        levels[size] = Level(levels[size].estimates, splits.select("itemset", "feature", "n_l", "p_l", "v_l", "n_r", "p_r", "v_r"))
+        # an estimate that is exact, or that the other side is charged anyway, bounds the budget closer
+        exact = depth_left - 1 <= rule.exact_below() or options.allocation != trie.MULTIPASS
+        least = [f"v_{s}" if exact else f"(e_{s} + {rule.lam_n}L)" for s in ("l", "r")]
+        wanted = cut(requests.children(splits, f"budget - {least[1]}", f"budget - {least[0]}"), f"requests{size + 1}")
+        if size + 1 < deepest:
+            members = cut(requests.members_of(wanted.where(f"budget >= {max(2 * rule.lam_n, 0)}L"), members, rule.n_features), f"members{size + 1}")
+        own = splits.selectExpr("inline(array(struct(left_itemset AS itemset, v_l AS value), struct(right_itemset AS itemset, v_r AS value)))")
+        own = own.groupBy("itemset").agg(F.max("value").alias("value"))
+        name = rule.admission(depth_left)
+        kept = ["itemset", "n", "p", f"{leaf} AS leaf", *([f"value AS {name}"] if name != "leaf" else [])]
+        levels[size + 1] = Level(cut(wanted.join(own, "itemset").selectExpr(*kept), f"estimates{size + 1}"))
+    return levels
+
+
 @dataclass
 class NearOptimalSet:
     """Level tables of the set: admitted splits and frontier nodes.
@@ -116,11 +176,7 @@ class NearOptimalSet:
 
     def roots(self) -> DataFrame:
         """The whole problem with its objective bound."""
-        o = self.options
-        if o.root_budget is not None and o.root_budget >= 0:
-            bound = f"{int(o.root_budget)}L"
-        else:
-            bound = objective_bound(self.rule.reference(), o.rashomon_mult, o.multiplicative_slack)
+        bound = root_budget(self.options, self.rule)
         return self.levels[0].estimates.selectExpr(*self.keys, "itemset", f"{bound} AS budget", "n", "p")
 
     def child_steps(self) -> dict[int, DataFrame | None]:
@@ -194,9 +250,12 @@ class RashomonModel:
         self.n_rows = totals.rows
         self.patterns = patterns
         self.rule = options.rule(self.n_rows, len(self.features))
-        self.levels = subproblem_levels(patterns, totals, self.rule)
+        self.lazy = options.lazy(len(self.features))
+        if self.lazy:
+            self.levels = requested_levels(patterns, totals, self.rule, options)
+        else:
+            self.levels = subproblem_levels(patterns, totals, self.rule)
         self.set = NearOptimalSet(options, self.rule, self.levels).build()
-        self._levels_at = {self.rule.depth: self.levels}
 
     # -- the set as a whole -------------------------------------------------
 
@@ -446,24 +505,56 @@ class RashomonModel:
 
     # -- estimates on demand --------------------------------------------------
 
-    def levels_at(self, depth: int) -> dict[int, Level]:
-        """Subproblem tables for another depth budget, kept for reuse."""
-        if depth not in self._levels_at:
-            rule = self.options.rule(self.n_rows, len(self.features), depth)
-            self._levels_at[depth] = subproblem_levels(self.patterns, self.totals, rule)
-        return self._levels_at[depth]
+    def subproblems(self) -> DataFrame:
+        """``(size, subproblems, splits)``: how many are stored per number of conditions."""
+        parts = []
+        for size, level in self.levels.items():
+            parts.append(level.estimates.selectExpr(f"{size} AS size", "1L AS subproblem", "0L AS split"))
+            if level.splits is not None:
+                parts.append(level.splits.selectExpr(f"{size} AS size", "0L AS subproblem", "1L AS split"))
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.groupBy("size").agg(F.sum("subproblem").alias("subproblems"), F.sum("split").alias("splits"))
+
+    def itemset_counts(self, itemsets: DataFrame) -> DataFrame:
+        """``(itemset, n, p)`` of listed conjunctions (sorted literals ``2 * feature + value``), counted on request."""
+        longest = itemsets.agg(F.max(F.size("itemset"))).first()[0] or 0
+        return requests.requested_counts(self.patterns, itemsets, longest, len(self.features))
+
+    def estimates_at(self, itemsets: DataFrame, depth: int, kind: str = "v1") -> DataFrame:
+        """``(itemset, value)`` of listed conjunctions in a tree of another depth, counted on request.
+
+        Conjunctions longer than ``depth`` or without rows are left out.
+        """
+        rule = self.options.rule(self.n_rows, len(self.features), depth)
+        matched = predict.match_itemsets(self.patterns, itemsets.distinct(), depth, len(self.features), carried=["n", "p"])
+        members = cut(matched, "members")
+        parts = []
+        sizes = members.select(F.size("itemset").alias("size")).distinct().collect()  # at most depth + 1
+        for size in sorted(r["size"] for r in sizes if r["size"] <= depth):
+            own = members.where(F.size("itemset") == size)
+            wanted = cut(whole_problem(own), "requests")
+            parts.append(requests.estimate(kind, wanted, own, depth - size, rule))
+        return reduce(DataFrame.unionByName, parts) if parts else members.selectExpr("itemset", "n AS value")
 
     def root_lookahead(self, depth: int) -> DataFrame:
         """Lookahead-1 estimate of the whole problem at a given depth."""
-        return self.levels_at(depth)[0].estimates.selectExpr("v1 AS obj")
+        if depth == self.rule.depth and not self.lazy:
+            return self.levels[0].estimates.selectExpr("v1 AS obj")
+        root = self.levels[0].estimates.select("itemset")
+        return self.estimates_at(root, depth).selectExpr("value AS obj")
 
     def frontier_scores(
         self, depth: int, start: int = 0, stop: int | None = None, ids: Sequence[int] | None = None
     ) -> DataFrame:
         """``(tree_id, node_no, depth, score)`` for the internal nodes of trees."""
-        parts = [level.estimates.select("itemset", "v1") for level in self.levels_at(depth).values()]
-        estimates = reduce(DataFrame.unionByName, parts)
-        return frontier.frontier_scores(trees.tree_nodes(self.tree_leaves(start, stop, ids=ids)), estimates, depth)
+        nodes = trees.tree_nodes(self.tree_leaves(start, stop, ids=ids))
+        if depth == self.rule.depth and not self.lazy:
+            parts = [level.estimates.select("itemset", "v1") for level in self.levels.values()]
+            return frontier.frontier_scores(nodes, reduce(DataFrame.unionByName, parts), depth)
+        nodes = cut(nodes, "nodes")
+        wanted = cut(frontier.members(nodes, depth).select("itemset").distinct(), "wanted")
+        estimates = cut(self.estimates_at(wanted, depth).withColumnRenamed("value", "v1"), "estimates")
+        return frontier.frontier_scores(nodes, estimates, depth)
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, **options) -> RashomonModel:

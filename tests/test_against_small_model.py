@@ -1,9 +1,12 @@
 """The Spark search against direct enumeration, in the regimes SQL cannot state."""
 
+import math
+
 import numpy as np
 import pytest
 
 from grovelight import fit
+from grovelight.plans.model import Options
 from small_model import SmallModel
 
 
@@ -58,6 +61,27 @@ def test_set_equals_enumeration(spark, case):
     assert histogram == expected.histogram()
 
 
+@pytest.mark.parametrize("case", [0, 6, 9, 12, 15])
+def test_requested_subproblems_find_the_same_set(spark, case):
+    depth, k, style, options, model_options = CASES[case]
+    df, names, rows, labels = table(spark, 11 + case, 90, 5, kind="parity" if case % 2 else "mixed")
+    expected = SmallModel(rows, labels, lam=0.03, depth=depth, mult=0.12, k=k, style=style, **model_options)
+    chosen = {"lambda_reg": 0.03, "depth_budget": depth, "rashomon_mult": 0.12, "lookahead_k": k, "oracle_style": style} | options
+    got = fit(df, names, "y", search="lazy", **chosen)
+    assert got.bound().first() == (expected.reference, expected.bound)
+    assert [(r["obj"], int(r["cnt"])) for r in got.root_histogram().collect()] == expected.histogram()
+    stored = {r["size"]: r["subproblems"] for r in got.subproblems().collect()}
+    everything = {s: math.comb(5, s) << s for s in stored}
+    assert stored[0] == 1 and all(stored[s] <= everything[s] for s in stored) and sum(stored.values()) < sum(everything.values())
+
+
+def test_wide_tables_are_searched_on_request():
+    assert not Options(depth_budget=5).lazy(20) and Options(depth_budget=5).lazy(50)
+    assert Options(depth_budget=2, search="lazy").lazy(3) and not Options(depth_budget=5, search="eager").lazy(50)
+    with pytest.raises(ValueError):
+        Options(search="both")
+
+
 def test_rank_order_and_paths(spark):
     df, names, rows, labels = table(spark, 5, 120, 5)
     expected = SmallModel(rows, labels, lam=0.03, depth=4, mult=0.2)
