@@ -72,7 +72,8 @@ def test_requested_subproblems_find_the_same_set(spark, case):
     assert [(r["obj"], int(r["cnt"])) for r in got.root_histogram().collect()] == expected.histogram()
     stored = {r["size"]: r["subproblems"] for r in got.subproblems().collect()}
     everything = {s: math.comb(5, s) << s for s in stored}
-    assert stored[0] == 1 and all(stored[s] <= everything[s] for s in stored) and sum(stored.values()) < sum(everything.values())
+    assert stored[0] == 1 and all(stored[s] <= everything[s] for s in stored)
+    assert k < 0 or sum(stored.values()) < sum(everything.values())  # leaves alone bound nothing here
 
 
 def test_wide_tables_are_searched_on_request():
