@@ -20,15 +20,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     Rows are whole texts: the default of 64 MB, held several times by either side, is more
     than a small executor has.
     """
+    find_package(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES) in ("67108864", "67108864b", "64MB", "64m"):
         conf.set(BATCH_BYTES, "8m")
     return df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers find this package also where it is not installed
+def find_package(spark: SparkSession) -> None:
+    """Python workers find this package also where it is not installed.
+
+    Set before the first of them starts: workers of another environment are other processes,
+    and those of before stay in memory beside them for a while.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
