@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
@@ -103,9 +104,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ranks = merge_ranks(self.tokenizer)
         self.pieces = None
@@ -113,11 +112,18 @@ class Encoder:
             import tiktoken
 
             self.pieces = tiktoken.Encoding("pretokens", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+            del self.tokenizer  # loaded again if a text needs it
         self.known: dict[int, int] = {}
         self.lens = np.zeros(0, dtype=np.int32)
         self.begin = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype=np.uint32)
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
