@@ -28,12 +28,15 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def find_package(spark: SparkSession) -> None:
-    """Python workers find this package also where it is not installed.
+    """Python workers find this package also where it is not installed, and give back memory they have freed.
 
     Set before the first of them starts: workers of another environment are other processes,
     and those of before stay in memory beside them for a while.
     """
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    settings = {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1"}
+    settings |= {"MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(8 << 20)}
+    for name, value in settings.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

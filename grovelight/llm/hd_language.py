@@ -122,8 +122,8 @@ def bundles(data: np.ndarray, offs: np.ndarray, dimensions: int) -> tuple[np.nda
     return out, has
 
 
-def _row_chunks(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for lo, hi, data, offs in chunks(column, 1 << 20):
+def _row_chunks(column: pa.Array, rows: int = 128) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for lo, hi, data, offs in chunks(column):
         for a in range(lo, hi, rows):
             b = min(hi, a + rows)
             yield a, b, data[offs[a - lo] : offs[b - lo]], offs[a - lo : b - lo + 1] - offs[a - lo]
