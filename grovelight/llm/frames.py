@@ -15,7 +15,7 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches are at most 4 MB unless it set a size itself.
+    """``df``, in a session whose Arrow batches are at most 2 MB unless it set a size itself.
 
     Rows are whole texts: the default of 64 MB, held several times by either side, is more
     than a small executor has.
@@ -23,7 +23,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     find_package(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES) in ("67108864", "67108864b", "64MB", "64m"):
-        conf.set(BATCH_BYTES, "4m")
+        conf.set(BATCH_BYTES, "2m")
     return df
 
 

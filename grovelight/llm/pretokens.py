@@ -27,7 +27,7 @@ _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 #: What follows an apostrophe in the pretokens of byte-level BPE, in the order they are tried.
 _CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: Pretokens whose ids a worker keeps.
-KEPT = 400_000
+KEPT = 100_000
 
 _classes: list[np.ndarray] = []
 
