@@ -528,6 +528,11 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT itemset, budget, o.g, count(*) FROM nodes JOIN opt1 o ON itemset = {items("o.f o.v")}
         WHERE size = 1 AND o.g >= 0 AND o.obj <= budget GROUP BY ALL""",
+    "saved_trees_per_split": f"""{SMALL}{NODES}
+        SELECT '' itemset, bound budget, f feature, count(*) cnt FROM tree JOIN bd USING (b) WHERE f >= 0 GROUP BY ALL
+        UNION ALL
+        SELECT itemset, budget, o.g, count(*) FROM nodes JOIN opt1 o ON itemset = {items("o.f o.v")}
+        WHERE size = 1 AND o.g >= 0 AND o.obj <= budget GROUP BY ALL""",
     "tree_objectives": f"{SMALL} SELECT tree_id, obj, round(obj / n, 9) obj_norm FROM tree, s0",
     "tree_leaves": f"{SMALL_LEAVES} SELECT tree_id, leaf_no, itemset, prediction, loss FROM tleaf",
     "tree_paths": f"{SMALL_LEAVES} SELECT tree_id, leaf_no, path, prediction FROM tleaf",
@@ -540,6 +545,15 @@ ORACLES: dict[str, str] = {
     ),
     "predict_tree": f"{SMALL_LEAVES}{COVER} SELECT row_id, prediction FROM predicted WHERE tree_id = 20",
     "predict_all": f"{SMALL_LEAVES}{COVER} SELECT tree_id, row_id, prediction FROM predicted",
+    "predict_packed": f"""{SMALL_LEAVES}{COVER},
+        placed AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 pos FROM ({DUCK["ord_score"]}) v),
+        bytes AS (SELECT tree_id, pos // 32768 block, pos % 32768 // 8 AS place, cast(sum(prediction << (pos % 8)) AS bigint) v
+            FROM predicted JOIN placed USING (row_id) GROUP BY ALL),
+        grid AS (SELECT tree_id, obj, block, place
+            FROM tree, (SELECT DISTINCT pos // 32768 block FROM placed), (SELECT unnest(range(4096)) AS place))
+        SELECT tree_id, obj, block, cast(sum(bit_count(coalesce(v, 0))) AS bigint) ones,
+            md5(string_agg(printf('%02X', coalesce(v, 0)), '' ORDER BY place)) digest
+        FROM grid LEFT JOIN bytes USING (tree_id, block, place) GROUP BY tree_id, obj, block""",
     "predict_up_to_objective": f"""{SMALL_LEAVES}{COVER} SELECT tree_id, obj, row_id, prediction
         FROM predicted JOIN tree USING (tree_id), lam WHERE obj <= (SELECT min(obj) FROM tree) + k""",
     "majority_vote": f"""{SMALL_LEAVES}{COVER} SELECT row_id, round(avg(prediction), 9) share,
@@ -581,6 +595,7 @@ INTEGERS = {
     "budgets_singlepass": "feature",
     "budgets_multipass": "feature",
     "trees_per_split": "feature",
+    "saved_trees_per_split": "feature",
     "tree_nodes": "depth feature",
     "frontier_scores": "depth",
     "root_lookahead": "depth",

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from grovelight import binary_table, fit, subtractive_reliance
+from grovelight import binary_table, fit, load, subtractive_reliance
 from grovelight.functions.columns import leaf_objective
 from grovelight.operators import counts, patterns, proxies, requests
 from grovelight.plans.model import Options, penalty, subproblem_levels
-from grovelight.plans.storage import cut
+from grovelight.plans.storage import cut, work_dir
 
 from . import views
 
@@ -352,6 +353,18 @@ def predict_all(spark, sf_dir):
     return small(spark, sf_dir).predict_all(rows, "row_id").select("tree_id", "row_id", "prediction")
 
 
+def predict_packed(spark, sf_dir):
+    packed = small(spark, sf_dir).predict_packed(views.load(spark, sf_dir, "ord_score"), "row_id")
+    return packed.bits.selectExpr("tree_id", "obj", "block", "bitmap_count(bits) AS ones", "md5(hex(bits)) AS digest")
+
+
+def saved_trees_per_split(spark, sf_dir):
+    """The set is read back from what was saved; the answers come from there."""
+    path = f"{work_dir(spark)}/grovelight-saved-{uuid.uuid4().hex}"
+    small(spark, sf_dir).save(path)
+    return load(spark, path).trees_per_split().selectExpr(KEY, "budget", "feature", "cast(cnt AS bigint) cnt")
+
+
 def predict_up_to_objective(spark, sf_dir):
     """Trees within one penalty of the best."""
     found = small(spark, sf_dir)
@@ -507,6 +520,8 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         root_lookahead,
         predict_tree,
         predict_all,
+        predict_packed,
+        saved_trees_per_split,
         predict_up_to_objective,
         majority_vote,
         majority_vote_divided,

@@ -106,3 +106,40 @@ def used_leaves(context: DataFrame, leaves: DataFrame) -> DataFrame:
         context=context,
         leaves=leaves,
     )
+
+
+#: Rows of one block of packed predictions: what one bitmap of Spark's aggregates holds.
+BLOCK_ROWS = 1 << 15
+
+
+def leaf_bitmaps(rows: DataFrame, covered: DataFrame, n_features: int) -> DataFrame:
+    """``(itemset, block, bits)``: which rows of a block meet an itemset; bit ``i`` of a
+    bitmap is in byte ``i div 8``, lowest first.
+
+    ``rows`` has ``(block, bit, words)``.  Partial bitmaps are made before the shuffle.
+    """
+    return sql(
+        f"""SELECT itemset, block, bitmap_construct_agg(cast(bit AS bigint)) bits
+        FROM {{rows}} JOIN {{covered}} USING ({names((), *words(n_features))}) GROUP BY itemset, block""",
+        rows=rows,
+        covered=covered,
+    )
+
+
+def tree_bitmaps(leaves: DataFrame, bitmaps: DataFrame, objs: DataFrame, blocks: int) -> DataFrame:
+    """``(tree_id, obj, block, bits)``: rows that a tree predicts 1 for.
+
+    A row is in one leaf of a tree, so a tree's bitmap is the union of those of its
+    leaves that say 1, and a tree without such leaves has empty ones.
+    """
+    return sql(
+        f"""SELECT tree_id, obj, block, bitmap_or_agg(bits) bits FROM (
+            SELECT tree_id, block, bits FROM {{bitmaps}} JOIN (SELECT tree_id, itemset FROM {{leaves}} WHERE prediction = 1) USING (itemset)
+            UNION ALL
+            SELECT tree_id, explode(sequence(0L, {blocks - 1}L)) block, cast(NULL AS binary) bits FROM {{objs}})
+        JOIN (SELECT tree_id, obj FROM {{objs}}) USING (tree_id)
+        GROUP BY tree_id, obj, block""",
+        bitmaps=bitmaps,
+        leaves=leaves,
+        objs=objs,
+    )

@@ -18,7 +18,7 @@ from ..operators.patterns import compact, packed_rows, pattern_totals
 from ..operators.predict import itemset_weights
 from ..sources.tables import check_columns
 from .model import NearOptimalSet, Options, subproblem_levels
-from .storage import cut
+from .storage import Folder
 
 
 def variable_columns(n_features: int, binning_map: Mapping[int, Sequence[int]] | None) -> tuple[list[int], list[list[int]]]:
@@ -45,6 +45,11 @@ class Importance:
     sample: DataFrame  # (b, i, words, y)
     permuted: DataFrame  # (b, var, words, n, p)
     near_optimal: NearOptimalSet
+    folder: Folder
+
+    def close(self) -> None:
+        """Remove the working tables; none of the tables can be read afterwards."""
+        self.folder.remove()
 
 
 def subtractive_reliance(
@@ -72,11 +77,14 @@ def subtractive_reliance(
     if row_id is None:
         df, row_id = df.withColumn("_gl_id", F.monotonically_increasing_id()), "_gl_id"
     rows = packed_rows(df, features, label, keep=[row_id]).withColumnRenamed(row_id, "_gl_id")
+    spark = df.sparkSession
+    folder = Folder(spark)
+    cut = folder.cut
     ranged = cut(resample.ranged_rows(rows, "_gl_id"), "ranged")
     n_rows = ranged.count()
     if n_rows == 0:
+        folder.remove()
         raise ValueError("no rows")
-    spark = df.sparkSession
 
     draws = resample.bootstrap_draws(spark, n_rows, n_boot, seed)
     positioned = resample.dense_positions(ranged, "_gl_id")
@@ -87,8 +95,8 @@ def subtractive_reliance(
         lambda_reg=lambda_reg, depth_budget=depth_budget, rashomon_mult=rashomon_mult, lookahead_k=lookahead_k
     )
     rule = options.rule(n_rows, n_features)
-    levels = subproblem_levels(patterns, pattern_totals(patterns, n_features), rule, ["b"])
-    found = NearOptimalSet(options, rule, levels, ("b",)).build()
+    levels = subproblem_levels(patterns, pattern_totals(patterns, n_features), rule, ["b"], cut)
+    found = NearOptimalSet(options, rule, levels, ("b",), cut).build()
 
     ranks = resample.shuffle_ranks(sample, len(variables), n_rows, n_features, seed)
     permuted = cut(resample.permuted_patterns(sample, ranks, columns, n_features), "permuted")
@@ -116,6 +124,7 @@ def subtractive_reliance(
         sample=sample,
         permuted=permuted,
         near_optimal=found,
+        folder=folder,
     )
 
 
@@ -133,5 +142,5 @@ def reliance_histogram(found: NearOptimalSet, deltas: DataFrame, n_vars: int) ->
         )
         splits = found.splits.get(size)
         splits = None if splits is None else splits.selectExpr("*", each)
-        below = cut(histogram.fold_level(leaves, splits, below, keys, ["delta"]), f"reliance{size}")
+        below = found.store(histogram.fold_level(leaves, splits, below, keys, ["delta"]), f"reliance{size}")
     return below.select("b", "var", "obj", "delta", "cnt")

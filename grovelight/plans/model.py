@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import COUNT, leaf_objective, objective_bound, quoted, sql
-from ..operators import frontier, histogram, predict, requests, trees, trie
+from ..operators import frontier, histogram, predict, requests, resample, trees, trie
 from ..operators.counts import itemset_counts
 from ..operators.patterns import Totals, compact, packed_rows, pattern_totals, spread, words
 from ..operators.proxies import ProxyRule, base_level, parent_splits, settle_estimates
 from ..sources.tables import check_columns
-from .storage import cut
+from . import saved
+from .storage import Folder, cut
 
 
+#: Writes a table under a name and returns its scan.
+Store = Callable[[DataFrame, str], DataFrame]
+
 #: Conjunctions up to the depth from which subproblems are counted on request.
 LAZY_FROM = 2_000_000
 
@@ -85,14 +89,17 @@ def penalty(lam: float, n_rows: int) -> int:
 
 @dataclass(frozen=True)
 class Level:
-    """Subproblems of one itemset size: their estimates and all their splits."""
+    """Subproblems of one itemset size: their estimates and all their splits.
+
+    Both are None below the root of a set that was read back.
+    """
 
-    estimates: DataFrame
+    estimates: DataFrame | None
     splits: DataFrame | None = None
 
 
 def subproblem_levels(
-    patterns: DataFrame, totals: Totals, rule: ProxyRule, keys: Sequence[str] = ()
+    patterns: DataFrame, totals: Totals, rule: ProxyRule, keys: Sequence[str] = (), store: Store = cut
 ) -> dict[int, Level]:
     """All subproblems by itemset size, deepest first."""
     deepest = min(rule.depth, rule.n_features)
@@ -101,10 +108,10 @@ def subproblem_levels(
     # the deepest level is the largest table and is read once, so it is not stored
     levels = {deepest: Level(base_level(counts, rule, keys))}
     if deepest == 0:
-        levels[0] = Level(cut(levels[0].estimates, "level0"))
+        levels[0] = Level(store(levels[0].estimates, "level0"))
     for size in range(deepest - 1, -1, -1):
         depth_left = rule.depth - size
-        splits = cut(parent_splits(levels[size + 1].estimates, depth_left, rule, keys), f"level{size}")
+        splits = store(parent_splits(levels[size + 1].estimates, depth_left, rule, keys), f"level{size}")
         levels[size] = Level(settle_estimates(splits, depth_left, rule, keys), splits)
     return levels
 
@@ -121,7 +128,9 @@ def whole_problem(members: DataFrame) -> DataFrame:
     return members.groupBy("itemset").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
 
 
-def requested_levels(patterns: DataFrame, totals: Totals, rule: ProxyRule, options: Options) -> dict[int, Level]:
+def requested_levels(
+    patterns: DataFrame, totals: Totals, rule: ProxyRule, options: Options, store: Store = cut
+) -> dict[int, Level]:
     """The subproblems that some budget can reach, by itemset size; others are never counted.
 
     The root has the bound as its budget.  A side of a split can get at most what the other
@@ -131,27 +140,27 @@ def requested_levels(patterns: DataFrame, totals: Totals, rule: ProxyRule, optio
     """
     deepest = min(rule.depth, rule.n_features)
     members = requests.whole(patterns, rule.n_features)
-    top = cut(whole_problem(members), "root")
+    top = store(whole_problem(members), "root")
     reference = requests.estimate(rule.reference(), top, members, rule.depth, rule)
     leaf = leaf_objective("n", "p", rule.lam_n)
     root = top.join(reference, "itemset").selectExpr("itemset", "n", "p", f"{leaf} AS leaf", f"value AS {rule.reference()}")
-    levels = {0: Level(cut(root, "level0"))}
+    levels = {0: Level(store(root, "level0"))}
     wanted = levels[0].estimates.selectExpr("itemset", "n", "p", f"{root_budget(options, rule)} AS budget")
     for size in range(deepest):
         depth_left = rule.depth - size
-        splits = cut(requests.affordable_splits(wanted, members, depth_left, rule, options.allocation), f"level{size}")
+        splits = store(requests.affordable_splits(wanted, members, depth_left, rule, options.allocation), f"level{size}")
         levels[size] = Level(levels[size].estimates, splits.select("itemset", "feature", "n_l", "p_l", "v_l", "n_r", "p_r", "v_r"))
         # an estimate that is exact, or that the other side is charged anyway, bounds the budget closer
         exact = depth_left - 1 <= rule.exact_below() or options.allocation != trie.MULTIPASS
         least = [f"v_{s}" if exact else f"(e_{s} + {rule.lam_n}L)" for s in ("l", "r")]
-        wanted = cut(requests.children(splits, f"budget - {least[1]}", f"budget - {least[0]}"), f"requests{size + 1}")
+        wanted = store(requests.children(splits, f"budget - {least[1]}", f"budget - {least[0]}"), f"requests{size + 1}")
         if size + 1 < deepest:
-            members = cut(requests.members_of(wanted.where(f"budget >= {max(2 * rule.lam_n, 0)}L"), members, rule.n_features), f"members{size + 1}")
+            members = store(requests.members_of(wanted.where(f"budget >= {max(2 * rule.lam_n, 0)}L"), members, rule.n_features), f"members{size + 1}")
         own = splits.selectExpr("inline(array(struct(left_itemset AS itemset, v_l AS value), struct(right_itemset AS itemset, v_r AS value)))")
         own = own.groupBy("itemset").agg(F.max("value").alias("value"))
         name = rule.admission(depth_left)
         kept = ["itemset", "n", "p", f"{leaf} AS leaf", *([f"value AS {name}"] if name != "leaf" else [])]
-        levels[size + 1] = Level(cut(wanted.join(own, "itemset").selectExpr(*kept), f"estimates{size + 1}"))
+        levels[size + 1] = Level(store(wanted.join(own, "itemset").selectExpr(*kept), f"estimates{size + 1}"))
     return levels
 
 
@@ -167,6 +176,7 @@ class NearOptimalSet:
     rule: ProxyRule
     levels: dict[int, Level]
     keys: tuple[str, ...] = ()
+    store: Store = cut
     splits: dict[int, DataFrame] = field(default_factory=dict)
     frontiers: dict[int, DataFrame] = field(default_factory=dict)
 
@@ -191,7 +201,7 @@ class NearOptimalSet:
                 continue
             own = self.rule.admission(depth_left + 1)
             level = self.levels[size]
-            below = cut(trie.min_steps(level.splits, level.estimates, below, own, self.keys), f"steps{size}")
+            below = self.store(trie.min_steps(level.splits, level.estimates, below, own, self.keys), f"steps{size}")
             steps[size] = below
         return steps
 
@@ -206,7 +216,7 @@ class NearOptimalSet:
                 steps.get(size + 1),
                 self.keys,
             )
-            self.splits[size] = cut(admitted, f"splits{size}")
+            self.splits[size] = self.store(admitted, f"splits{size}")
         return self
 
     def frontier(self, size: int) -> DataFrame:
@@ -214,7 +224,7 @@ class NearOptimalSet:
         if size == 0:
             return self.roots()
         if size not in self.frontiers:
-            self.frontiers[size] = cut(trie.next_frontier(self.splits[size - 1], self.keys), f"frontier{size}")
+            self.frontiers[size] = self.store(trie.next_frontier(self.splits[size - 1], self.keys), f"frontier{size}")
         return self.frontiers[size]
 
     def leaves(self, size: int) -> DataFrame:
@@ -231,7 +241,7 @@ class NearOptimalSet:
                 leaves = leaf_measures(leaves)
             hist = histogram.fold_level(leaves, self.splits.get(size), hists.get(size + 1), self.keys, measures)
             # at the deepest level a histogram is only the leaves of its frontier
-            hists[size] = hist if size == self.deepest > 0 else cut(hist, f"hist{size}")
+            hists[size] = hist if size == self.deepest > 0 else self.store(hist, f"hist{size}")
         return hists
 
     @cached_property
@@ -239,10 +249,27 @@ class NearOptimalSet:
         return self.fold()
 
 
+@dataclass
+class PackedPredictions:
+    """Predictions of many trees on many rows, one bit each."""
+
+    rows: DataFrame  # (row id, block, bit): where a row's bit is
+    bits: DataFrame  # (tree_id, obj, block, bits): 4,096 bytes; bit i is in byte i div 8, lowest first
+
+
 class RashomonModel:
     """The fitted set of near-optimal trees and the questions one can ask it."""
 
-    def __init__(self, features: Sequence[str], label: str, options: Options, totals: Totals, patterns: DataFrame):
+    def __init__(
+        self,
+        features: Sequence[str],
+        label: str,
+        options: Options,
+        totals: Totals,
+        patterns: DataFrame,
+        folder: Folder,
+        stored: saved.Tables | None = None,
+    ):
         self.features = list(features)
         self.label = label
         self.options = options
@@ -250,12 +277,63 @@ class RashomonModel:
         self.n_rows = totals.rows
         self.patterns = patterns
         self.rule = options.rule(self.n_rows, len(self.features))
-        self.lazy = options.lazy(len(self.features))
+        self.folder = folder
+        self.stored = stored
+        # a set that is read back has its root's estimates; others are counted on request
+        self.lazy = stored is not None or options.lazy(len(self.features))
+        if stored is not None:
+            self.levels = {size: Level(stored["root"] if size == 0 else None) for size in range(self.deepest + 1)}
+            self.set = NearOptimalSet(options, self.rule, self.levels, (), folder.cut)
+            self.set.splits = {size: stored[f"splits{size}"] for size in range(self.deepest)}
+            self.set.frontiers = {size: stored[f"frontier{size}"] for size in range(1, self.deepest + 1)}
+            self.set.hists = {size: stored[f"hist{size}"] for size in range(self.deepest + 1)}
+            return
         if self.lazy:
-            self.levels = requested_levels(patterns, totals, self.rule, options)
+            self.levels = requested_levels(patterns, totals, self.rule, options, folder.cut)
         else:
-            self.levels = subproblem_levels(patterns, totals, self.rule)
-        self.set = NearOptimalSet(options, self.rule, self.levels).build()
+            self.levels = subproblem_levels(patterns, totals, self.rule, store=folder.cut)
+        self.set = NearOptimalSet(options, self.rule, self.levels, (), folder.cut).build()
+
+    @property
+    def deepest(self) -> int:
+        return min(self.rule.depth, self.rule.n_features)
+
+    # -- keeping and dropping -------------------------------------------------
+
+    def save(self, path: str) -> None:
+        """Write the set under ``path``, which must not exist, for :func:`load`.
+
+        What is kept: patterns, the root's estimates, splits and nodes of the set, and its
+        histograms; not the search's tables.  The manifest is written last, so a save that
+        was broken off is not taken for a set.
+        """
+        tables = {"patterns": self.patterns, "root": self.levels[0].estimates, "subproblems": self.subproblems()}
+        for size in range(self.deepest + 1):
+            tables[f"hist{size}"] = self.set.hists[size]
+            if size < self.deepest:
+                tables[f"splits{size}"] = self.set.splits[size]
+            if size > 0:
+                tables[f"frontier{size}"] = self.set.frontier(size)
+        about = {
+            "features": self.features,
+            "label": self.label,
+            "options": asdict(self.options),
+            "totals": asdict(self.totals),
+        }
+        saved.write(self.folder.spark, path, about, tables)
+
+    def close(self) -> None:
+        """Remove the working tables of this set and of its answers; a saved set stays.
+
+        The model and DataFrames that it returned can't be read afterwards.
+        """
+        self.folder.remove()
+
+    def __enter__(self) -> RashomonModel:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     # -- the set as a whole -------------------------------------------------
 
@@ -324,13 +402,13 @@ class RashomonModel:
             entries = trees.node_entries(leaves, splits, self.set.hists.get(size + 1))
             requests = trees.descend(requests, entries)
             if not everything:
-                requests = cut(requests, f"requests{size}")
+                requests = self.folder.cut(requests, f"requests{size}")
         return trees.number_leaves(requests)
 
     @cached_property
     def all_leaves(self) -> DataFrame:
         """Leaves of every tree, written once."""
-        return cut(self.tree_leaves(), "leaves")
+        return self.folder.cut(self.tree_leaves(), "leaves")
 
 
     def tree_paths(
@@ -400,11 +478,11 @@ class RashomonModel:
         self.check_eval(df)
         n = len(self.features)
         rows = self.rows_with_id(df, row_id)
-        leaves = cut(self.tree_leaves(start, stop, max_obj, ids), "leaves")
+        leaves = self.folder.cut(self.tree_leaves(start, stop, max_obj, ids), "leaves")
         objs = trees.ranks(self.ranges(), start, stop, max_obj, ids)
-        covered = cut(self.coverage(rows, leaves.select("itemset").distinct()), "coverage")
+        covered = self.folder.cut(self.coverage(rows, leaves.select("itemset").distinct()), "coverage")
         # trees meet patterns first; rows come last, so rows times trees is never shuffled
-        votes = cut(
+        votes = self.folder.cut(
             sql(
                 f"""SELECT {", ".join(words(n))}, tree_id, obj, prediction
                 FROM {{covered}} JOIN (
@@ -435,6 +513,37 @@ class RashomonModel:
             out=out,
         )
 
+    def predict_packed(
+        self,
+        df: DataFrame,
+        row_id: str,
+        start: int = 0,
+        stop: int | None = None,
+        max_obj: int | None = None,
+        ids: Sequence[int] | None = None,
+    ) -> PackedPredictions:
+        """Predictions of many trees as bitmaps of 32,768 rows, in the order of ``row_id``.
+
+        Rows meet leaf itemsets once; trees only unite bitmaps, so rows times trees is no
+        table.  ``row_id`` is unique and not null.  Without rows or without trees there are no bitmaps.
+        """
+        self.check_eval(df)
+        n = len(self.features)
+        ranged = self.folder.cut(resample.ranged_rows(self.rows_with_id(df, row_id), "_gl_id"), "ranged")
+        numbered = resample.dense_positions(ranged.withColumn("_gl_row", F.col("_gl_id")), "_gl_id")
+        size = predict.BLOCK_ROWS
+        placed = numbered.selectExpr("_gl_row", f"pos div {size} AS block", f"cast(pos % {size} AS int) AS bit", *words(n))
+        rows = self.folder.cut(placed, "placed")
+        n_rows = rows.count()
+        leaves = self.folder.cut(self.tree_leaves(start, stop, max_obj, ids), "leaves")
+        said = leaves.where("prediction = 1").select("itemset").distinct()
+        covered = self.folder.cut(self.coverage(rows, said), "coverage")
+        objs = trees.ranks(self.ranges(), start, stop, max_obj, ids)
+        objs = objs if n_rows else objs.limit(0)
+        bitmaps = self.folder.cut(predict.leaf_bitmaps(rows, covered, n), "bitmaps")
+        bits = predict.tree_bitmaps(leaves, bitmaps, objs, max(1, -(-n_rows // size)))
+        return PackedPredictions(rows.select("_gl_row", "block", "bit").withColumnRenamed("_gl_row", row_id), bits)
+
     def leaf_usage(self, max_obj: int | None = None) -> DataFrame:
         """``(itemset, prediction) -> cnt``: in how many trees each leaf occurs.
 
@@ -448,7 +557,7 @@ class RashomonModel:
             found.append(predict.used_leaves(context, self.set.leaves(size)))
             if size < self.set.deepest:
                 down = predict.pass_down(context, self.set.splits[size], self.set.hists[size + 1])
-                context = cut(down, f"context{size + 1}")
+                context = self.folder.cut(down, f"context{size + 1}")
         usage = reduce(DataFrame.unionByName, found)
         return sql(
             f"SELECT itemset, prediction, cast(sum(ways) AS {COUNT}) cnt FROM {{usage}} GROUP BY itemset, prediction",
@@ -467,9 +576,9 @@ class RashomonModel:
         n = len(self.features)
         key = ", ".join(words(n))
         rows = self.rows_with_id(df, row_id)
-        usage = cut(self.leaf_usage(max_obj), "usage")
+        usage = self.folder.cut(self.leaf_usage(max_obj), "usage")
         covered = self.coverage(rows, usage.select("itemset").distinct())
-        share = cut(
+        share = self.folder.cut(
             sql(
                 f"""SELECT {key}, ones, total FROM (
                     SELECT {key}, cast(sum(if(prediction = 1, cnt, 0)) AS {COUNT}) ones, cast(sum(cnt) AS {COUNT}) total
@@ -493,7 +602,7 @@ class RashomonModel:
         self.check_eval(df)
         n = len(self.features)
         patterns = compact(packed_rows(df, self.features, self.label), n)
-        leaves = cut(self.tree_leaves(start, stop), "leaves")
+        leaves = self.folder.cut(self.tree_leaves(start, stop), "leaves")
         weights = predict.itemset_weights(patterns, leaves.select("itemset").distinct(), self.set.deepest, n)
         return sql(
             """SELECT tree_id, cast(sum(coalesce(if(prediction = 1, p, n - p), 0)) AS bigint) correct,
@@ -507,6 +616,8 @@ class RashomonModel:
 
     def subproblems(self) -> DataFrame:
         """``(size, subproblems, splits)``: how many are stored per number of conditions."""
+        if self.stored is not None:
+            return self.stored["subproblems"]
         parts = []
         for size, level in self.levels.items():
             parts.append(level.estimates.selectExpr(f"{size} AS size", "1L AS subproblem", "0L AS split"))
@@ -527,12 +638,12 @@ class RashomonModel:
         """
         rule = self.options.rule(self.n_rows, len(self.features), depth)
         matched = predict.match_itemsets(self.patterns, itemsets.distinct(), depth, len(self.features), carried=["n", "p"])
-        members = cut(matched, "members")
+        members = self.folder.cut(matched, "members")
         parts = []
         sizes = members.select(F.size("itemset").alias("size")).distinct().collect()  # at most depth + 1
         for size in sorted(r["size"] for r in sizes if r["size"] <= depth):
             own = members.where(F.size("itemset") == size)
-            wanted = cut(whole_problem(own), "requests")
+            wanted = self.folder.cut(whole_problem(own), "requests")
             parts.append(requests.estimate(kind, wanted, own, depth - size, rule))
         return reduce(DataFrame.unionByName, parts) if parts else members.selectExpr("itemset", "n AS value")
 
@@ -551,9 +662,9 @@ class RashomonModel:
         if depth == self.rule.depth and not self.lazy:
             parts = [level.estimates.select("itemset", "v1") for level in self.levels.values()]
             return frontier.frontier_scores(nodes, reduce(DataFrame.unionByName, parts), depth)
-        nodes = cut(nodes, "nodes")
-        wanted = cut(frontier.members(nodes, depth).select("itemset").distinct(), "wanted")
-        estimates = cut(self.estimates_at(wanted, depth).withColumnRenamed("value", "v1"), "estimates")
+        nodes = self.folder.cut(nodes, "nodes")
+        wanted = self.folder.cut(frontier.members(nodes, depth).select("itemset").distinct(), "wanted")
+        estimates = self.folder.cut(self.estimates_at(wanted, depth).withColumnRenamed("value", "v1"), "estimates")
         return frontier.frontier_scores(nodes, estimates, depth)
 
 
@@ -562,10 +673,26 @@ def fit(df: DataFrame, features: Sequence[str], label: str, **options) -> Rashom
     opts = Options(**options)
     check_columns(df, features, label)
     rows = packed_rows(df, features, label)
-    patterns = cut(compact(rows, len(features)), "patterns")
+    folder = Folder(df.sparkSession)
+    patterns = folder.cut(compact(rows, len(features)), "patterns")
     totals = pattern_totals(patterns, len(features))
     if totals.rows == 0:
+        folder.remove()
         raise ValueError("no rows to fit")
     if penalty(opts.lambda_reg, totals.rows) == 0:
         warnings.warn("lambda * N rounds to 0: leaves are free and the set can explode", stacklevel=2)
-    return RashomonModel(features, label, opts, totals, patterns)
+    return RashomonModel(features, label, opts, totals, patterns, folder)
+
+
+def load(spark: SparkSession, path: str) -> RashomonModel:
+    """A set written by :meth:`RashomonModel.save`; nothing is searched again."""
+    about, stored = saved.read(spark, path)
+    return RashomonModel(
+        about["features"],
+        about["label"],
+        Options(**about["options"]),
+        Totals(**about["totals"]),
+        stored["patterns"],
+        Folder(spark),
+        stored,
+    )

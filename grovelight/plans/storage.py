@@ -37,7 +37,38 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     small table are broadcast by the planner's own size check and stay shuffled
     when the table is large.
     """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/grovelight/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return write_table(df, f"{session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def session_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/grovelight/{spark.sparkContext.applicationId}"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """Working tables of one fitted set, which can be removed together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{session_dir(spark)}/set-{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Like :func:`cut`, but into this folder."""
+        return write_table(df, f"{self.path}/{name}-{uuid.uuid4().hex}")
+
+    def _file_system(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
+
+    def exists(self) -> bool:
+        files, at = self._file_system()
+        return files.exists(at)
+
+    def remove(self) -> None:
+        """Delete all tables; the DataFrames that read them are of no use afterwards."""
+        files, at = self._file_system()
+        files.delete(at, True)

@@ -16,6 +16,7 @@ NAMES = [
     "budgets_multipass", "rule_list_histogram", "root_histogram", "root_histogram_d3", "trees_per_split",
     "tree_objectives", "tree_paths", "tree_nodes", "frontier_scores", "predict_tree", "predict_up_to_objective",
     "majority_vote", "leaf_usage", "correct_counts", "reliance_cdf", "requested_counts", "root_histogram_d3_requested",
+    "predict_packed", "saved_trees_per_split",
 ]
 
 
