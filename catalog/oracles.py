@@ -279,47 +279,161 @@ def depth3_histogram(reference: str) -> str:
     SELECT cast(obj AS bigint) obj, cast(sum(cnt) AS bigint) cnt FROM h0 JOIN bd USING (b) WHERE obj <= bound GROUP BY obj"""
 
 
-def exact_set(view: str, lam: float, depth: int, mult: float) -> str:
-    """Trees of any depth by objective where all estimates are exact.
+def coded(view: str, lam: float, depth: int) -> str:
+    """All conjunctions by code: a base-3 digit per feature, 0 free, else 1 + value.
 
-    A conjunction is a number of base 3: digit f is 0 without feature f, else 1 + its value.
-    ``x`` are least objectives, ``u`` what the rest of a tree leaves over, ``h`` histograms.
+    ``feat`` has the weight of a feature's digit, so ``code + 2 * w`` and ``code + w`` are
+    the sides of a split; ``x<s>`` are least objectives of conjunctions of ``s`` literals.
     """
     fs = range(FEATURES[view])
     fl = ", ".join(f"f{f}" for f in fs)
     code = " + ".join(f"((mask >> {f}) & 1) * (1 + f{f}) * {3**f}" for f in fs)
-    free = "(c.code // w) % 3 = 0"
-    errors = "k + CASE l WHEN 0 THEN p ELSE n - p END"
     out = f"""WITH pat AS (SELECT {fl}, count(*) n, sum(y) p FROM ({DUCK[view]}) v GROUP BY {fl}),
     lam AS (SELECT cast(round({lam}::double * sum(n)) AS bigint) k FROM pat),
     conj AS (SELECT code, size, cast(sum(n) AS bigint) n, cast(sum(p) AS bigint) p FROM (
         SELECT n, p, bit_count(mask) size, cast({code} AS bigint) code
         FROM pat, (SELECT unnest(range({1 << len(fs)})) mask) WHERE bit_count(mask) <= {depth}) GROUP BY code, size),
-    feat AS (SELECT unnest([{", ".join(str(3**f) for f in fs)}]) w),
+    feat AS (SELECT unnest([{", ".join(map(str, fs))}]) f, unnest([{", ".join(str(3**f) for f in fs)}]) w),
     lab AS (SELECT unnest([0, 1]) l),
-    x{depth} AS (SELECT code, {leaf()} c FROM conj, lam WHERE size = {depth})"""
+    leaves AS (SELECT code, size, {leaf()} c FROM conj, lam),
+    x{depth} AS (SELECT code, c FROM leaves WHERE size = {depth})"""
     for s in range(depth - 1, -1, -1):
         out += f""",
-    x{s} AS (SELECT c.code, least({leaf("any_value(n)", "any_value(p)", "any_value(k)")}, min(a.c + z.c)) c
-        FROM conj c JOIN lam ON true JOIN feat ON {free}
+    x{s} AS (SELECT c.code, least(any_value(c.c), min(a.c + z.c)) c
+        FROM leaves c JOIN feat ON {FREE}
         LEFT JOIN x{s + 1} a ON a.code = c.code + 2 * w LEFT JOIN x{s + 1} z ON z.code = c.code + w
         WHERE size = {s} GROUP BY c.code)"""
-    out += f", u0 AS (SELECT code, cast(round(c * (1 + {mult}::double)) AS bigint) u FROM x0)"
+    return out
+
+
+FREE = "(c.code // w) % 3 = 0"
+
+
+def chosen(name: str, size: int, value: str, by: str | None = None) -> str:
+    """``name``: take the split with the least sum of ``by`` (the most information gain
+    if None), then the sum of ``value`` over its sides, or the leaf where that is less."""
+    rank = f"round(-{gain('l.n', 'l.p', 'r.n', 'r.p')}, 12)" if by is None else "bl.c + br.c"
+    more = "" if by is None else f"JOIN {by} bl ON bl.code = l.code JOIN {by} br ON br.code = r.code"
+    return f""",
+    {name}_split AS (SELECT code, w FROM (
+        SELECT c.code, w, row_number() OVER (PARTITION BY c.code ORDER BY {rank}, w) r
+        FROM leaves c JOIN feat ON {FREE} JOIN conj l ON l.code = c.code + 2 * w JOIN conj r ON r.code = c.code + w {more}
+        WHERE c.size = {size}) WHERE r = 1),
+    {name} AS (SELECT c.code, CASE WHEN c.c <= 2 * k OR a.c IS NULL THEN c.c ELSE least(c.c, a.c + z.c) END c
+        FROM leaves c JOIN lam ON true LEFT JOIN {name}_split q ON q.code = c.code
+        LEFT JOIN {value} a ON a.code = c.code + 2 * q.w LEFT JOIN {value} z ON z.code = c.code + q.w WHERE c.size = {size})"""
+
+
+def exact_set(view: str, lam: float, depth: int, mult: float, more: str = "", reference: str = "x0",
+              fits: dict[int, str] | None = None, first: str | None = None) -> str:
+    """Objectives of every tree within the bound, counted upwards over conjunctions.
+
+    ``x`` are least objectives, ``u`` what the rest of a tree leaves over, ``h`` histograms.
+    With ``fits`` conjunctions of a size may only split where these estimates of the sides
+    fit together; with ``first`` the sides of the root have their budgets from there.
+    """
+    errors = "k + CASE l WHEN 0 THEN p ELSE n - p END"
+    sides = "JOIN {t} a ON a.code = c.code + 2 * w JOIN {t} z ON z.code = c.code + w"
+    out = f"{coded(view, lam, depth)}{more}, u0 AS (SELECT code, cast(round(c * (1 + {mult}::double)) AS bigint) u FROM {reference})"
+    open_splits = {}
     for s in range(depth):
-        out += f""",
-    u{s + 1} AS (SELECT code, max(u) u FROM (
-        SELECT unnest([a.code, z.code]) code, unnest([u - z.c, u - a.c]) u
-        FROM u{s} c JOIN feat ON {free} JOIN x{s + 1} a ON a.code = c.code + 2 * w JOIN x{s + 1} z ON z.code = c.code + w)
-        WHERE u >= 0 GROUP BY code)"""
+        fit = (fits or {}).get(s)
+        fit = f"JOIN {fit} fa ON fa.code = c.code + 2 * w JOIN {fit} fz ON fz.code = c.code + w AND fa.c + fz.c <= u" if fit else ""
+        open_splits[s] = f"u{s} c JOIN feat ON {FREE} {fit}"
+        given = f"SELECT code, u FROM {first}" if first and s == 0 else f"""
+            SELECT unnest([a.code, z.code]) code, unnest([u - z.c, u - a.c]) u FROM {open_splits[s]} {sides.format(t=f"x{s + 1}")}"""
+        out += f", u{s + 1} AS (SELECT code, max(u) u FROM ({given}) WHERE u >= 0 GROUP BY code)"
     for s in range(depth, -1, -1):
         rows = f"SELECT code, {errors} obj, 1 cnt FROM conj, lab, lam WHERE size = {s}"
         if s < depth:
-            rows += f""" UNION ALL SELECT c.code, a.obj + z.obj, a.cnt * z.cnt
-            FROM u{s} c JOIN feat ON {free} JOIN h{s + 1} a ON a.code = c.code + 2 * w JOIN h{s + 1} z ON z.code = c.code + w"""
+            rows += f" UNION ALL SELECT c.code, a.obj + z.obj, a.cnt * z.cnt FROM {open_splits[s]} {sides.format(t=f'h{s + 1}')}"
         out += f", h{s} AS (SELECT code, obj, sum(cnt) cnt FROM ({rows}) JOIN u{s} USING (code) WHERE obj <= u GROUP BY code, obj)"
     return f"{out} SELECT cast(obj AS bigint) obj, cast(cnt AS bigint) cnt FROM h0"
 
 
+# Estimates of depth-4 problems with lookahead 2, after which the styles differ: on a child (three
+# levels left) they choose by greedy grandchildren and go on exactly (la1) or greedily (lg1).
+LOOK_CHILDREN = chosen("g2", 2, "x3") + chosen("la1", 1, "x2", "g2") + chosen("lg1", 1, "g2", "g2")
+
+
+def lookahead_styles(view: str, lam: float) -> str:
+    """Style 0 keeps its lookahead, 1 and 2 count it down and start again, 3 ends greedily."""
+    ways = {0: ("x1", "la1"), 1: ("la1", "la1"), 2: ("la1", "la1"), 3: ("lg1", "lg1")}
+    return f"{coded(view, lam, 4)}{LOOK_CHILDREN}" + "".join(chosen(f"v{i}", 0, *way) for i, way in ways.items()) + (
+        " " + " UNION ALL ".join(f"SELECT {i} AS style, c obj FROM v{i}" for i in ways)
+    )
+
+
+def style2_set(view: str, lam: float, mult: float) -> str:
+    """By the lookahead of their depth, children of the root are estimated by la1, deeper ones exactly."""
+    return exact_set(view, lam, 4, mult, LOOK_CHILDREN + chosen("v2", 0, "la1", "la1"), "v2", {0: "la1"})
+
+
+#: Every useful round of the fixpoint passes a step of either side: a leaf and a point per feature.
+ROUNDS = 22
+
+
+def split_pairs(estimates: str) -> str:
+    """Splits of ``c``: the estimates of both sides, and their least objectives."""
+    return f"""JOIN feat ON {FREE} JOIN {estimates} a ON a.code = c.code + 2 * w JOIN {estimates} z ON z.code = c.code + w
+        JOIN x2 xa ON xa.code = a.code JOIN x2 xz ON xz.code = z.code"""
+
+
+def settled(reference: str, mult: float, children: str, grandchildren: str) -> str:
+    """Budgets of the root's sides, ``settled``, where sets of two literals are complete.
+
+    A one-literal problem has a stair of least objectives: the leaf, and per split the exact
+    sides from the budget on that their estimates need.  The root's sides hand budget to each
+    other until nothing changes.
+    """
+    least = lambda side, budget: f"(SELECT min(m) FROM stairs WHERE stairs.code = {side} AND stairs.b <= {budget})"
+    out = f""",
+    bd AS (SELECT cast(round(c * (1 + {mult}::double)) AS bigint) budget FROM {reference}),
+    stairs AS (SELECT code, c b, c m FROM leaves WHERE size = 1
+        UNION ALL SELECT c.code, a.c + z.c, xa.c + xz.c FROM leaves c {split_pairs(grandchildren)} WHERE size = 1),
+    start AS (SELECT f, w, budget, budget - z.c bl, budget - a.c single FROM bd, feat
+        JOIN {children} a ON a.code = 2 * w JOIN {children} z ON z.code = w WHERE a.c + z.c <= budget),
+    round0 AS (SELECT *, budget - {least("2 * w", "bl")} br FROM start)"""
+    for i in range(ROUNDS):
+        out += f""",
+    round{i + 1} AS (SELECT f, w, budget, bl, single, greatest(br, budget - {least("2 * w", "bl")}) br FROM (
+        SELECT f, w, budget, greatest(bl, budget - {least("w", "br")}) bl, br, single FROM round{i}))"""
+    return f"{out}, settled AS (SELECT * FROM round{ROUNDS})"
+
+
+def greedy_budgets(view: str, lam: float, mult: float) -> str:
+    """Budgets of a depth-3 set whose estimates are greedy trees by information gain alone.
+
+    Below the root exact sides are always reached.
+    """
+    digit = f"(code // [{', '.join(str(3**f) for f in range(FEATURES[view]))}][i + 1]) % 3"
+    key = f"array_to_string([2 * i + {digit} - 1 for i in range({FEATURES[view]}) if {digit} > 0], ',')"
+    return f"""{coded(view, lam, 3)}{chosen("g2", 2, "x3")}{chosen("g1", 1, "g2")}{chosen("g0", 0, "g1")}{settled("g0", mult, "g1", "g2")},
+    top AS (SELECT 'multipass' allocation, * FROM settled
+        UNION ALL SELECT 'singlepass', f, w, budget, bl, single, single FROM start),
+    nodes1 AS (SELECT allocation, 2 * w code, bl budget FROM top UNION SELECT allocation, w, br FROM top),
+    split1 AS (SELECT allocation, c.code, w, f, budget, a.code left_code, z.code right_code,
+        budget - CASE allocation WHEN 'multipass' THEN xz.c ELSE z.c END bl, budget - CASE allocation WHEN 'multipass' THEN xa.c ELSE a.c END br
+        FROM nodes1 c JOIN lam ON true {split_pairs("g2")} WHERE a.c + z.c <= budget AND budget >= 2 * k),
+    nodes2 AS (SELECT allocation, left_code code, bl budget FROM split1 UNION SELECT allocation, right_code, br FROM split1),
+    split2 AS (SELECT allocation, c.code, f, budget, budget - z.c bl, budget - a.c br
+        FROM nodes2 c JOIN lam ON true JOIN feat ON {FREE} JOIN x3 a ON a.code = c.code + 2 * w JOIN x3 z ON z.code = c.code + w
+        WHERE a.c + z.c <= budget AND budget >= 2 * k),
+    found AS (SELECT allocation, 0 code, f, budget, bl, br FROM top
+        UNION ALL SELECT allocation, code, f, budget, bl, br FROM split1 UNION ALL SELECT * FROM split2)
+    SELECT allocation, {key} itemset, cast(budget AS bigint) budget, f feature, cast(bl AS bigint) left_budget, cast(br AS bigint) right_budget
+    FROM found"""
+
+
+def depth5_set(view: str, lam: float, mult: float) -> str:
+    """Lookahead 1 at depth 5: estimates of one and two literals (a1, a2) miss the optimum, deeper ones are exact."""
+    greedy_trees = chosen("g3", 3, "x4") + chosen("g2", 2, "g3") + chosen("g1", 1, "g2")
+    estimates = chosen("a2", 2, "x3", "g3") + chosen("a1", 1, "a2", "g2") + chosen("a0", 0, "a1", "g1")
+    first = """, sides AS (SELECT 2 * w code, bl u FROM settled UNION ALL SELECT w, br FROM settled)"""
+    more = greedy_trees + estimates + settled("a0", mult, "a1", "a2") + first
+    return exact_set(view, lam, 5, mult, more, "a0", {0: "a1", 1: "a2"}, "sides")
+
+
 # Conjunctions asked for in a list: of every row three and two of its values, and one that no row meets.
 REQUESTED = f"""WITH v AS ({DUCK["li_score"]}),
     wanted AS (
@@ -520,6 +634,12 @@ ORACLES: dict[str, str] = {
     "root_histogram_d4_requested": exact_set("ord_score", 0.01, 4, 0.03),
     "root_histogram_d3_requested": depth3_histogram("ref AS (SELECT * FROM la)"),
     "requested_counts": REQUESTED,
+    "budgets_greedy_d3": greedy_budgets("li_scattered", 0.001, 0.3),
+    "lookahead_styles_d4": lookahead_styles("li_scattered", 0.002),
+    "histogram_depth5": depth5_set("ord_score", 0.01, 0.02),
+    "histogram_depth5_scattered": depth5_set("li_scattered", 0.003, 0.01),
+    "histogram_style2": style2_set("li_score", 0.01, 0.02),
+    "histogram_style2_scattered": style2_set("li_scattered", 0.002, 0.02),
     "count_trees": f"{SMALL} SELECT count(*) cnt FROM tree",
     "count_leq": f"{SMALL} SELECT count(*) cnt FROM tree, s0 WHERE obj <= n // 5",
     "min_objective": f"{SMALL} SELECT min(obj) obj FROM tree",
@@ -579,6 +699,8 @@ ORACLES: dict[str, str] = {
 # Columns that DuckDB types as INTEGER; both sides compare whole numbers as BIGINT.
 _F9 = " ".join(f"f{i}" for i in range(9))
 INTEGERS = {
+    "budgets_greedy_d3": "feature",
+    "lookahead_styles_d4": "style",
     "binary_scan": "a b c y",
     "pattern_compaction": f"{_F9} f9",
     "literal_counts": "feature value",

@@ -461,6 +461,12 @@ def histogram_depth5(spark, sf_dir):
     return found.root_histogram().selectExpr("obj", "cast(cnt AS bigint) cnt")
 
 
+def histogram_depth5_scattered(spark, sf_dir):
+    """Estimates miss the optimum at two levels, so budgets are handed on in rounds."""
+    found = model(spark, sf_dir, "li_scattered", lambda_reg=0.003, depth_budget=5, rashomon_mult=0.01)
+    return found.root_histogram().selectExpr("obj", "cast(cnt AS bigint) cnt")
+
+
 def histogram_style2(spark, sf_dir):
     found = model(
         spark, sf_dir, "li_score", lambda_reg=0.01, depth_budget=4, rashomon_mult=0.02, lookahead_k=2, oracle_style=2
@@ -468,6 +474,37 @@ def histogram_style2(spark, sf_dir):
     return found.root_histogram().selectExpr("obj", "cast(cnt AS bigint) cnt")
 
 
+def histogram_style2_scattered(spark, sf_dir):
+    """Splits of the root that only exact estimates would admit are not in the set."""
+    found = model(
+        spark, sf_dir, "li_scattered", lambda_reg=0.002, depth_budget=4, rashomon_mult=0.02, lookahead_k=2, oracle_style=2
+    )
+    return found.root_histogram().selectExpr("obj", "cast(cnt AS bigint) cnt")
+
+
+def lookahead_styles_d4(spark, sf_dir):
+    """Lookahead 2 at depth 4, where every style goes on in another way."""
+    return union(
+        levels(spark, sf_dir, "li_scattered", 4, lambda_reg=0.002, lookahead_k=2, oracle_style=style)[0].estimates.selectExpr(
+            f"{style} AS style", "v2 AS obj"
+        )
+        for style in (0, 1, 2, 3)
+    )
+
+
+def budgets_greedy_d3(spark, sf_dir):
+    """Greedy estimates (lookahead 0) miss the optimum, so multipass budgets are found in
+    rounds and are larger than those of a single pass."""
+    parts = []
+    for name, multipass in (("multipass", True), ("singlepass", False)):
+        found = model(
+            spark, sf_dir, "li_scattered", lambda_reg=0.001, depth_budget=3, rashomon_mult=0.3, lookahead_k=0,
+            greedy_split_mode=0, use_multipass=multipass,
+        )
+        parts.append(_budgets(found.set).selectExpr(f"'{name}' AS allocation", "*"))
+    return union(parts)
+
+
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: whole_numbers(f)
     for f in (
@@ -533,6 +570,10 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reliance_mean,
         reliance_cdf,
         histogram_depth5,
+        histogram_depth5_scattered,
         histogram_style2,
+        histogram_style2_scattered,
+        lookahead_styles_d4,
+        budgets_greedy_d3,
     )
 }

@@ -30,16 +30,21 @@ FROM (SELECT * REPLACE (CAST(f0 = f1 AS INT) AS f9), (f0 + f1 + f2) % 2 s FROM (
 
 LI_PARITY_SPARK = LI_PARITY.replace("* REPLACE (CAST(f0 = f1 AS INT) AS f9)", "* EXCEPT (f9), CAST(f0 = f1 AS INT) f9")
 
+# labels scattered over eight features: greedy, lookahead and exact trees all differ
+LI_SCATTERED = f"""SELECT f0, f1, f2, f3, f4, f5, f6, f7, f8,
+    CAST(67 * (f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4 + 32 * f6 + 64 * f7 + 128 * f8) % 101 < 45 AS INT) y
+FROM ({_LINES}) base"""
+
 # a natural label: document quality
 DOC_LABELS = """SELECT d.doc_id row_id, CAST(d.n_chars > 1000 AS INT) f0, CAST(d.n_chars > 5000 AS INT) f1,
     CAST(d.lang = 'en' AS INT) f2, CAST(l.toxic = 1 AS INT) f3, CAST(d.n_chars > 20000 AS INT) f4,
     CAST(l.quality AS INT) y
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
-FEATURES = {"ord_score": 9, "li_score": 10, "li_parity": 10, "doc_labels": 5}
-DUCK = {"ord_score": ORD_SCORE, "li_score": LI_SCORE, "li_parity": LI_PARITY, "doc_labels": DOC_LABELS}
+FEATURES = {"ord_score": 9, "li_score": 10, "li_parity": 10, "li_scattered": 9, "doc_labels": 5}
+DUCK = {"ord_score": ORD_SCORE, "li_score": LI_SCORE, "li_parity": LI_PARITY, "li_scattered": LI_SCATTERED, "doc_labels": DOC_LABELS}
 SPARK = DUCK | {"li_parity": LI_PARITY_SPARK}
-SOURCES = {"ord_score": ["orders"], "li_score": ["lineitem"], "li_parity": ["lineitem"], "doc_labels": ["documents", "labels"]}
+SOURCES = {"ord_score": ["orders"], "li_score": ["lineitem"], "li_parity": ["lineitem"], "li_scattered": ["lineitem"], "doc_labels": ["documents", "labels"]}
 BINS = {0: [0, 8], 1: [1, 2], 2: [3, 4], 3: [5], 4: [6], 5: [7]}
 
 
