@@ -1,5 +1,6 @@
 """Line dedup, Jaccard join, decontamination, URL filters and nearest neighbours against brute force."""
 
+import math
 import random
 import re
 
@@ -278,6 +279,81 @@ def test_url_verdicts(spark):
     none = url_trees.judge(df.where("page_id = 7"), ["page_id"], "url", queries.URL_RULES).collect()
     assert none[0]["verdict"] == "allow"
     assert url_trees.judge(df.limit(0), ["page_id"], "url", queries.URL_RULES).isEmpty()
+    assert {r["depth"] for r in got.values()} == {"x"}
+
+
+def test_url_columns_of_any_name_are_kept(spark):
+    names = ["host", "path", "rule", "entropy", "_llm_url", "url_len", "block_score"]
+    df = spark.createDataFrame([(*[f"{c} {k}" for c in names], u) for k, u in enumerate(url_cases())], [*names, "url"])
+    out = url_trees.judge(df, names, "url", queries.URL_RULES)
+    assert out.columns == [*names, "judged_host", "judged_path", "judged_rule", "verdict", "judged_block_score"]
+    got = {r["host"]: r for r in out.collect()}
+    for k, (host, path, rule, _) in enumerate(url_cases().values()):
+        r = got[f"host {k}"]
+        assert [r[c] for c in names] == [f"{c} {k}" for c in names]
+        assert (r["judged_host"], r["judged_path"], r["judged_rule"]) == (host, path, rule)
+    twice = [*queries.URL_RULES, url_trees.Rule("block", "org", "/")]
+    assert {r["verdict"] for r in url_trees.judge(df, names, "url", twice).where("judged_rule = 'org/'").collect()} == {"allow"}
+
+
+def plain_features(url):
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0].lower()
+    path = re.match("[^/?#]*([^?#]*)", rest)[1]
+    query = re.search(r"\?([^#]*)", url)
+    query = query[1] if query else ""
+    shares = [url.count(c) / len(url) for c in set(url)]
+    return [
+        len(url), len(host), len(path), len(re.findall("/[^/]", path)), len(host.split(".")),
+        len(re.findall("[0-9]", url)) / max(len(url), 1), -sum(p * math.log2(p) for p in shares),
+        query.count("&") + 1 if query else 0, host.count("-"), int("#" in url), int(url.lower().startswith("https")),
+    ]
+
+
+def test_url_features_match_plain_python(spark):
+    rng = random.Random(5)
+    urls = ["".join(rng.choice(["a", "B", "7", ".", "-", "/", "?", "&", "=", "#", "é", "https://", "://"]) for _ in range(rng.randrange(30))) for _ in range(200)]
+    urls += [*url_cases(), None, "HTTPS://a.b.c//d/e?x=1&y=2#z&w", "http://h" + "/x1" * 5000]
+    df = spark.createDataFrame([(u,) for u in urls], "_llm_url string")
+    got = url_trees.features(url_trees.with_parts(df)).select("_llm_url", *url_trees.FEATURES[:-2]).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert [r[c] for c in url_trees.FEATURES[:-2]] == pytest.approx(plain_features(r["_llm_url"]), abs=1e-9)
+
+
+def test_repeated_urls_are_one_of_the_sample(spark):
+    rows = [("http://a.org/one", 0)] * 3000 + [(f"http://b{k}.org/", 0) for k in range(50)] + [("http://c.com/de/", 1)] * 100
+    df = spark.createDataFrame(rows, "_llm_url string, _llm_y int")
+    got = url_trees.sampled(df, 20, 3).collect()
+    assert len({r["_llm_url"] for r in got}) == len(got) == 21
+    assert len(url_trees.sampled(df, 1000, 3).collect()) == 52
+
+
+def test_suffix_shares_leave_the_own_fold_out(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(4), rng.randrange(3), rng.randrange(url_trees.FOLDS), rng.randrange(2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "_llm_slot1 int, _llm_slot2 int, _llm_fold int, _llm_y int")
+    every, others = url_trees.suffix_shares(df)
+
+    def share(rows, kind, slot):
+        overall = sum(r[3] for r in rows) / len(rows)
+        own = [r[3] for r in rows if r[kind] == slot]
+        return (sum(own) + url_trees.PRIOR * overall) / (len(own) + url_trees.PRIOR)
+
+    for kind in (0, 1):
+        for slot in range(5):
+            assert every[kind, slot] == pytest.approx(share(rows, kind, slot))
+            for fold in range(url_trees.FOLDS):
+                assert others[kind, fold, slot] == pytest.approx(share([r for r in rows if r[2] != fold], kind, slot))
+
+
+def test_rules_left_out_of_learning(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    got = url_trees.left_out(pages, "url", queries.URL_RULES).collect()
+    judged = url_trees.judge(pages, ["page_id"], "url", queries.URL_RULES).where("rule IS NOT NULL").groupBy("rule", "verdict").count().collect()
+    assert sorted((r["rule"], r["verdict"], r["urls"]) for r in got) == sorted(tuple(r) for r in judged)
+    assert all(0 <= r["right"] <= r["urls"] for r in got)
 
 
 def test_trees_learn_and_sql_agrees(spark):
