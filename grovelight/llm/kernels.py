@@ -8,6 +8,7 @@ and not the number of rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,14 +96,21 @@ def word_spans(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
+#: Bytes beyond which a span is hashed by itself: running sums modulo 2**64 are equal for some spans of 1024.
+LONG_SPAN = 256
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by differences of one running sum."""
+    """A 64-bit hash of the bytes of each span, by differences of one running sum; of long ones by BLAKE2."""
     if not len(starts):
         return np.zeros(0, dtype=U64)
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    out = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(ends - starts > LONG_SPAN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,13 +32,29 @@ KEPT = 100_000
 _classes: list[np.ndarray] = []
 
 
+def _newer(table: np.ndarray, free: list[str]) -> None:
+    """Classes of the letters and numbers that the tokenizer library has and this Python's older Unicode lacks."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cuts = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for k in range(0, len(free), 4096):
+        text = "!".join(free[k : k + 4096]) + "!"
+        for _, (low, high) in cuts(text):  # between signs only letters and numbers stand alone
+            if high == low + 1 and text[low] != "!":
+                table[ord(text[low])] = _LETTER if len(cuts("a" + text[low])) == 1 else _NUMBER
+
+
 def _class_table() -> np.ndarray:
     if not _classes:
         table = np.zeros(0x110000, dtype=np.uint8)
+        free = []
         for cp in range(0x110000):
-            kind = unicodedata.category(chr(cp))[0]
-            table[cp] = _LETTER if kind == "L" else _NUMBER if kind == "N" else _OTHER
+            kind = unicodedata.category(chr(cp))
+            table[cp] = _LETTER if kind[0] == "L" else _NUMBER if kind[0] == "N" else _OTHER
+            if kind == "Cn" and cp < 0x40000:  # no letter is beyond
+                free.append(chr(cp))
         table[_SPACES] = _SPACE
+        _newer(table, free)
         _classes.append(table)
     return _classes[0]
 

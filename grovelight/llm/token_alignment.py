@@ -125,8 +125,11 @@ def byte_level(path: str) -> Tokens:
         first = np.flatnonzero((data & 0xC0) != 0x80)
         if len(first) == len(points):
             out[first[starts_of(points, at)]] = True
-        else:  # not valid UTF-8: rows as they are; their bytes will not agree
-            out[offs[:-1][np.diff(offs) > 0]] = True
+        elif len(offs) > 2:  # not valid UTF-8: row by row, so that all others are cut
+            for lo, hi in zip(offs[:-1], offs[1:], strict=True):
+                out[lo:hi] = split(data[lo:hi], np.array([0, hi - lo]))
+        else:  # a row as it is; its bytes will not agree
+            out[:1] = True
         return out
 
     return Tokens(pieces, Parts(encode), split)
@@ -136,7 +139,8 @@ def pieces_with_blanks(path: str) -> Tokens:
     """Tokenizer B: pieces that stand for a text with a blank put before it.
 
     No piece goes on after a blank unless it is all blanks, so blanks with what follows are
-    encoded alone; a vocabulary for which that is untrue is given whole texts.
+    encoded alone; a vocabulary for which that is untrue is given whole texts.  The library
+    puts no blank before an empty text, so a last blank's ids are those that it adds to a text.
     """
     import sentencepiece
 
@@ -144,9 +148,11 @@ def pieces_with_blanks(path: str) -> Tokens:
     names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
     pieces = [bytes([int(n[3:5], 16)]) if library.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
     apart = not any(MARK in n[1:] and n.strip(MARK) for n in names)
+    last_blank = library.encode("a ")[len(library.encode("a")) :]
 
     def encode(parts: list[bytes]) -> list[list[int]]:
-        return library.encode([p[1:].decode("utf-8", "replace") for p in parts], num_threads=1)
+        found = library.encode([p[1:].decode("utf-8", "replace") for p in parts], num_threads=1)
+        return [ids if len(p) > 1 else last_blank for ids, p in zip(found, parts, strict=True)]
 
     def split(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         blank = data == BLANK

@@ -155,6 +155,21 @@ def test_alignment_is_that_of_brute_force(spark, sf, monkeypatch, most):
         assert expected[6] is None or got[k][6] == expected[6]
 
 
+def test_alignment_of_last_blanks_equal_sums_newer_letters_and_broken_neighbours(spark):
+    """A single blank at the end, words whose running sums agree, letters newer than Python's Unicode, bad UTF-8 beside."""
+    waves = ["".join(letters[bin(k).count("1") % 2] for k in range(1024)) for letters in ("ab", "ba")]
+    texts = ["x ", "a b ", "\n ", "x  ", "\u1c89's a", "\U000105c0'll", *waves, "don't  go 12"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    broken = [spark.sql(f"SELECT {k}L doc_id, cast(unhex('{h}') AS string) text") for k, h in ((100, "61FF20"), (101, "802062"), (102, "E282"))]
+    for more in broken:
+        df = df.union(more)
+    got = {r.doc_id: tuple(r)[1:] for r in token_alignment.align_corpus(df.coalesce(1), ["doc_id"], "text", *PATHS, text=True).collect()}
+    for k, expected in enumerate(brute_alignment(texts)):
+        assert got[k][:6] == expected[:6], texts[k]
+        assert expected[6] is None or got[k][6] == expected[6]
+    assert [got[k] for k in (100, 101, 102)] == [(0, 0, 0, 0, 0, 0, "")] * 3
+
+
 def test_alignment_digest_and_odd_tables(spark, sf):
     rows = {r.doc_id: r for r in op11_alignment(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet")
