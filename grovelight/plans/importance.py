@@ -98,8 +98,7 @@ def subtractive_reliance(
     levels = subproblem_levels(patterns, pattern_totals(patterns, n_features), rule, ["b"], cut)
     found = NearOptimalSet(options, rule, levels, ("b",), cut).build()
 
-    ranks = resample.shuffle_ranks(sample, len(variables), n_rows, n_features, seed)
-    permuted = cut(resample.permuted_patterns(sample, ranks, columns, n_features), "permuted")
+    permuted = cut(resample.permuted_patterns(sample, columns, n_rows, n_features, seed, cut), "permuted")
 
     # only leaves that test a permuted column can change, so only those are counted again
     frontiers = [found.frontier(size).select("b", "itemset", "n", "p") for size in range(found.deepest + 1)]

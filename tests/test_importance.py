@@ -1,7 +1,11 @@
+import hashlib
+from collections import Counter
+
 import pytest
 from small_model import SmallModel
 
 from grovelight import subtractive_reliance
+from grovelight.operators import resample
 from grovelight.operators.patterns import bit
 from grovelight.plans.importance import variable_columns
 
@@ -92,3 +96,30 @@ def test_binning_map_is_checked():
         variable_columns(3, {0: [3]})
     with pytest.raises(ValueError, match="two variables"):
         variable_columns(3, {0: [1], 1: [1]})
+
+
+def test_permutation_moves_packed_rows(spark, tmp_path, monkeypatch):
+    """Many buckets and blocks of two words of features; what moves is a row per bucket, not one per slot."""
+    for name, value in (("HELD_VALUES", 120), ("BUCKET_SLOTS", 50), ("BLOCK_SLOTS", 64)):
+        monkeypatch.setattr(resample, name, value)
+    n, variables, cuts = 700, [[0, 65], [], [1]], {}
+    rows = [(b, i, (i * 7 + b) % 4, (i * i) % 11, (i // 3) % 2) for b in (0, 1) for i in range(n)]
+    spark.createDataFrame(rows, "b int, i long, w0 long, w1 long, y long").repartition(3).write.parquet(f"{tmp_path}/sample")
+
+    def cut(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        cuts[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        return cuts[name]
+
+    got = resample.permuted_patterns(spark.read.parquet(f"{tmp_path}/sample"), variables, n, 70, 5, cut)
+    words, expected = {(b, i): (w0, w1, y) for b, i, w0, w1, y in rows}, Counter()
+    for b in (0, 1):
+        for var, (m0, m1) in enumerate(((1, 1 << 3), (0, 0), (2, 0))):
+            draw = lambda i: (int(hashlib.md5(f"5|{b}|{var}|{i}".encode()).hexdigest()[:15], 16), i)  # noqa: B023, E731
+            for i, donor in enumerate(sorted(range(n), key=draw)):
+                (k0, k1, y), (d0, d1, _) = words[b, i], words[b, donor]
+                key = (b, var, k0 & ~m0 | d0 & m0, k1 & ~m1 | d1 & m1)
+                expected[(*key, "n")] += 1
+                expected[(*key, "p")] += y
+    assert {(*tuple(r)[:4], k): r[k] for r in got.collect() for k in "np"} == dict(expected)
+    assert cuts["donors"].count() == 2 * 3 * 16 and cuts["donors"].agg({"n": "sum"}).first()[0] == 2 * 3 * n
