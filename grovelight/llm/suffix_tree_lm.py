@@ -33,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,16 +120,44 @@ def triples_of(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _TRIPLE | seq[at] << 2 * SYMBOL_BITS | seq[at + 1] << SYMBOL_BITS | seq[at + 2], at
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Bytes of a bitmap of the places of keys, made by Spark; 2^FILTER_BITS bits, whatever the number of keys."""
+@dataclass(frozen=True)
+class Packed:
+    """The blocks of a bitmap, compressed; unpickled, as in a Python worker, it is the array of the bytes."""
+
+    parts: list[bytes]
+
+    def __reduce__(self) -> tuple:
+        return _unpacked, (self.parts,)
+
+
+def _unpacked(parts: list[bytes]) -> np.ndarray:
+    out = np.zeros(((1 << FILTER_BITS) // 8 // 4096, 4096), dtype=np.uint8)
+    for part in parts:
+        n = int.from_bytes(part[:4], "little")
+        raw = np.frombuffer(pa.decompress(part[4:], decompressed_size=n * 4100, codec="zstd", asbytes=True), dtype=np.uint8)
+        out[raw[: 4 * n].view(np.int32)] = raw[4 * n :].reshape(n, 4096)
+    return out.reshape(-1)
+
+
+def bitmap(keys: DataFrame, column: str) -> Packed:
+    """Bitmap of the places of keys, made and compressed by Spark; 2^FILTER_BITS bits, whatever the number of keys.
+
+    The driver only passes it on, compressed: what it holds is far below the 2^FILTER_BITS bits
+    while few places are taken, and never much above them.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy().astype(np.int32) - np.int32(1)
+            raw = block.tobytes() + b"".join(batch.column(1).to_pylist())
+            part = len(block).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.binary())})
+
     # Spark numbers blocks and bits from one
     places = keys.select(F.explode(F.array(*(F.col(column) % p + 1 for p in _PLACES))).alias("place"))
     placed = places.select(F.bitmap_bucket_number("place").alias("b"), F.bitmap_bit_position("place").alias("p"))
-    blocks = placed.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toArrow()
-    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for b, bits in zip(blocks.column("b").to_pylist(), blocks.column("bits").to_pylist(), strict=True):
-        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, dtype=np.uint8)
-    return out
+    blocks = placed.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    return Packed(blocks.mapInArrow(packed, "part binary").toArrow().column("part").to_pylist())
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -143,12 +171,17 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Vocabulary, rare words (key, n), stored n-grams (key, n, value; a key's values add up), logs of what one-word states leave over."""
+    """Vocabulary, rare words (key, n), stored n-grams (key, n, value; a key's values add up), states.
+
+    ``words`` and ``left`` are sent once, for training and scoring: the vocabulary, and what
+    one-word states leave over by number (1 where there is no state).
+    """
 
     vocabulary: Vocabulary
+    words: Broadcast[Vocabulary]
     rare: DataFrame
     values: DataFrame
-    left: np.ndarray
+    left: Broadcast[np.ndarray]
     states: DataFrame
 
 
@@ -156,7 +189,7 @@ def _texts(df: DataFrame, text_col: str) -> DataFrame:
     return small_batches(df).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_llm_text"))
 
 
-def vocabulary(texts: DataFrame, text_bytes: int) -> tuple[Vocabulary, DataFrame]:
+def vocabulary(texts: DataFrame, n_texts: int, text_bytes: int) -> tuple[Vocabulary, DataFrame]:
     """The numbered words of all texts, and the table (key, n) of the rare ones."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -167,7 +200,6 @@ def vocabulary(texts: DataFrame, text_bytes: int) -> tuple[Vocabulary, DataFrame
                 yield span_hashes(data, starts, ends).view(np.int64)
 
     counts = cut(packed_counts(texts, keys, text_bytes), "words")
-    n_texts = texts.count()
     often, seldom = common(counts, SYMBOLS, "n")
     table = often.toArrow()
     hashes = table.column("key").to_numpy().view(np.uint64)
@@ -194,8 +226,8 @@ def train(df: DataFrame, text_col: str) -> Model:
     """
     texts = _texts(df, text_col)
     spark = df.sparkSession
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("_llm_text")), F.lit(0))).first()[0]
-    words, rare = vocabulary(texts, size)
+    size, n_texts = texts.agg(F.coalesce(F.sum(F.octet_length("_llm_text")), F.lit(0)), F.count("*")).first()
+    words, rare = vocabulary(texts, n_texts, size)
     shared = spark.sparkContext.broadcast(words)
 
     def pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -218,15 +250,14 @@ def train(df: DataFrame, text_col: str) -> Model:
     found = one.toArrow()
     left = np.ones(1 << SYMBOL_BITS)
     left[found.column("context").to_numpy()] = found.column("rest").to_numpy()
-    is_state = np.zeros(1 << SYMBOL_BITS, dtype=bool)
-    is_state[found.column("context").to_numpy()] = True
-    states = spark.sparkContext.broadcast((left, is_state))
+    left = spark.sparkContext.broadcast(left)
 
     def first_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs with their probability in the one-word state, and their value; pairs of no state are worth 0."""
         counts, share = shared.value.counts.copy(), shared.value.shares()
         counts[BEGIN] = counts[END]
-        rest, kept = states.value
+        rest = left.value
+        kept = rest < 1  # a state keeps something of every word it stores
         for batch in batches:
             key, n = (batch.column(k).to_numpy() for k in range(2))
             c = key >> SYMBOL_BITS
@@ -248,6 +279,7 @@ def train(df: DataFrame, text_col: str) -> Model:
                 yield key[marked(bits.value, (key ^ _TRIPLE) >> SYMBOL_BITS)]
 
     triples = cut(packed_counts(texts, triple_keys, size, LEAST), "triples")
+    bits.destroy()
     context = F.shiftright(F.col("key").bitwiseXOR(F.lit(_TRIPLE)), SYMBOL_BITS).alias("context")
     keyed = triples.select("key", "n", context)
     keyed = keyed.join(candidates.select(F.col("pair").alias("context"), "c"), "context")
@@ -260,7 +292,7 @@ def train(df: DataFrame, text_col: str) -> Model:
     passed = two.select(F.col("context").alias("key"), "n", F.log("rest").alias("value"))
     values = cut(pairs.where("value <> 0").select("key", "n", "value").unionByName(passed).unionByName(second), "ngrams")
     named = one.withColumn("length", F.lit(1)).unionByName(two.withColumn("length", F.lit(2)))
-    return Model(words, rare, values, np.log(left), named)
+    return Model(words, shared, rare, values, left, named)
 
 
 def _states(rows: DataFrame, name: str) -> DataFrame:
@@ -291,10 +323,12 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
     often, seldom = common(model.values, COMMON, "n")
     table = often.select("key", "value").toArrow()
     hot = summed(table.column("key").to_numpy(), table.column("value").to_numpy())
-    shared = df.sparkSession.sparkContext.broadcast((model.vocabulary, model.left, *hot, bitmap(seldom, "key")))
+    shared = df.sparkSession.sparkContext.broadcast((*hot, bitmap(seldom, "key")))
+    vocabulary, rest = model.words, model.left
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, left, hot_keys, hot_values, bits = shared.value
+        hot_keys, hot_values, bits = shared.value
+        words, left = vocabulary.value, np.log(rest.value)
         root = np.log(np.maximum(words.counts + ADDED, ADDED))
         unknown = math.log(ADDED)
         block, number, held, size = TaskContext.get().partitionId() << 33, 0, [], 0
