@@ -324,11 +324,11 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
     table = often.select("key", "value").toArrow()
     hot = summed(table.column("key").to_numpy(), table.column("value").to_numpy())
     shared = df.sparkSession.sparkContext.broadcast((*hot, bitmap(seldom, "key")))
-    vocabulary, rest = model.words, model.left
+    vocabulary, left = model.words, model.left
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_values, bits = shared.value
-        words, left = vocabulary.value, np.log(rest.value)
+        words, rest = vocabulary.value, left.value
         root = np.log(np.maximum(words.counts + ADDED, ADDED))
         unknown = math.log(ADDED)
         block, number, held, size = TaskContext.get().partitionId() << 33, 0, [], 0
@@ -352,7 +352,7 @@ def score(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> Dat
                 known = np.bincount(row[token & (words.counts[seq] > 0) & (seq != RARE)], minlength=n_rows)
                 base = np.where(seq == RARE, unknown, root[seq])
                 base = np.bincount(row[token], weights=base[token], minlength=n_rows) - n * math.log(words.total)
-                extra = np.bincount(row, weights=np.where(seq == END, 0.0, left[seq]), minlength=n_rows)
+                extra = np.bincount(row, weights=np.where(seq == END, 0.0, np.log(rest[seq])), minlength=n_rows)
                 (two, at_two), (three, at_three) = pairs_of(seq), triples_of(seq)
                 key, at = np.concatenate([two, three]), np.concatenate([row[at_two], row[at_three]])
                 place = np.minimum(np.searchsorted(hot_keys, key), max(len(hot_keys) - 1, 0))
